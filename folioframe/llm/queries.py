@@ -7,10 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.llm import packing, percentiles, splitting, tokens
+from folioframe.llm import encoding, packing, percentiles, splitting, tokens
 from folioframe.session import table
 
 
+def _block_costs(spark: SparkSession, sf: str) -> encoding.Costs:
+    return encoding.Costs(*encoding.character_counts(table(spark, sf, "blocks"), "text"))
+
+
+def p1_repaired(spark: SparkSession, sf: str) -> DataFrame:
+    out = encoding.repair_column(table(spark, sf, "blocks"), ["chapter_id", "block_index"], "text")
+    return out.dropDuplicates(["chapter_id", "block_index"])
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    cost = _block_costs(spark, sf)
+    blocks = encoding.repair_column(table(spark, sf, "blocks"), ["chapter_id", "block_index"], "text", cost)
+    headers = encoding.wrong_headers(table(spark, sf, "mobi_headers"), cost)
+    found = blocks.select(F.lit("block").alias("item_kind"), F.col("chapter_id").alias("item_id"), "block_index")
+    found = found.unionByName(headers.select(F.lit("header").alias("item_kind"), F.col("book_id").alias("item_id"), F.lit(-1).alias("block_index")))
+    return found.distinct()
+
+
 def p2_pieces(spark: SparkSession, sf: str) -> DataFrame:
     limits = table(spark, sf, "size_limits")
     contexts = splitting.split_rows(table(spark, sf, "context_inputs"), limits, "context", "context_id", "current_chapter")
@@ -51,6 +69,7 @@ def p9_pack(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p1_found": p1_found, "p1_repaired": p1_repaired,
         "p2_found": p2_found, "p2_pieces": p2_pieces,
         "p3_percentiles": p3_percentiles, "p3_day_summaries": p3_day_summaries, "p3_months": p3_months,
         "p8_ids": p8_ids, "p9_pack": p9_pack,

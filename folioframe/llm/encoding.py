@@ -58,11 +58,11 @@ _chunk = regex.compile(r"[^.!?。！？\n�]*[.!?。！？\n�]+\s*|[^.!?。
 
 
 _runs = regex.compile(r"[^\x00-\x7f]{2,}")
-_punct = r"[“”„‘’«»‹›—–…·•¡¿°±½¼¾§№€£¥©®™ ­、。，！？；：「」『』（）《》️]"
+_marks = "[“”„‘’«»‹›—–…¡¿、。，！？；：「」『』（）《》]"
+_latin = "[ß-öø-ÿœšžğışłąęćńśźżčřěůőű]"
 _plain_run = regex.compile(
-    rf"{_punct}*(?:[À-ÖØ-Þß-öø-ÿœŒšžŠŽğışŞŁłąęćńśźżčřěůőű]?[ß-öø-ÿœšžğışłąęćńśźżčřěůőű]|[À-ÖØ-ÞŒŠŽ]|[А-ЯЁІЇЄҐ]?[а-яёіїєґ]+|[А-ЯЁ]+"
-    r"|[\p{Thai}]+|[\p{Devanagari}]+|[\p{Arabic}ـ]+|[\p{Hebrew}]+|[\p{Hangul}]+|[\p{Greek}]+)?"
-    rf"{_punct}*"
+    rf"{_marks}+|[—–…«»“”‘’ ­°±½¼¾§№€£¥©®™·•¡¿]+|{_marks}*{_latin}{{1,2}}{_marks}?|{_marks}*(?:[À-ÖØ-Þ]{_latin}?|[А-ЯЁІЇЄҐ]?[а-яёіїєґ]+{_marks}*|[А-ЯЁ]+{_marks}*)"
+    rf"|{_marks}*(?:\p{{Thai}}+|\p{{Devanagari}}+|[\p{{Arabic}}ـ]+|\p{{Hebrew}}+|\p{{Hangul}}+|\p{{Greek}}+){_marks}*"
 )
 _cjk_run = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー々〇　-〿！-～“”‘’—…·«»]+")
 _clause = regex.compile(r"[。！？，、；：「」“”]+")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.llm import encoding, packing, percentiles, splitting, tokens
+from folioframe.llm import encoding, packing, percentiles, splitting, tokens, truncation
 from folioframe.session import table
 
 
@@ -67,12 +67,21 @@ def p9_pack(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_texts(table(spark, sf, "documents"), limits)
 
 
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return truncation.find_truncated(table(spark, sf, "documents")).filter("truncated").select("doc_id").distinct()
+
+
+def p10_rates(spark: SparkSession, sf: str) -> DataFrame:
+    return truncation.truncation_rates(truncation.find_truncated(table(spark, sf, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found, "p1_repaired": p1_repaired,
         "p2_found": p2_found, "p2_pieces": p2_pieces,
         "p3_percentiles": p3_percentiles, "p3_day_summaries": p3_day_summaries, "p3_months": p3_months,
         "p8_ids": p8_ids, "p9_pack": p9_pack,
+        "p10_found": p10_found, "p10_rates": p10_rates,
     }
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.llm import encoding, packing, percentiles, splitting, tokens, truncation
+from folioframe.llm import encoding, packing, percentiles, sentences, splitting, tokens, truncation
 from folioframe.session import table
 
 
@@ -58,6 +58,17 @@ def p3_months(spark: SparkSession, sf: str) -> DataFrame:
     return percentiles.combine(monthly, ["model", "metric", "month"])
 
 
+def p4_sentences(spark: SparkSession, sf: str) -> DataFrame:
+    segments = sentences.split_sentences(table(spark, sf, "segments").withColumn("k", F.col("segment_id").cast("string")), "k", "text")
+    golden = sentences.split_sentences(table(spark, sf, "golden_cases"), "case_id", "source_text")
+    named = lambda df, name, key: df.select(F.lit(name).alias("item_table"), F.col(key).alias("item_id"), "start_char", "end_char", "sentence")
+    return named(segments, "segments", "k").unionByName(named(golden, "golden_cases", "case_id"))
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p4_sentences(spark, sf).drop("sentence")
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, sf, "documents"))
 
@@ -80,6 +91,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_found": p1_found, "p1_repaired": p1_repaired,
         "p2_found": p2_found, "p2_pieces": p2_pieces,
         "p3_percentiles": p3_percentiles, "p3_day_summaries": p3_day_summaries, "p3_months": p3_months,
+        "p4_found": p4_found, "p4_sentences": p4_sentences,
         "p8_ids": p8_ids, "p9_pack": p9_pack,
         "p10_found": p10_found, "p10_rates": p10_rates,
     }

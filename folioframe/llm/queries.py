@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.llm import encoding, packing, percentiles, sentences, splitting, tokens, truncation
+from folioframe.llm import encoding, langid, packing, percentiles, sentences, splitting, tokens, truncation
 from folioframe.session import table
 
 
@@ -69,6 +69,23 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return p4_sentences(spark, sf).drop("sentence")
 
 
+def p7_stretches(spark: SparkSession, sf: str) -> DataFrame:
+    model = langid.labelled_model(table(spark, sf, "documents"))
+    rows = langid.language_stretches(table(spark, sf, "blocks"), ["chapter_id", "block_index"], "text", model)
+    return rows.select("chapter_id", "block_index", F.explode("stretches").alias("s")).select("chapter_id", "block_index", "s.start_char", "s.end_char", "s.lang", "s.confidence")
+
+
+def p7_books(spark: SparkSession, sf: str) -> DataFrame:
+    model = langid.labelled_model(table(spark, sf, "documents"))
+    rows = langid.language_stretches(table(spark, sf, "blocks"), ["book_id", "chapter_id", "block_index"], "text", model)
+    return langid.book_languages(table(spark, sf, "books"), rows)
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    model = langid.labelled_model(table(spark, sf, "documents"))
+    return langid.found(table(spark, sf, "books"), table(spark, sf, "blocks"), model)
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, sf, "documents"))
 
@@ -92,6 +109,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_found": p2_found, "p2_pieces": p2_pieces,
         "p3_percentiles": p3_percentiles, "p3_day_summaries": p3_day_summaries, "p3_months": p3_months,
         "p4_found": p4_found, "p4_sentences": p4_sentences,
+        "p7_found": p7_found, "p7_stretches": p7_stretches, "p7_books": p7_books,
         "p8_ids": p8_ids, "p9_pack": p9_pack,
         "p10_found": p10_found, "p10_rates": p10_rates,
     }

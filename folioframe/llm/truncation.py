@@ -23,7 +23,9 @@ LEAST_AT_SPIKE = 5
 #: An ending is formulaic from this share of all texts (and at least FORM_LEAST texts).
 FORM_SHARE, FORM_LEAST = 0.0002, 3
 
-_SPACE = r"[\s\u0000 ​﻿]"
+#: Characters of an ending that a pattern can reach; closing lines are at most so long.
+REACH = 256
+_BLANKS = " \t\n\r\f\x0b\x00\x85\xa0\u2028\u2029\u200b\u3000\ufeff"
 _END = r"[.!?。！？।؟｡…]['\"”’»›」』）)\]*_]*$|[—–-]['\"”’»」』]$"
 _MARKER = r"(?:\s*(?:…|\.\.\.|\[(?:…|\.\.\.|(?i:truncated|cut|more))\]|\((?:…|\.\.\.|(?i:truncated|more))\)|(?i:read more|<more>)))+$"
 _DEBRIS = r"�$|&#?[A-Za-z0-9]{0,7}$|=[0-9A-F]?$|\\(?:u[0-9a-fA-F]{0,3}|x[0-9a-fA-F]?)?$|%[0-9A-F]?$|<[^<>\n]{0,30}$"
@@ -39,19 +41,20 @@ def _masked(c: Column) -> Column:
 def features(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
     """What the tests need of each row, without its text."""
     rows = df.select(F.col(key).alias("key"), F.col(source).alias("source"), F.col(text).alias("t"))
-    rows = rows.withColumn("s", F.regexp_replace("t", f"{_SPACE}+$", "")).filter("s != ''")
-    rows = rows.withColumn("bare", F.regexp_replace("s", _MARKER, "")).withColumn("last", F.substring_index("s", "\n", -1))
-    head = F.expr("substring(s, 1, char_length(s) - char_length(last) - 1)")
-    rows = rows.withColumn("before", F.regexp_replace(head, f"{_SPACE}+$", "")).withColumn("gap", head.rlike(r"\n\s*$"))
-    rows = rows.withColumn("prev", F.substring_index("before", "\n", -1))
-    sentence = F.regexp_replace(F.regexp_extract("last", r"([^.!?。！？।؟…]*[.…—–”’\"'»」\s]*)$", 1), r"^[\"'”’»」』)\s]+", "")
-    closing = F.col("gap") & F.col("before").rlike(_END)
-    form = F.when(F.col("s").rlike(r"(?:…|\.\.\.|—)$"), F.concat(F.lit("s:"), _masked(F.trim(sentence)))).when(closing, F.concat(F.lit("l:"), _masked(F.col("last"))))
+    # All patterns look at an ending, so each is applied to as much of the text's end as it can reach.
+    rows = rows.withColumn("s", F.rtrim("t", F.lit(_BLANKS))).filter("s != ''")
+    rows = rows.withColumn("end", F.right("s", F.lit(REACH))).withColumn("bare", F.regexp_replace("end", _MARKER, "")).withColumn("last", F.substring_index("s", "\n", -1))
+    rows = rows.withColumn("head", F.expr("left(s, char_length(s) - char_length(last) - 1)")).withColumn("before", F.rtrim("head", F.lit(_BLANKS)))
+    rows = rows.withColumn("gap", F.right("head", F.lit(REACH)).rlike(r"\n[^\S\n]*$")).withColumn("prev", F.substring_index("before", "\n", -1))
+    rows = rows.withColumn("before_ended", F.right("before", F.lit(REACH)).rlike(_END))
+    sentence = F.regexp_replace(F.regexp_extract(F.right("last", F.lit(REACH)), r"([^.!?。！？।؟…]*[.…—–”’\"'»」\s]*)$", 1), r"^[\"'”’»」』)\s]+", "")
+    closing = F.col("gap") & F.col("before_ended") & (F.char_length("last") <= REACH)
+    form = F.when(F.col("end").rlike(r"(?:…|\.\.\.|—)$"), F.concat(F.lit("s:"), _masked(F.trim(sentence)))).when(closing, F.concat(F.lit("l:"), _masked(F.col("last"))))
     return rows.select(
         "key", "source", F.xxhash64("t").alias("h"), F.char_length("t").alias("chars"), F.octet_length("t").alias("bytes"),
-        F.col("s").rlike(_END).alias("ended"), (F.col("bare") != F.col("s")).alias("marker"),
-        F.col("bare").rlike(_END).alias("bare_ended"), F.col("s").rlike(_DEBRIS).alias("debris"),
-        (F.col("last").rlike(_BULLET) & (F.col("prev").rlike(_BULLET) | F.col("before").rlike(_END))).alias("item"), form.alias("form"),
+        F.col("end").rlike(_END).alias("ended"), (F.col("bare") != F.col("end")).alias("marker"),
+        F.col("bare").rlike(_END).alias("bare_ended"), F.col("end").rlike(_DEBRIS).alias("debris"),
+        (F.col("last").rlike(_BULLET) & (F.col("prev").rlike(_BULLET) | F.col("before_ended"))).alias("item"), form.alias("form"),
     )
 
 

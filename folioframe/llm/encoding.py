@@ -61,10 +61,10 @@ _runs = regex.compile(r"[^\x00-\x7f]{2,}")
 _marks = "[“”„‘’«»‹›—–…¡¿、。，！？；：「」『』（）《》]"
 _latin = "[ß-öø-ÿœšžğışłąęćńśźżčřěůőű]"
 _plain_run = regex.compile(
-    rf"{_marks}+|[—–…«»“”‘’ ­°±½¼¾§№€£¥©®™·•¡¿]+|{_marks}*{_latin}{{1,2}}{_marks}?|{_marks}*(?:[À-ÖØ-Þ]{_latin}?|[А-ЯЁІЇЄҐ]?[а-яёіїєґ]+{_marks}*|[А-ЯЁ]+{_marks}*)"
+    rf"{_marks}+|[—–…«»“”‘’ \u00a0\u00ad°±½¼¾§№€£¥©®™·•¡¿]+|{_marks}*{_latin}{{1,2}}{_marks}?|{_marks}*(?:[À-ÖØ-Þ]{_latin}?|[А-ЯЁІЇЄҐ]?[а-яёіїєґ]+{_marks}*|[А-ЯЁ]+{_marks}*)"
     rf"|{_marks}*(?:\p{{Thai}}+|\p{{Devanagari}}+|[\p{{Arabic}}ـ]+|\p{{Hebrew}}+|\p{{Hangul}}+|\p{{Greek}}+){_marks}*"
 )
-_cjk_run = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー々〇　-〿！-～“”‘’—…·«»]+")
+_cjk_run = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー々〇\u3000-〿！-～“”‘’—…·«»]+")
 _clause = regex.compile(r"[。！？，、；：「」“”]+")
 _edges = regex.compile(r"([\s。！？，、；：「」“”‘’（）]*)(.*?)([\s。！？，、；：「」“”‘’（）�]*)", regex.S)
 _half_width = regex.compile(r"[｡-ﾟ\p{Bopomofo}]")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.llm import encoding, langid, packing, percentiles, sentences, splitting, tokens, truncation
+from folioframe.llm import encoding, langid, packing, percentiles, scan, sentences, splitting, tokens, truncation
 from folioframe.session import table
 
 
@@ -69,6 +69,15 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return p4_sentences(spark, sf).drop("sentence")
 
 
+def p6_repaired(spark: SparkSession, sf: str) -> DataFrame:
+    out = scan.repair_pages(table(spark, sf, "blocks"), ["chapter_id", "block_index"], "text")
+    return out.dropDuplicates(["chapter_id", "block_index"])
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p6_repaired(spark, sf).select("chapter_id", "block_index")
+
+
 def p7_stretches(spark: SparkSession, sf: str) -> DataFrame:
     model = langid.labelled_model(table(spark, sf, "documents"))
     rows = langid.language_stretches(table(spark, sf, "blocks"), ["chapter_id", "block_index"], "text", model)
@@ -109,6 +118,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_found": p2_found, "p2_pieces": p2_pieces,
         "p3_percentiles": p3_percentiles, "p3_day_summaries": p3_day_summaries, "p3_months": p3_months,
         "p4_found": p4_found, "p4_sentences": p4_sentences,
+        "p6_found": p6_found, "p6_repaired": p6_repaired,
         "p7_found": p7_found, "p7_stretches": p7_stretches, "p7_books": p7_books,
         "p8_ids": p8_ids, "p9_pack": p9_pack,
         "p10_found": p10_found, "p10_rates": p10_rates,

@@ -68,10 +68,10 @@ _open, _close = r"[\"'“„‘‚«‹「『（(\[《¿¡—–-]", r"[\"'”
 _final_cjk = "。！？｡．"
 #: A place where a sentence may end: final marks with their closing marks (French ones after a space).
 _candidate = regex.compile(
-    r"(?P<mark>[.!?…。！？｡।॥؟۔]+(?:[^\S\r\n]+[!?](?![\p{L}\p{N}]))*|(?<=[\p{L}\p{N}])[   ][!?]+)"
-    r"(?P<close>(?:[\"'”’»›」』）)\]》]|[   ]+[»›]|(?<=[.!?…])“)*)"
+    r"(?P<mark>[.!?…。！？｡।॥؟۔]+(?:[^\S\r\n]+[!?](?![\p{L}\p{N}]))*|(?<=[\p{L}\p{N}])[ \u00a0\u202f][!?]+)"
+    r"(?P<close>(?:[\"'”’»›」』）)\]》]|[ \u00a0\u202f]+[»›]|(?<=[.!?…])“)*)"
 )
-_line = regex.compile(r"[\r\n  \x0b\x0c\x85]+")
+_line = regex.compile(r"[\r\n\u2028\u2029\x0b\x0c\x85]+")
 _thai = regex.compile(r"(?<=[\p{Thai}])[^\S\r\n]+(?=[\p{Thai}])")
 _initial = regex.compile(r"(?:^|[^\p{L}\p{N}])(?:\p{Lu}\.[^\S\r\n]?)*\p{Lu}\.$")
 _word_before = regex.compile(r"([\p{L}\p{N}][\p{L}\p{M}\p{N}.\-’']*)\.$")

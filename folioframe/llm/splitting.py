@@ -28,8 +28,8 @@ EXTRA_PIECES = 3
 
 #: Strengths of boundaries.
 BLANK_LINE, LINE, SENTENCE, WORD, ANYWHERE = 4, 3, 2, 1, 0
-_breaks = regex.compile(r"(?:[^\S\r\n]*(?:\r\n|\r|\n| | ))+[^\S\r\n]*")
-_one_break = regex.compile(r"\r\n|\r|\n| | ")
+_breaks = regex.compile(r"(?:[^\S\r\n]*(?:\r\n|\r|\n|\u2028|\u2029))+[^\S\r\n]*")
+_one_break = regex.compile(r"\r\n|\r|\n|\u2028|\u2029")
 _sentence = regex.compile(r"(?:[.!?…]+[\"'”’»)\]]*\s+|[。！？｡।؟]+[”’」』）】\"']*)(?=\S)")
 _word = regex.compile(r"\s+(?=\S)|(?<=[\p{Han}\p{Hiragana}\p{Katakana}][，、；：])")
 
@@ -64,7 +64,7 @@ def _nearest(positions: list[int], target: float, lo: int, hi: int) -> int | Non
 def _safe(text: str, at: int, lo: int) -> int:
     """Move a cut within a word back so that it doesn't part a line break or a letter and its marks."""
     p = at
-    while p > lo and (unicodedata.combining(text[p]) or text[p] in "‍️" or text[p - 1] == "‍" or text[p - 1 : p + 1] == "\r\n"):
+    while p > lo and (unicodedata.combining(text[p]) or text[p] in "\u200d\ufe0f" or text[p - 1] == "\u200d" or text[p - 1 : p + 1] == "\r\n"):
         p -= 1
     return p if p > lo else at
 

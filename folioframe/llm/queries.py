@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.llm import encoding, langid, packing, percentiles, scan, sentences, splitting, tokens, truncation
-from folioframe.session import table
+from folioframe.llm import encoding, langid, names, packing, percentiles, scan, sentences, splitting, tokens, truncation
+from folioframe.session import cut_lineage, table
 
 
 def _block_costs(spark: SparkSession, sf: str) -> encoding.Costs:
@@ -69,6 +69,15 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return p4_sentences(spark, sf).drop("sentence")
 
 
+def p5_linked(spark: SparkSession, sf: str) -> DataFrame:
+    spelled = names.distinct_names([(table(spark, sf, "analysis_characters"), "character_name"), (table(spark, sf, "segments"), "speaker")])
+    return names.link(cut_lineage(spelled))
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return names.same_entity_pairs(p5_linked(spark, sf))
+
+
 def p6_repaired(spark: SparkSession, sf: str) -> DataFrame:
     out = scan.repair_pages(table(spark, sf, "blocks"), ["chapter_id", "block_index"], "text")
     return out.dropDuplicates(["chapter_id", "block_index"])
@@ -118,6 +127,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_found": p2_found, "p2_pieces": p2_pieces,
         "p3_percentiles": p3_percentiles, "p3_day_summaries": p3_day_summaries, "p3_months": p3_months,
         "p4_found": p4_found, "p4_sentences": p4_sentences,
+        "p5_found": p5_found, "p5_linked": p5_linked,
         "p6_found": p6_found, "p6_repaired": p6_repaired,
         "p7_found": p7_found, "p7_stretches": p7_stretches, "p7_books": p7_books,
         "p8_ids": p8_ids, "p9_pack": p9_pack,

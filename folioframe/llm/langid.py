@@ -31,10 +31,8 @@ LEAST_COSINE, LEAST_MARGIN = 0.12, 0.03
 #: Letters (a Han or kana counts three) from which a piece can stand for itself.
 LEAST_LETTERS = 12
 
-_not_letters = regex.compile(r"[^\p{L}\p{M}]+")
-_piece = regex.compile(r".*?(?:[.!?…؟।]+[\"'”’“»›」』）)\]]*(?=\s|$|[\p{Han}\p{Hiragana}\p{Katakana}])|[。！？｡]+[”’」』）\"']*|$)", regex.S)
-_wide = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]")
-_letter = regex.compile(r"\p{L}")
+_latin_run = regex.compile(r"\p{Latin}+")
+_end = regex.compile(r"[.!?…؟।]+[\"'”’“»›」』）)\]]*(?=\s|$|[\p{Han}\p{Hiragana}\p{Katakana}])|[。！？｡]+[”’」』）\"']*")
 _final = regex.compile(r"[.!?…。！？｡؟।]+[\"'”’“»›」』）)\]]*\s*$")
 
 #: Two-letter code, three-letter codes, English name of languages (ISO 639).
@@ -65,32 +63,56 @@ def normal_label(label: Column) -> Column:
     return F.try_element_at(codes, word)
 
 
+_tables: list[np.ndarray] = []
+
+
+def _character_tables() -> list[np.ndarray]:
+    """Per code point: its lower-case letter or a space, whether it is a letter, Latin, or wide (counts three)."""
+    if not _tables:
+        points = [chr(c) if not 0xD800 <= c < 0xE000 else " " for c in range(0x30000)]
+        everything = "".join(points)
+        marks = lambda p: np.isin(np.arange(len(points)), [m.start() for m in regex.finditer(p, everything)])
+        letter, mark = marks(r"\p{L}"), marks(r"\p{M}")
+        low = np.array([ord(x) if len(x := c.lower()) == 1 else ord(c) for c in points], np.uint32)
+        low[~(letter | mark)] = 32
+        _tables.extend([low, letter, marks(r"\p{Latin}"), marks(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]")])
+    return _tables
+
+
+def _codes(text: str) -> np.ndarray:
+    codes = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+    return np.where(codes < 0x30000, codes, 32)
+
+
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(row, feature) of every n-gram occurrence."""
-    rows, feats = [], []
-    for i, t in enumerate(texts):
-        a = np.frombuffer((" " + _not_letters.sub(" ", t.lower()).strip() + " ").encode("utf-32-le"), np.uint32).astype(np.uint64)
-        if len(a) < 3:
-            continue
-        two = a[:-1] * np.uint64(0x9E3779B1) + a[1:] * np.uint64(0x85EBCA77)
-        three = two[:-1] * np.uint64(0x27D4EB2F) + a[2:] * np.uint64(0x165667B1)
-        one = a[a != 32] * np.uint64(0xC2B2AE3D)
-        h = np.concatenate([one, two * np.uint64(31), three * np.uint64(131)])
-        feats.append((((h ^ (h >> np.uint64(15))) * np.uint64(0x2545F491)) >> np.uint64(13)) % np.uint64(DIMS))
-        rows.append(np.full(len(h), i, np.int64))
-    if not rows:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(rows), np.concatenate(feats).astype(np.int64)
+    """(row, feature) of every n-gram occurrence, ordered by row."""
+    low = _character_tables()[0]
+    codes = _codes("\0" + "\0".join(t.replace("\0", " ") for t in texts) + "\0")
+    edge = codes == 0
+    row = np.cumsum(edge) - 1
+    a = low[codes]
+    keep = np.ones(len(a), bool)
+    keep[1:] = (a[1:] != 32) | (a[:-1] != 32) | edge[1:]
+    keep[:-1] &= ~((a[:-1] == 32) & ~edge[:-1] & edge[1:])  # no space before an edge
+    a, edge, row = a[keep].astype(np.uint64), edge[keep], row[keep]
+    two = a[:-1] * np.uint64(0x9E3779B1) + a[1:] * np.uint64(0x85EBCA77)
+    three = two[:-1] * np.uint64(0x27D4EB2F) + a[2:] * np.uint64(0x165667B1)
+    h = np.zeros((len(a), 3), np.uint64)
+    h[:, 0] = a * np.uint64(0xC2B2AE3D)
+    h[:-1, 1] = two * np.uint64(31)
+    h[:-2, 2] = three * np.uint64(131)
+    use = np.zeros((len(a), 3), bool)
+    use[:, 0] = a != 32
+    use[:-1, 1] = ~(edge[:-1] & edge[1:])
+    use[:-2, 2] = ~edge[1:-1]
+    feat = (((h ^ (h >> np.uint64(15))) * np.uint64(0x2545F491)) >> np.uint64(13)) % np.uint64(DIMS)
+    return np.repeat(row, 3)[use.ravel()], feat.ravel()[use.ravel()].astype(np.int64)
 
 
 def vectors(texts: list[str], idf: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sparse unit rows (row, feature, weight) with damped counts."""
-    r, f = grams(texts)
-    key, n = np.unique(r * DIMS + f, return_counts=True)
-    row, feat = key // DIMS, key % DIMS
-    w = 1 + np.log(n)
-    if idf is not None:
-        w = w * idf[feat]
+    """Sparse rows (row, feature, weight), one entry per occurrence, of about unit length."""
+    row, feat = grams(texts)
+    w = np.ones(len(feat), np.float32) if idf is None else idf[feat]
     norm = np.sqrt(np.bincount(row, w * w, minlength=len(texts)))
     return row, feat, (w / np.maximum(norm[row], 1e-12)).astype(np.float32)
 
@@ -136,8 +158,8 @@ def fit(samples: dict[str, list[str]], clusters: int = CLUSTERS, rounds: int = 8
     names = sorted(samples)
     texts = [t for n in names for t in samples[n]]
     labels = np.array([i for i, n in enumerate(names) for _ in samples[n]])
-    row, feat, _ = vectors(texts, None)
-    df = np.bincount(feat, minlength=DIMS)
+    row, feat = grams(texts)
+    df = np.bincount(np.unique(row * DIMS + feat) % DIMS, minlength=DIMS)  # texts that hold the feature
     idf = np.log((1 + len(texts)) / (1 + df)).astype(np.float32) + 0.1
 
     def centroids(k: int, keep: np.ndarray) -> Model:
@@ -173,67 +195,81 @@ def fit(samples: dict[str, list[str]], clusters: int = CLUSTERS, rounds: int = 8
     return centroids(clusters, keep)
 
 
-def pieces(text: str) -> list[tuple[int, int]]:
+class Counts:
+    """Letters of texts and of their parts; a Han, kana or Hangul counts three."""
+
+    def __init__(self, texts: list[str]):
+        _, letter, latin, wide = _character_tables()
+        codes = _codes("".join(texts))
+        self.starts = np.cumsum([0, *(len(t) for t in texts)]).tolist()
+
+        def sums(x: np.ndarray) -> np.ndarray:
+            out = np.zeros(len(x) + 1, np.int32)
+            np.cumsum(x, out=out[1:])
+            return out
+
+        self.wide = sums(wide[codes])
+        self.letters = sums(letter[codes]) + 2 * self.wide
+        self.latin = sums(latin[codes])
+
+    def of(self, i: int, a: int, b: int) -> int:
+        at = self.starts[i]
+        return int(self.letters[at + b] - self.letters[at + a])
+
+
+def pieces(text: str, counts: Counts | None = None, i: int = 0) -> list[tuple[int, int]]:
     """Sentence-like pieces covering a text; line breaks don't end one. Short pieces join the next, or the one before."""
-    flat = regex.sub(r"[\r\n]", " ", text)
+    counts = counts or Counts([text])
     out: list[tuple[int, int]] = []
     start = 0
-    for m in _piece.finditer(flat):
-        if m.end() == m.start():
-            continue
-        if letters(flat[start : m.end()]) >= LEAST_LETTERS:
+    for m in _end.finditer(text):
+        if counts.of(i, start, m.end()) >= LEAST_LETTERS:
             out.append((start, m.end()))
             start = m.end()
-    if start < len(flat):
-        rest = (start, len(flat))
-        if out and letters(flat[start:]) < LEAST_LETTERS:
-            out[-1] = (out[-1][0], len(flat))
-        elif flat[start:].strip():
-            out.append(rest)
+    if start < len(text):
+        if out and counts.of(i, start, len(text)) < LEAST_LETTERS:
+            out[-1] = (out[-1][0], len(text))
+        elif text[start:].strip():
+            out.append((start, len(text)))
     return out
 
 
-def letters(text: str) -> int:
-    return len(_letter.findall(text)) + 2 * len(_wide.findall(text))
-
-
-def stretches(texts: list[str], model: Model) -> list[list[tuple[int, int, str, float, bool]]]:
-    """Per text, its single-language stretches (start, end, language, confidence, holds a whole sentence)."""
-    spans = [pieces(t) for t in texts]
-    flat = [t[a:b] for t, p in zip(texts, spans, strict=True) for a, b in p]
-    got = iter(zip(model.classify([_main_script(x) for x in flat]), flat, strict=True))
+def stretches(texts: list[str], model: Model) -> list[list[tuple[int, int, str, float, bool, int]]]:
+    """Per text, its single-language stretches (start, end, language, confidence, holds a whole sentence, letters)."""
+    counts = Counts(texts)
+    spans = [pieces(t, counts, i) for i, t in enumerate(texts)]
+    flat = [_main_script(t[a:b], counts, i, a, b) for i, (t, p) in enumerate(zip(texts, spans, strict=True)) for a, b in p]
+    got = iter(model.classify(flat))
     out = []
-    for _, p in zip(texts, spans, strict=True):
-        rows: list[tuple[int, int, str, float, bool]] = []
-        judged = [(a, b, *next(got)) for a, b in p]
+    for i, (t, p) in enumerate(zip(texts, spans, strict=True)):
+        rows: list[tuple[int, int, str, float, bool, int]] = []
+        judged = [(a, b, counts.of(i, a, b), *next(got)) for a, b in p]
         weight: dict[str, float] = {}
-        for _, _, (lang, conf, _), part in judged:
+        for _, _, n, lang, conf, _ in judged:
             if lang != "und":
-                weight[lang] = weight.get(lang, 0) + letters(part) * conf
+                weight[lang] = weight.get(lang, 0) + n * conf
         main = max(sorted(weight), key=weight.__getitem__) if weight else "und"
-        for a, b, (lang, conf, margin), part in judged:
-            whole = bool(_final.search(part)) and letters(part) >= 2 * LEAST_LETTERS - 6
+        for a, b, n, lang, conf, margin in judged:
+            whole = n >= 2 * LEAST_LETTERS - 6 and bool(_final.search(t[max(a, b - 16) : b]))
             if lang == "und" or (lang != main and not (whole and margin >= 2 * LEAST_MARGIN)):
-                lang, conf, whole = main, min(conf, 0.0), False
+                lang, conf, whole = main, 0.0, False
             if rows and rows[-1][2] == lang:
-                s, _, _, c, w = rows[-1]
-                share = (b - a) / (b - s)
-                rows[-1] = (s, b, lang, c * (1 - share) + conf * share, w or whole)
+                s, _, _, k, w, m = rows[-1]
+                share = n / max(n + m, 1)
+                rows[-1] = (s, b, lang, k * (1 - share) + conf * share, w or whole, m + n)
             else:
-                rows.append((a, b, lang, conf, whole))
+                rows.append((a, b, lang, conf, whole, n))
         out.append(rows)
     return out
 
 
-def _main_script(part: str) -> str:
+def _main_script(part: str, counts: Counts, i: int, a: int, b: int) -> str:
     """A piece without the letters of a script that is not its main one: names keep their own letters in foreign sentences."""
-    wide = len(_wide.findall(part))
-    latin = len(regex.findall(r"\p{Latin}", part))
-    other = len(_letter.findall(part)) - wide - latin
-    if wide and 3 * wide >= latin:
-        return regex.sub(r"\p{Latin}+", " ", part)
-    if other > 0 and other >= 0.4 * latin:
-        return regex.sub(r"\p{Latin}+", " ", part)
+    at = counts.starts[i]
+    latin, wide = int(counts.latin[at + b] - counts.latin[at + a]), int(counts.wide[at + b] - counts.wide[at + a])
+    other = counts.of(i, a, b) - 3 * wide - latin
+    if latin and (wide and 3 * wide >= latin or other > 0 and other >= 0.4 * latin):
+        return _latin_run.sub(" ", part)
     return part
 
 
@@ -276,8 +312,8 @@ def language_stretches(df: DataFrame, keys: list[str], text: str, model: Model)
                 got = stretches(texts, shared.value)
                 out = part[keys].copy()
                 out["stretches"] = [
-                    [{"start_char": s, "end_char": e, "lang": lang, "confidence": c, "whole": w, "n_letters": letters(t[s:e])} for s, e, lang, c, w in rows_]
-                    for t, rows_ in zip(texts, got, strict=True)
+                    [{"start_char": s, "end_char": e, "lang": lang, "confidence": c, "whole": w, "n_letters": n} for s, e, lang, c, w, n in rows_]
+                    for rows_ in got
                 ]
                 yield out
 

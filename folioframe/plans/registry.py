@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from folioframe.plans import library, story
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return library.QUERIES | story.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return library.SQL | story.SQL

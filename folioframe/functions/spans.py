@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,27 +32,44 @@ def protects(ps: Column, pe: Column, s: Column, e: Column) -> Column:
     return F.when(s == e, (ps < s) & (s < pe)).otherwise(overlaps(ps, pe, s, e))
 
 
+#: Elements summed up at once, so that running sums over long arrays stay near linear.
+CHUNK = 128
+
+
+def with_starts(items: Column, base: Column, size: Callable[[Column], Column]) -> Column:
+    """array<struct<start, item>>: each item with ``base`` and the sizes of those before it, in two levels of sums."""
+    return let(items, lambda it: _placed(it, base, size))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _placed(items: Column, base: Column, size: Callable[[Column], Column]) -> Column:
+    n = F.size(items)
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / CHUNK).cast("int")), lambda c: F.slice(items, c * CHUNK + 1, F.lit(CHUNK)))
+    sums = lambda first, xs, of: F.aggregate(xs, F.array(first.cast("long")), lambda a, x: F.concat(a, F.array((F.element_at(a, -1) + of(x)).cast("long"))))
+    total = lambda ch: F.aggregate(ch, F.lit(0).cast("long"), lambda a, x: (a + size(x)).cast("long"))
+    starts = lambda cs: sums(base, F.transform(cs, total), lambda x: x)
+    pairs = let(chunks, lambda cs: F.filter(F.arrays_zip(cs.alias("c"), starts(cs).alias("s")), lambda z: z["c"].isNotNull()))
+    at = F.flatten(F.transform(pairs, lambda z: F.slice(sums(z["s"], z["c"], size), F.lit(1), F.size(z["c"]))))
+    return F.when(n > 0, F.transform(F.arrays_zip(items.alias("item"), at.alias("start")), lambda z: F.struct(z["start"].alias("start"), z["item"].alias("item"))))
+
+
 def match_spans(text: Column, pattern: str, group: int = 0) -> Column:
     """array<struct<start, text, whole>>: byte position and text of each match, and of ``group`` within it.
 
-    Spark gives matches without positions; they follow from the pieces between the matches, in one fold.
-    ``start`` is where the whole match starts.
+    Spark gives matches without positions; they follow from the pieces between the matches. ``start`` is where the
+    whole match starts. Null gives null, no match an empty array.
     """
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     part = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
-    gaps = F.split(text, pattern, -1)
-    row = F.transform(F.arrays_zip(whole.alias("w"), part.alias("p"), gaps.alias("g")), lambda x: x)
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,text:string,whole:string>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.octet_length(x["g"])
-        item = F.struct(start.alias("start"), x["p"].alias("text"), x["w"].alias("whole"))
-        return F.struct(
-            (start + F.coalesce(F.octet_length(x["w"]), F.lit(0))).cast("long").alias("at"),
-            F.when(x["w"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(item))).alias("out"),
-        )
-
-    return F.when(F.size(whole) > 0, F.aggregate(row, zero, step)["out"]).otherwise(zero["out"])
+    items = F.arrays_zip(whole.alias("w"), part.alias("p"), F.split(text, pattern, -1).alias("g"))
+    placed = with_starts(items, F.lit(0), lambda x: F.octet_length(x["g"]) + F.coalesce(F.octet_length(x["w"]), F.lit(0)))
+    hits = F.filter(placed, lambda z: z["item"]["w"].isNotNull())
+    found = F.transform(hits, lambda z: F.struct((z["start"] + F.octet_length(z["item"]["g"])).cast("long").alias("start"), z["item"]["p"].alias("text"), z["item"]["w"].alias("whole")))
+    return F.when(text.isNotNull(), F.coalesce(found, F.array().cast("array<struct<start:bigint,text:string,whole:string>>")))
 
 
 def char_span_to_bytes(text: Column, start: Column, end: Column, base: Column) -> Column:

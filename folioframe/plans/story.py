@@ -84,7 +84,7 @@ def _registry(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     registry = ids7.filter("id != 5").select(F.col("id").alias("location_id"))
     travel = ids7.crossJoin(ids7.select(F.col("id").alias("b"))).filter("id != b AND (id + b) % 3 != 0").select(F.col("id").alias("from_id"), F.col("b").alias("to_id"), ((F.col("id") * 7 + F.col("b")) * 20).alias("minimum_ticks"))
     info = spark.range(11).filter("id != 8").select(F.col("id").alias("information_id"))
-    rev = chars.select("character_id", F.explode(F.sequence(F.lit(0), F.lit(10))).cast("long").alias("information_id"), "from_tick", "from_ord").filter("(character_id + information_id) % 3 != 0").withColumn("from_tick", F.col("from_tick") + F.col("information_id") * 1500)
+    rev = chars.select("character_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(10).cast("long"))).alias("information_id"), "from_tick", "from_ord").filter("(character_id + information_id) % 3 != 0").withColumn("from_tick", F.col("from_tick") + F.col("information_id") * 1500)
     return {"acts": acts, "chars": chars, "variants": variants, "registry": registry, "travel": travel, "info": info, "rev": rev}
 
 
@@ -169,8 +169,8 @@ def run_ledger(spark: SparkSession, sf: str) -> DataFrame:
 def run_upsert(spark: SparkSession, sf: str) -> DataFrame:
     """The first half of the ledger, upserted with the second."""
     runs = table(spark, sf, "llm_runs").select("run_id", "status", "attempt_count", "started_at", "ingested_at")
-    old = store.upsert(runs.limit(0), runs.filter("started_at < '2025-06-01'"), ["run_id"], "ingested_at")
-    return store.upsert(old, runs.filter("started_at >= '2025-06-01' OR attempt_count > 1"), ["run_id"], "ingested_at").groupBy("status").agg(F.count("*").alias("n"), F.sum("attempt_count").alias("attempts"))
+    old = store.upsert(runs.limit(0), runs.filter("started_at < '2025-02-01'"), ["run_id"], "ingested_at")
+    return store.upsert(old, runs.filter("started_at >= '2025-02-01' OR attempt_count > 1"), ["run_id"], "ingested_at").groupBy("status").agg(F.count("*").alias("n"), F.sum("attempt_count").alias("attempts"))
 
 
 def run_means(spark: SparkSession, sf: str) -> DataFrame:
@@ -194,7 +194,7 @@ def run_comparison(spark: SparkSession, sf: str) -> DataFrame:
         return m.select(F.col("project_id").alias("case_id"), F.explode(F.array(*(F.struct(F.lit(x).alias("metric"), F.col(x).cast("double").alias("value")) for x in ("success", "latency_ms", "total_tokens")))).alias("x")).select("case_id", "x.metric", "x.value")
 
     limits = spark.createDataFrame([("success", 0.5, None, None), ("latency_ms", None, None, 1.5), ("total_tokens", None, None, 1.25)], "metric string, minimum double, maximum double, max_ratio double")
-    return evaluate.compare_runs(side(runs.filter("started_at < '2025-06-01'")), side(runs.filter("started_at >= '2025-06-01'")), limits).select("case_id", "metric", "issue")
+    return evaluate.compare_runs(side(runs.filter("started_at < '2025-02-01'")), side(runs.filter("started_at >= '2025-02-01'")), limits).select("case_id", "metric", "issue")
 
 
 def speaker_labels(spark: SparkSession, sf: str) -> DataFrame:
@@ -247,14 +247,14 @@ _ACTS = """a AS (SELECT event_id, user_id AS cid, CASE event_type WHEN 'click' T
   li AS (SELECT *, last_value(CASE WHEN kind = 'death' OR (kind = 'revival' AND grounded) THEN kind END IGNORE NULLS) OVER (PARTITION BY cid ORDER BY tick, ord, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lk FROM m),
   lo AS (SELECT *, loc <> 5 AS known, lag(loc) OVER w AS pl, lag(tick) OVER w AS pt FROM m WHERE kind = 'location' WINDOW w AS (PARTITION BY cid ORDER BY tick, ord, event_id)),
   mv AS (SELECT *, CASE WHEN (pl + loc) % 3 <> 0 THEN (pl * 7 + loc) * 20 END AS need FROM lo WHERE known AND pl <> 5 AND pl <> loc),
-  kn AS (SELECT m.*, inf <> 8 AS known, CASE WHEN (m.cid + inf) % 3 <> 0 THEN c.ft + inf * 1500 END AS at FROM m JOIN c USING (cid) WHERE kind = 'knowledge'),
+  kn AS (SELECT m.*, inf <> 8 AS known, CASE WHEN (m.cid + inf) % 3 <> 0 THEN c.ft + inf * 1500 END AS acc FROM m JOIN c USING (cid) WHERE kind = 'knowledge'),
   fd AS (SELECT event_id, cid, 'UNRESOLVED_CHARACTER' AS rule, 'notice' AS severity FROM a WHERE cid NOT IN (SELECT cid FROM c)
     UNION ALL SELECT event_id, m.cid, 'APPEARANCE_BEFORE_EXISTENCE', 'warning' FROM m JOIN c USING (cid) WHERE (tick, ord) < (ft, 0)
     UNION ALL SELECT event_id, cid, 'SPEECH_AFTER_DEATH', 'warning' FROM li WHERE kind = 'speech' AND lk = 'death'
     UNION ALL SELECT event_id, cid, 'UNRESOLVED_LOCATION', 'notice' FROM lo WHERE NOT known UNION ALL SELECT event_id, cid, 'UNKNOWN_TRAVEL_CONSTRAINT', 'notice' FROM mv WHERE need IS NULL
     UNION ALL SELECT event_id, cid, 'IMPOSSIBLE_LOCATION_TRANSITION', 'warning' FROM mv WHERE tick - pt < need
-    UNION ALL SELECT event_id, cid, 'UNRESOLVED_INFORMATION', 'notice' FROM kn WHERE NOT known UNION ALL SELECT event_id, cid, 'UNKNOWN_KNOWLEDGE_ACCESS', 'notice' FROM kn WHERE known AND at IS NULL
-    UNION ALL SELECT event_id, cid, 'KNOWLEDGE_BEFORE_REVELATION', 'warning' FROM kn WHERE known AND (tick, ord) < (at, 0)
+    UNION ALL SELECT event_id, cid, 'UNRESOLVED_INFORMATION', 'notice' FROM kn WHERE NOT known UNION ALL SELECT event_id, cid, 'UNKNOWN_KNOWLEDGE_ACCESS', 'notice' FROM kn WHERE known AND acc IS NULL
+    UNION ALL SELECT event_id, cid, 'KNOWLEDGE_BEFORE_REVELATION', 'warning' FROM kn WHERE known AND acc IS NOT NULL AND (tick, ord) < (acc, 0)
     UNION ALL SELECT event_id, cid, 'INVALID_NAME_VARIANT', 'warning' FROM m LEFT JOIN nh USING (event_id) WHERE coalesce(own, 0) = 0 UNION ALL SELECT event_id, cid, 'AMBIGUOUS_NAME_VARIANT', 'notice' FROM m JOIN nh USING (event_id) WHERE own = 1 AND other = 1)"""
 _CX = "cx AS (SELECT DISTINCT ON (context_id) * FROM context_inputs ORDER BY context_id, ingested_at), q AS (SELECT context_id, project_id, lower(coalesce(current_chapter, '') || chr(10) || coalesce(task, '')) AS query FROM cx)"
 _CJK = r"[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{20000}-\x{2EBEF}\x{F900}-\x{FAFF}\x{3040}-\x{30FF}\x{AC00}-\x{D7AF}]"
@@ -304,7 +304,7 @@ SQL = {
     "run_means": f"""WITH {_RUN}, p AS (SELECT provider, project_id, avg(total_tokens) AS total_tokens, avg(latency_ms) AS latency_ms, CAST(avg(attempt_count) AS DOUBLE) AS attempts FROM r GROUP BY 1, 2),
         l AS (SELECT provider, 'total_tokens' AS metric, total_tokens AS value FROM p UNION ALL SELECT provider, 'latency_ms', latency_ms FROM p UNION ALL SELECT provider, 'attempts', attempts FROM p)
         SELECT provider, metric, CASE WHEN metric IN ('total_tokens', 'latency_ms') AND count(value) < count(*) THEN NULL ELSE avg(value) END AS value FROM l GROUP BY 1, 2""",
-    "run_comparison": f"""WITH {_RUN}, s AS (SELECT project_id, started_at >= TIMESTAMP '2025-06-01' AS late, avg(CASE WHEN status = 'succeeded' THEN 1.0 ELSE 0.0 END) AS success, avg(latency_ms) AS latency_ms, avg(total_tokens) AS total_tokens FROM r WHERE started_at IS NOT NULL AND project_id IS NOT NULL GROUP BY 1, 2),
+    "run_comparison": f"""WITH {_RUN}, s AS (SELECT project_id, started_at >= TIMESTAMP '2025-02-01' AS late, avg(CASE WHEN status = 'succeeded' THEN 1.0 ELSE 0.0 END) AS success, avg(latency_ms) AS latency_ms, avg(total_tokens) AS total_tokens FROM r WHERE started_at IS NOT NULL AND project_id IS NOT NULL GROUP BY 1, 2),
         l AS (SELECT project_id AS case_id, late, 'success' AS metric, success AS value FROM s UNION ALL SELECT project_id, late, 'latency_ms', latency_ms FROM s UNION ALL SELECT project_id, late, 'total_tokens', total_tokens FROM s),
         j AS (SELECT c.case_id, c.metric, b.value AS b, c.value AS c FROM (SELECT * FROM l WHERE late) c LEFT JOIN (SELECT * FROM l WHERE NOT late) b USING (case_id, metric)),
         i AS (SELECT case_id, metric, CASE WHEN (b IS NULL) <> (c IS NULL) THEN 'MissingMetric' WHEN metric = 'success' AND c < 0.5 THEN 'BelowMinimum' WHEN metric = 'latency_ms' AND c > b * 1.5 THEN 'CostRatio' WHEN metric = 'total_tokens' AND c > b * 1.25 THEN 'CostRatio' WHEN metric = 'success' AND b - c > 0.02 THEN 'QualityDrop' END AS issue FROM j)

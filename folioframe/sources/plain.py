@@ -33,18 +33,12 @@ def lines(texts: DataFrame, key: str = "source_id", body: str = "text", base: Co
     t = F.col(body)
     ends = F.regexp_extract_all(t, F.lit(text.LINE_END), F.lit(0))
     parts = F.split(t, text.LINE_END, -1)
-    zero = F.struct((base if base is not None else F.lit(0)).cast("long").alias("at"), F.array().cast("array<struct<line:string,s:bigint,e:bigint>>").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        end = a["at"] + F.octet_length(x["p"])
-        last = x["e"].isNull() & (x["p"] == "")
-        return F.struct(
-            (end + F.coalesce(F.octet_length(x["e"]), F.lit(0))).cast("long").alias("at"),
-            F.when(last, a["out"]).otherwise(F.concat(a["out"], F.array(F.struct(x["p"].alias("line"), a["at"].alias("s"), end.cast("long").alias("e"))))).alias("out"),
-        )
-
-    folded = F.aggregate(F.arrays_zip(parts.alias("p"), ends.alias("e")), zero, step)["out"]
-    return texts.filter(t.isNotNull()).select(key, F.posexplode(folded).alias("line_no", "_l")).select(key, "line_no", F.col("_l.line").alias("line"), F.col("_l.s").alias("start_byte"), F.col("_l.e").alias("end_byte"))
+    size = lambda x: F.octet_length(x["p"]) + F.coalesce(F.octet_length(x["e"]), F.lit(0))
+    placed = spans.with_starts(F.arrays_zip(parts.alias("p"), ends.alias("e")), base if base is not None else F.lit(0), size)
+    kept = F.filter(placed, lambda z: z["item"]["e"].isNotNull() | (z["item"]["p"] != ""))
+    rows = texts.filter(t.isNotNull()).select(key, F.posexplode(kept).alias("line_no", "_l"))
+    line = F.col("_l.item.p")
+    return rows.select(key, "line_no", line.alias("line"), F.col("_l.start").alias("start_byte"), (F.col("_l.start") + F.octet_length(line)).cast("long").alias("end_byte"))
 
 
 def blocks(lined: DataFrame, key: str = "source_id") -> DataFrame:

@@ -95,10 +95,28 @@ def _utf8_pattern(codec: str) -> regex.Pattern:
     return regex.compile(f"(?:{of(0xC2, 0xDF)}{cont}|{of(0xE0, 0xEF)}{cont}{{2}}|{of(0xF0, 0xF4)}{cont}{{3}})+")
 
 
+#: Characters that a corpus is taken to hold before it is counted, so that a small one doesn't decide alone.
+PRIOR_TOTAL = 200_000
+
+
+@lru_cache(maxsize=1)
+def _prior() -> dict[str, int]:
+    out = dict.fromkeys("ßàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿœšž", 100) | dict.fromkeys("абвгдежзийклмнопрстуфхцчшщъыьэюяё", 300) | dict.fromkeys("“”„‘’«»–—…", 200)
+    out |= dict.fromkeys("ÀÁÂÄÅÆÇÈÉÊËÍÎÓÔÖØÚÜАБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ", 20)
+    out |= {chr(c): 100 for c in (*range(0x3041, 0x3097), *range(0x30A1, 0x30FB))} | dict.fromkeys("、。，！？；：「」", 300)
+    for b in range(0xB0, 0xD8):  # the first level of GB 2312
+        out |= dict.fromkeys(bytes(x for c in range(0xA1, 0xFF if b < 0xD7 else 0xFA) for x in (b, c)).decode("gb2312"), 30)
+    return out
+
+
 class Costs:
-    """Bits of each non-ASCII character, from counts over the corpus."""
+    """Bits of each non-ASCII character, from counts over the corpus and a small prior of ordinary letters and marks."""
 
     def __init__(self, counts: dict[str, int], total: int):
+        total += PRIOR_TOTAL
+        counts = dict(counts)
+        for c, n in _prior().items():
+            counts[c] = counts.get(c, 0) + n
         self.bits = {c: min(MOST, max(ASCII_BITS, -math.log2((n + 0.5) / max(total, 1)))) for c, n in counts.items()}
         for c in [c for c in self.bits if _hopeless.match(c)]:
             del self.bits[c]

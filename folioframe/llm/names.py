@@ -25,6 +25,8 @@ from folioframe.session import cut_lineage
 
 LEAST_SUFFIX = 3
 LEAST_RATIO = 0.8
+#: Of two four-letter tokens a changed letter makes another name.
+SHORT_RATIO = 0.85
 #: Names sharing a suffix in a project from which the suffix is refined.
 COMMON_SUFFIX = 200
 MAX_ROUNDS = 50
@@ -204,7 +206,7 @@ def near(a: str, b: str) -> bool:
         return True
     if min(len(a), len(b)) < 4:
         return False
-    return lcs_ratio(a, b) >= (LEAST_RATIO if min(len(a), len(b)) >= 5 else 0.75) and _one_edit(a, b)
+    return lcs_ratio(a, b) >= (LEAST_RATIO if min(len(a), len(b)) >= 5 else SHORT_RATIO) and _one_edit(a, b)
 
 
 def formal(token: str) -> frozenset[str]:

@@ -102,6 +102,8 @@ def select_ranks(counts: DataFrame, keys: list[str], probabilities: tuple[float,
         if total is None or left * 2 < total:  # rows of discarded ranges are not read again
             state = cut_lineage(state)
             live, total = cut_lineage(inside(live, state.select("_g", "lo", "hi"), 2 * n_state).select("_g", "value", "n")), left
+    if not found:
+        found.append(groups.select("_g", F.lit(0.0).alias("p"), F.lit(0.0).alias("value")).limit(0))
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)

@@ -23,6 +23,8 @@ VOCABULARY = 200_000
 RATIO, LEAST_COUNT = 25, 8
 DIMS, WINDOW = 24, 3
 LEAST_COSINE = 0.0
+#: Vectors of fewer words say nothing of their neighbours.
+LEAST_VECTORS = 200
 MAX_EDITS = 2
 
 #: What is read, and what may have been printed.
@@ -298,7 +300,7 @@ def learn(df: DataFrame, text: str, vocabulary: int = VOCABULARY, dims: int = DI
     vectors: dict[str, np.ndarray] = {}
     plain = [n for w, n in counts.items() if "-" not in w]
     least = max(LEAST_COUNT, min(plain) if len(plain) >= vocabulary else LEAST_COUNT)
-    if any(n >= least for n in plain):
+    if sum(n >= least for n in plain) >= LEAST_VECTORS:
         parallel = min(8, df.sparkSession.sparkContext.defaultParallelism)
         model = Word2Vec(vectorSize=dims, windowSize=WINDOW, minCount=least, maxIter=1, numPartitions=parallel, seed=7, inputCol="words", outputCol="v", maxSentenceLength=200).fit(words)
         vectors = {r["word"]: np.asarray(r["vector"].toArray(), np.float32) for r in model.getVectors().toLocalIterator()}

@@ -44,9 +44,9 @@ ORG_TYPES = {
 _org_type = {abbr: kind for kind, abbrs in ORG_TYPES.items() for abbr in (kind, *abbrs.split())}
 #: Common short forms of given names.
 NICKNAMES = """
-alexander: alex sasha xander sandy al; augustin: gus augie august; bartholomew: bart barty bartie; benedikt: ben benno benny; benjamin: ben benny; casimir: caz cas kaz casi;
-charles: charlie chuck; daniel: dan danny; désirée: desi dee; edward: ed eddie ted ned; elisabeth: liz lisa beth betty lizzie elise lisbeth eliza; frederick: fred freddie freddy fritz rick;
-henrietta: etta hetty hettie henny hattie harriet; henry: harry hal hank; isadora: isa dora issy izzy; james: jim jimmy jamie; john: jack johnny; josephine: jo josie fina; joseph: joe joey; katharina: kat kate kathy katja kathi katie kitty tina;
+alexander: alex sasha xander sandy al; augustin: gus augie august; bartholomew: bart barty bartie; benedikt: ben benno benny; benjamin: ben benny; casimir: caz cas kaz casi miro;
+charles: charlie chuck; daniel: dan danny; désirée: desi dee; edward: ed eddie ted ned; elisabeth: liz lisa beth betty lizzie elise lisbeth eliza elsie elsa ilse; frederick: fred freddie freddy fritz rick;
+henrietta: etta hetty hettie henny hattie harriet; henry: harry hal hank; isadora: isa dora issy izzy; james: jim jimmy jamie; john: jack johnny; josephine: jo josie fina; joseph: joe joey; katharina: kat kate kathy katja kathi katie kitty tina kasia trina;
 leopold: leo poldi; magdalena: lena magda maddie; margarethe: greta meg maggie grete gretel margo peggy; mary: molly polly; michael: mike mick; nathaniel: nate nat nathan; nicholas: nick; patricia: pat patty; philippa: pip pippa phil;
 richard: rich rick dick; robert: rob bob bobby robin robbie bert; rosalind: roz rosie rose ros linda lindy; samuel: sam; susannah: sue susie suzie zanna susan sanna anna; theodore: theo ted teddy; thomas: tom tommy; tobias: toby tobi; victoria: vicky tori;
 wilhelmina: mina willa minna wilma billie; william: will bill billy liam willy; zoë: zo; rené: ren;
@@ -73,7 +73,8 @@ def fold(text: str) -> str:
 
 def spell(text: str) -> str:
     """A folded word of a person's name, with one spelling of the i sounds that transcriptions write in many ways."""
-    return regex.sub(r"(?<=.)(?:iy|ij|yi|yj|ii|y)(?![aou])", "i", fold(text))
+    out = regex.sub(r"(?<=.)(?:iy|ij|yi|yj|ii|y)(?![aou])", "i", fold(text))
+    return regex.sub(r"(?<=[oe])(?:ff|w)$", "v", out) if len(out) > 5 else out
 
 
 def _nick_table(text: str) -> dict[str, frozenset[str]]:
@@ -213,31 +214,63 @@ def formal(token: str) -> frozenset[str]:
     return _nicks.get(token, frozenset())
 
 
+@lru_cache(maxsize=1 << 16)
+def spelled_out(token: str) -> frozenset[str]:
+    """Given names that a token may stand for: itself, what it is short for, and that of a short form with one typing error."""
+    out = {token} | formal(token)
+    if len(token) >= 3:
+        out |= {f for n, full in _nicks.items() if len(n) >= 3 and abs(len(n) - len(token)) <= 1 and _one_edit(n, token) for f in full}
+    return frozenset(out)
+
+
 def _given(a: str, b: str, a_short: bool, b_short: bool, exact_rest: bool) -> bool:
     """Whether two given names may be the same: equal, nickname, initial, abbreviated, or with a typing error."""
     if a == b or b in formal(a) or a in formal(b) or formal(a) & formal(b):
         return True
     if len(a) == 1 or len(b) == 1:
-        return a[0] == b[0]
-    if (a_short and b.startswith(a)) or (b_short and a.startswith(b)):
+        return a[0] == b[0] or exact_rest and any(x[0] == (a if len(a) == 1 else b) for x in formal(b if len(a) == 1 else a))
+    if (a_short and any(x.startswith(a) for x in {b, *formal(b)})) or (b_short and any(x.startswith(b) for x in {a, *formal(a)})):
         return True
     if near(a, b):
         return True
     if exact_rest:
         if _one_edit(a, b) and max(len(a), len(b)) >= 3:
             return True
-        short, other = (a, b) if len(a) <= len(b) else (b, a)
-        return any(n != short and len(n) >= 3 and _one_edit(n, short) and other in full for n, full in _nicks.items() if abs(len(n) - len(short)) <= 1)
+        x, y = spelled_out(a), spelled_out(b)
+        return b in x or a in y or bool(b_short and any(f.startswith(b) for f in x)) or bool(a_short and any(f.startswith(a) for f in y))
     return False
 
 
+def _surname(n: Name) -> str:
+    """The token of a name without a whole given name that is its surname, '' if there is none."""
+    whole = [t for t in n.tokens if len(t) > 1 and t not in n.dotted]
+    return whole[-1] if whole else ""
+
+
+def _parts(x: Name, y: Name) -> str:
+    """Two parts: 'same' if alike, 'part_a' or 'part_b' if that one is a surname that the other one has with a shortened given name."""
+    if sorted(x.tokens) == sorted(y.tokens):
+        return "same"
+    p, q = _surname(x), _surname(y)
+    if not p or not q or not (p == q or near(p, q)):
+        return ""
+    g, h = [t for t in x.tokens if t != p], [t for t in y.tokens if t != q]
+    if g and h:
+        return "same" if _given(g[0], h[0], g[0] in x.dotted, h[0] in y.dotted, p == q) else ""
+    return "part_a" if h else "part_b" if g else "same"
+
+
 def _persons(x: Name, y: Name) -> str:
     """'same' for two full names of one person, 'part' where one is a part that fits the other, '' otherwise."""
     a, b = (x, y) if x.full or not y.full else (y, x)
     if not a.full:
-        return "same" if set(a.tokens) == set(b.tokens) and len(a.tokens) == len(b.tokens) else ""
+        return _parts(x, y)
     whole = [t for t in a.tokens if len(t) > 1 and t not in a.dotted]
-    first, last = whole[0], whole[-1]
+    # In the other order a surname stands where a given name is expected, so typing errors are held to be others' names.
+    return _person(a, whole[0], whole[-1], b, True) or _person(a, whole[-1], whole[0], b, False)
+
+
+def _person(a: Name, first: str, last: str, b: Name, loose: bool) -> str:
     middles = [t for t in a.tokens if t not in (first, last)]
     short = lambda t: t in b.dotted
     firsts = {first, *((a.nick,) if a.nick else ())}
@@ -251,7 +284,7 @@ def _persons(x: Name, y: Name) -> str:
             gs = {g, *((b.nick,) if b.nick else ())}
             for p in firsts:
                 for q in gs:
-                    if s == last and _given(p, q, p in a.dotted, short(q), True):
+                    if s == last and _given(p, q, p in a.dotted, short(q), loose):
                         return "same"
                     if near(s, last) and (p == q or q in formal(p) or p in formal(q)):
                         return "same"
@@ -264,7 +297,7 @@ def _persons(x: Name, y: Name) -> str:
     g, s = b.tokens[0], b.tokens[-1]
     for p, q in ((g, s), (s, g)):  # given name, surname in either order, of which one is shortened
         if (q == last or near(q, last) or len(q) == 1 and q == last[0] or q in b.dotted and last.startswith(q)) and any(
-            _given(f, p, False, p in b.dotted, len(q) > 1) for f in firsts
+            _given(f, p, False, p in b.dotted, loose and len(q) > 1) for f in firsts
         ):
             return "part" if len(p) == 1 or len(q) == 1 or p in b.dotted or q in b.dotted else "same"
     return ""
@@ -285,7 +318,7 @@ def _orgs(x: Name, y: Name) -> str:
             return ""
         typos += hit != t and not (t in x.dotted | y.dotted or hit in x.dotted | y.dotted)
         left.remove(hit)
-    if typos > 1:
+    if typos > (1 if len(small.tokens) < 3 else 2):
         return ""
     if not left:
         return "same"
@@ -495,13 +528,27 @@ def link(names: DataFrame) -> DataFrame:
     da, db = degree.select("project_id", F.col("name").alias("name_a"), F.col("n").alias("na")), degree.select("project_id", F.col("name").alias("name_b"), F.col("n").alias("nb"))
     part = part.join(da, ["project_id", "name_a"], "left").join(db, ["project_id", "name_b"], "left")
     short = F.coalesce(short, F.when(F.col("na") >= F.col("nb"), F.col("name_a")).otherwise(F.col("name_b")))
-    part = part.select("project_id", short.alias("name"), F.when(short == F.col("name_a"), F.col("name_b")).otherwise(F.col("name_a")).alias("whole"))
-    to = part.join(entities.withColumnRenamed("name", "whole"), ["project_id", "whole"]).groupBy("project_id", "name").agg(F.count_distinct("entity").alias("n"), F.min("entity").alias("entity"))
+    both = F.col("a_full") & F.col("b_full")
+    part = cut_lineage(part.select("project_id", short.alias("name"), F.when(short == F.col("name_a"), F.col("name_b")).otherwise(F.col("name_a")).alias("whole"), both.alias("both")))
+
+    def fits_of(rows: DataFrame, known: DataFrame) -> DataFrame:
+        return rows.join(known.withColumnRenamed("name", "whole"), ["project_id", "whole"]).groupBy("project_id", "name").agg(F.count_distinct("entity").alias("n"), F.min("entity").alias("entity"))
+
+    # Parts that could stand alone are placed first, so that they don't count as entities of their own for the others.
+    first = cut_lineage(fits_of(part.filter("both"), entities))
+    merged = components(names, full_edges.select("project_id", "name_a", "name_b").unionByName(first.filter("n = 1").select("project_id", F.col("name").alias("name_a"), F.col("entity").alias("name_b"))))
+    to = first.unionByName(fits_of(part.filter("NOT both"), merged))
     placed = to.filter("n = 1").select("project_id", "name", F.col("entity").alias("whole"))
     lost = to.filter("n > 1").select("project_id", "name")
     alike = related.filter("how = 'same' AND NOT a_full AND NOT b_full").select("project_id", "name_a", "name_b")
+    bare = related.filter("how IN ('part_a', 'part_b')").select("project_id", F.expr("if(how = 'part_a', name_a, name_b)").alias("name"), F.expr("if(how = 'part_a', name_b, name_a)").alias("whole"))
     for side in ("name_a", "name_b"):
         alike = alike.join(lost.withColumnRenamed("name", side), ["project_id", side], "left_anti")
+    # A surname that fits no full name may still fit one shortened name, or several that are alike.
+    bare = bare.join(to.select("project_id", "name"), ["project_id", "name"], "left_anti")
+    second = components(names, alike)
+    fits = bare.join(second.withColumnRenamed("name", "whole"), ["project_id", "whole"]).groupBy("project_id", "name").agg(F.count_distinct("entity").alias("n"), F.min("whole").alias("whole")).filter("n = 1")
+    placed = placed.unionByName(fits.select("project_id", "name", "whole"))
     edges = full_edges.select("project_id", "name_a", "name_b").unionByName(placed.select("project_id", F.col("name").alias("name_a"), F.col("whole").alias("name_b"))).unionByName(alike)
     return components(names, edges)
 

@@ -155,3 +155,12 @@ def splice(body: Column, start: Column, end: Column, replacement: Column) -> Col
     """Bytes with one span replaced."""
     raw = F.encode(body, "UTF-8")
     return F.concat(F.substring(raw, F.lit(1), start), F.encode(replacement, "UTF-8"), F.substring(raw, end + 1, F.lit(2147483647)))
+
+
+def dirty_from(touched: DataFrame, sequences: DataFrame) -> DataFrame:
+    """(project_id, dirty_from, chapters): the first chapter from which memory must be rebuilt, and the chapters that changed.
+
+    touched: chapter_id; sequences: project_id, chapter_id, sequence.
+    """
+    rows = touched.select("chapter_id").distinct().join(sequences, "chapter_id")
+    return rows.groupBy("project_id").agg(F.min("sequence").alias("dirty_from"), F.array_sort(F.collect_set("chapter_id")).alias("chapters"))

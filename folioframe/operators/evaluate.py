@@ -139,3 +139,32 @@ def compare_runs(baseline: DataFrame, candidate: DataFrame, limits: DataFrame, t
         .when(F.col("max_ratio").isNull() & F.col("maximum").isNotNull() & (F.col("candidate") - F.col("baseline") > tolerance), "QualityDrop")
     )
     return rows.withColumn("issue", issue).filter("issue IS NOT NULL").select("case_id", "metric", "baseline", "candidate", "issue")
+
+
+def golden_problems(cases: DataFrame, case: str = "case_id", source: str = "source_text", segments: str = "segments") -> DataFrame:
+    """(case, code): cases whose segments don't add up to their source, are empty, or whose narration has a speaker."""
+    joined = F.array_join(F.transform(segments, lambda s: s["text"]), "")
+    parts = [
+        cases.filter(~joined.eqNullSafe(F.col(source))).select(case, F.lit("SourceMismatch").alias("code")),
+        cases.filter((F.coalesce(F.size(segments), F.lit(0)) <= 0) | F.exists(segments, lambda s: F.coalesce(s["text"], F.lit("")) == "")).select(case, F.lit("EmptySegment").alias("code")),
+        cases.filter(F.exists(segments, lambda s: (s["segment_type"] == "narration") & s["speaker"].isNotNull())).select(case, F.lit("NarrationSpeaker").alias("code")),
+        cases.groupBy(case).count().filter("count > 1").select(case, F.lit("DuplicateCase").alias("code")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def nth_occurrence(body: Column, part: Column, n: Column) -> Column:
+    """0-based character position of the n-th (from 1) non-overlapping occurrence, null if there are fewer."""
+    pieces = F.split(body, F.concat(F.lit("\\Q"), part, F.lit("\\E")), -1)
+    at = F.char_length(F.array_join(F.slice(pieces, F.lit(1), n), "")) + F.char_length(part) * (n - 1)
+    return F.when((part != "") & (n >= 1) & (n < F.size(pieces)), at)
+
+
+def unpaired(golden: DataFrame, observed: DataFrame, case: str = "case_id") -> DataFrame:
+    """(case, code): golden cases without one observation, observations without a case, repeated ones."""
+    g, o = golden.groupBy(case).agg(F.count("*").alias("g")), observed.groupBy(case).agg(F.count("*").alias("o"))
+    code = F.when(F.col("o").isNull(), "MissingObservation").when(F.col("g").isNull(), "UnknownCase").when((F.col("o") > 1) | (F.col("g") > 1), "Duplicate")
+    return g.join(o, case, "full").select(case, code.alias("code")).filter("code IS NOT NULL")

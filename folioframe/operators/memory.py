@@ -94,3 +94,27 @@ def state_hash(rows: DataFrame, by: list[str], order: list[str], fields: list[st
     part = F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in fields))
     one = F.struct(*order, part.alias("_p"))
     return rows.groupBy(*by).agg(ids.ordered_hash(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["_p"])).alias("state_hash"))
+
+
+def as_of(records: DataFrame, sequence: int) -> DataFrame:
+    """Records up to a chapter, from which the state as of then is rebuilt."""
+    return records.filter(F.col("sequence") <= sequence)
+
+
+def entity_names(records: DataFrame) -> DataFrame:
+    """(chapter_id, names): names and aliases of a chapter, each once, in order."""
+    named = records.select("chapter_id", F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("n")).filter("n IS NOT NULL")
+    return named.groupBy("chapter_id").agg(F.array_sort(F.collect_set("n")).alias("names"))
+
+
+def semantic_signatures(records: DataFrame) -> DataFrame:
+    """(chapter_id, signature): a hash of what a chapter says of its characters, whatever the order and the evidence's place."""
+    claim = F.concat_ws("\x1f", name_key(F.col("name")), F.array_join(F.array_sort(F.array_distinct(F.transform(F.coalesce("aliases", F.array().cast("array<string>")), name_key))), "\x1e"), F.coalesce(F.col("inferred").cast("string"), F.lit("")))
+    return records.groupBy("chapter_id").agg(ids.ordered_hash(F.array_sort(F.collect_set(claim))).alias("signature"))
+
+
+def signature_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(chapter_id, change): chapters whose signature is new, gone or another."""
+    b, a = before.withColumnRenamed("signature", "b"), after.withColumnRenamed("signature", "a")
+    change = F.when(F.col("b").isNull(), "added").when(F.col("a").isNull(), "removed").when(F.col("a") != F.col("b"), "changed")
+    return b.join(a, "chapter_id", "full").select("chapter_id", change.alias("change")).filter("change IS NOT NULL")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioframe.functions import ids
-from folioframe.operators import context, dag, document, evaluate, integrity, memory
+from folioframe.operators import context, dag, diff, document, evaluate, integrity, memory
 from folioframe.session import table
 from folioframe.sources import store
 from folioframe.streaming import streams
@@ -212,7 +212,45 @@ def window_counts(spark: SparkSession, sf: str) -> DataFrame:
     return streams.windowed_counts(table(spark, sf, "events"), "ts", ["event_type"]).withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm"))
 
 
+def golden_problems(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluate.golden_problems(table(spark, sf, "golden_cases"))
+
+
+def chapter_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """Chapters with analysed characters against chapters with segments."""
+    return diff.chapter_pairs(_records(spark, sf), document.latest(table(spark, sf, "segments"), ["segment_id"]))
+
+
+def entity_names(spark: SparkSession, sf: str) -> DataFrame:
+    return memory.entity_names(_records(spark, sf)).select("chapter_id", F.size("names").alias("n"), F.sha2(F.array_join("names", "\n"), 256).alias("hash"))
+
+
+def signature_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """Chapters whose characters read otherwise once names lose their last word and inferred claims are left out."""
+    r = _records(spark, sf)
+    after = r.filter("NOT inferred").withColumn("name", F.regexp_replace("name", r"^(\S+) .*$", "$1"))
+    return memory.signature_changes(memory.semantic_signatures(r), memory.semantic_signatures(after))
+
+
+def story_as_of(spark: SparkSession, sf: str) -> DataFrame:
+    return memory.characters(memory.as_of(_records(spark, sf), 3))
+
+
+def uncovered_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """Blocks that lie in no chapter's capture of segments."""
+    seg = document.latest(table(spark, sf, "segments"), ["segment_id"]).groupBy("source_id").agg(F.min("start_byte").alias("start_byte"), F.max("end_byte").alias("end_byte"))
+    blocks = document.latest(table(spark, sf, "blocks"), ["chapter_id", "block_index"]).select("chapter_id", "block_index", "source_id", F.col("start_byte").alias("old_start"), F.col("end_byte").alias("old_end"))
+    return diff.uncovered(blocks, seg).select("chapter_id", "block_index")
+
+
+def rebuild_from(spark: SparkSession, sf: str) -> DataFrame:
+    """The first chapter of each book that a change of signature makes dirty."""
+    seq = table(spark, sf, "chapters").select(F.col("book_id").alias("project_id"), "chapter_id", F.col("chapter_index").alias("sequence"))
+    return diff.dirty_from(signature_changes(spark, sf), seq).select("project_id", "dirty_from", F.size("chapters").alias("n_chapters"))
+
+
 QUERIES = {
+    "golden_problems": golden_problems, "chapter_changes": chapter_changes, "entity_names": entity_names, "signature_changes": signature_changes, "story_as_of": story_as_of, "uncovered_blocks": uncovered_segments, "rebuild_from": rebuild_from,
     "story_characters": story_characters, "story_participants": story_participants, "story_relationships": story_relationships, "story_timeline": story_timeline, "open_threads": open_threads, "record_problems": record_problems, "state_hashes": state_hashes,
     "integrity_findings": integrity_findings, "explained_findings": explained_findings, "memory_ranked": memory_ranked, "context_prompts": context_prompts,
     "graph_levels": graph_levels, "dirty_closure": dirty_closure, "rebuild_plan": rebuild_plan, "artifact_fingerprints": artifact_fingerprints, "chapter_artifacts": chapter_artifacts,
@@ -270,7 +308,30 @@ _G = """g AS (SELECT 'r' || r_regionkey AS artifact_id, 'source' AS kind, NULL A
 _DIRTY = f"{_G}, dc AS (SELECT artifact_id FROM g WHERE artifact_id IN ('n3', 'n7', 'r2') UNION SELECT g.artifact_id FROM g JOIN dc ON g.d = dc.artifact_id), dirty AS (SELECT artifact_id FROM dc JOIN g USING (artifact_id) WHERE kind <> 'source')"
 _RUN = "r AS (SELECT DISTINCT ON (run_id) * FROM llm_runs ORDER BY run_id, ingested_at)"
 
+_SEGS = "sg AS (SELECT DISTINCT ON (segment_id) * FROM segments ORDER BY segment_id, ingested_at)"
+
+
+def _sig(rel: str, name: str) -> str:
+    """Signatures of the claims of a relation of records."""
+    claims = f"SELECT DISTINCT chapter_id, {_key(name)} || chr(31) || array_to_string(list_sort(list_distinct(list_transform(coalesce(aliases, []), lambda x: {_key('x')}))), chr(30)) || chr(31) || coalesce(CAST(inferred AS VARCHAR), '') AS p FROM {rel}"
+    return f"SELECT chapter_id, sha256(string_agg(CAST(strlen(p) AS VARCHAR) || ':' || p, chr(10) ORDER BY p)) AS s FROM ({claims}) GROUP BY 1"
+
+
+_CHANGED = f"""{_REC}, s1 AS ({_sig('rec', 'name')}), r2 AS (SELECT * FROM rec WHERE NOT inferred), s2 AS ({_sig('r2', "regexp_replace(name, '^(" + chr(92) + "S+) .*$', '" + chr(92) + "1')")}),
+  sc AS (SELECT chapter_id, CASE WHEN s1.s IS NULL THEN 'added' WHEN s2.s IS NULL THEN 'removed' WHEN s1.s <> s2.s THEN 'changed' END AS change FROM s1 FULL JOIN s2 USING (chapter_id))"""
+
 SQL = {
+    "golden_problems": """SELECT case_id, 'SourceMismatch' AS code FROM golden_cases WHERE source_text IS DISTINCT FROM array_to_string(list_transform(segments, lambda s: s.text), '')
+        UNION ALL SELECT case_id, 'EmptySegment' FROM golden_cases WHERE coalesce(len(segments), 0) <= 0 OR len(list_filter(segments, lambda s: coalesce(s.text, '') = '')) > 0
+        UNION ALL SELECT case_id, 'NarrationSpeaker' FROM golden_cases WHERE len(list_filter(segments, lambda s: s.segment_type = 'narration' AND s.speaker IS NOT NULL)) > 0
+        UNION ALL SELECT case_id, 'DuplicateCase' FROM golden_cases GROUP BY case_id HAVING count(*) > 1""",
+    "chapter_changes": f"WITH {_REC}, {_SEGS}, a AS (SELECT DISTINCT chapter_id, 1 AS x FROM rec), b AS (SELECT DISTINCT chapter_id, 1 AS y FROM sg) SELECT chapter_id, CASE WHEN x IS NULL THEN 'added' WHEN y IS NULL THEN 'removed' ELSE 'kept' END AS change FROM a FULL JOIN b USING (chapter_id)",
+    "entity_names": f"WITH {_REC}, n AS (SELECT DISTINCT chapter_id, unnest(list_concat([name], coalesce(aliases, []))) AS n FROM rec) SELECT chapter_id, CAST(count(*) AS INTEGER) AS n, sha256(string_agg(n, chr(10) ORDER BY n)) AS hash FROM n WHERE n IS NOT NULL GROUP BY 1",
+    "signature_changes": f"WITH {_CHANGED} SELECT * FROM sc WHERE change IS NOT NULL",
+    "rebuild_from": f"WITH {_CHANGED} SELECT book_id AS project_id, min(chapter_index) AS dirty_from, CAST(count(DISTINCT chapter_id) AS INTEGER) AS n_chapters FROM sc JOIN chapters USING (chapter_id) WHERE change IS NOT NULL GROUP BY 1",
+    "story_as_of": f"WITH {_CHARS.replace('AND character_name IS NOT NULL)', 'AND character_name IS NOT NULL AND chapter_index <= 3)')} SELECT * FROM ch",
+    "uncovered_blocks": f"""WITH {_SEGS}, c AS (SELECT source_id, min(start_byte) AS a, max(end_byte) AS z FROM sg GROUP BY 1), b AS (SELECT DISTINCT ON (chapter_id, block_index) * FROM blocks ORDER BY chapter_id, block_index, ingested_at)
+        SELECT chapter_id, block_index FROM b WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.source_id = b.source_id AND a <= b.start_byte AND b.end_byte <= z)""",
     "story_characters": f"WITH {_CHARS} SELECT * FROM ch",
     "story_participants": f"""WITH {_REC}, {_EV}, ln AS (SELECT project_id, chapter_id, k, min(cid) AS cid FROM (SELECT project_id, chapter_id, {_CID} AS cid, unnest(list_concat([key], list_transform(coalesce(aliases, []), lambda x: {_key('x')}))) AS k FROM rec) WHERE k <> '' GROUP BY 1, 2, 3 HAVING count(DISTINCT cid) = 1)
         SELECT ev.project_id, event_id, participant, cid AS character_id FROM ev LEFT JOIN ln ON ev.project_id = ln.project_id AND ev.chapter_id = ln.chapter_id AND {_key('participant')} = ln.k""",

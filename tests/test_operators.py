@@ -282,3 +282,22 @@ def test_latest_and_empty(spark):
     df = spark.createDataFrame([(1, "a", 2), (1, "b", 1)], "id int, v string, ingested_at int")
     assert rows(document.latest(df, ["id"])) == [(1, "b", 1)] and document.latest(df.limit(0), ["id"]).count() == 0
     assert proofread.analyze(source(spark)).count() == 0 and isinstance(pd.DataFrame(), pd.DataFrame)
+
+
+def test_golden_and_pairs(spark):
+    seg = "array<struct<text:string,segment_type:string,speaker:string>>"
+    df = spark.createDataFrame([("a", "xy", [("x", "narration", None), ("y", "dialogue", "A")]), ("b", "xy", [("x", "narration", "A")]), ("c", "", [])], f"case_id string, source_text string, segments {seg}")
+    assert rows(evaluate.golden_problems(df)) == [("b", "NarrationSpeaker"), ("b", "SourceMismatch"), ("c", "EmptySegment")]
+    ids_ = lambda *x: spark.createDataFrame([(i,) for i in x], "case_id string")
+    assert rows(evaluate.unpaired(ids_("a", "b", "c"), ids_("b", "c", "c", "d"))) == [("a", "MissingObservation"), ("c", "Duplicate"), ("d", "UnknownCase")]
+    at = lambda n: spark.range(1).select(evaluate.nth_occurrence(F.lit("é.a.b."), F.lit("."), F.lit(n)).alias("x")).first()["x"]
+    assert [at(n) for n in (1, 2, 3, 4, 0)] == [1, 3, 5, None, None]
+
+
+def test_signatures_ignore_order_and_evidence(spark):
+    schema = "chapter_id string, name string, aliases array<string>, inferred boolean"
+    a = spark.createDataFrame([("c", "Ada", ["x", "Y"], False), ("c", "Bo", [], True)], schema)
+    b = spark.createDataFrame([("c", "bo ", [], True), ("c", "ADA", ["y", "X"], False), ("d", "Cy", [], True)], schema)
+    assert rows(memory.signature_changes(memory.semantic_signatures(a), memory.semantic_signatures(b))) == [("d", "added")]
+    seq = spark.createDataFrame([("p", "c", 4), ("p", "d", 2)], "project_id string, chapter_id string, sequence int")
+    assert rows(diff.dirty_from(spark.createDataFrame([("c",), ("d",), ("d",)], "chapter_id string"), seq).select("dirty_from")) == [(2,)]

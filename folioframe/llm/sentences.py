@@ -27,6 +27,8 @@ LEADING = {
     "nl": "Dhr dhr Mevr mevr Mw mw Dr dr Prof prof Ir ir Drs drs Ing ing Mr mr nr Nr blz Blz ca bijv bv resp enz.t hfdst Hfdst fig Fig art vgl p pp St d m o a z t",
     "ru": "г гг гл Гл стр Стр с С см См ср рис Рис т тт п пп им ул д корп кв проф Проф акад доц св о отец тов гр млн млрд тыс руб коп напр табл илл ок обл р",
 }
+#: Abbreviations that no language has as an ordinary word; they hold whatever the language.
+SHARED = frozenset("Mr Mrs Ms Messrs Dr Prof Capt Lt Col Gen Sgt Rev Hon Mme MM Sra Srta Dra Hr Fa sig dott i.e e.g cf cfr approx aprox vs vgl bzw env pág págs núm Nr Bd pp ca ок см рис гл".split())
 #: Abbreviations that may also be the last word of a sentence.
 FINAL = {
     "en": "a.m p.m etc Jr Sr Ltd Inc Corp Esq al Ph.D M.D B.A M.A U.S U.K Ave Rd Blvd sq ft in oz lb",
@@ -81,10 +83,10 @@ _word_before = regex.compile(r"([\p{L}\p{N}][\p{L}\p{M}\p{N}.\-’']*)\.$")
 def _table(language: str) -> dict[str, frozenset[str]]:
     own = [language] if language in LEADING else list(LEADING)
     words = lambda t: frozenset(w for k in own for w in t.get(k, "").split())
-    return {"leading": words(LEADING), "final": words(FINAL), "months": words(MONTHS), "speech": words(SPEECH)}
+    return {"numbered": frozenset(w for t in LEADING.values() for w in t.split()), "leading": words(LEADING), "final": words(FINAL), "months": words(MONTHS), "speech": words(SPEECH)}
 
 
-_letters = regex.compile(r"[\p{L}]+")
+_letters = regex.compile(r"(?<![\p{L}.])\p{L}+(?![\p{L}.])")
 
 
 @lru_cache(maxsize=1)
@@ -96,8 +98,11 @@ def _common() -> dict[str, list[str]]:
     return out
 
 
-def guess(text: str) -> str:
-    """The language whose frequent words a text holds most, a script's name, or '' where nothing tells."""
+def guess(text: str, around: str = "") -> str:
+    """The language whose frequent words a text holds most, a script's name, or '' where nothing tells.
+
+    What is around a text, which may be in other languages, counts a quarter.
+    """
     if regex.search(r"[\p{Hiragana}\p{Katakana}]", text):
         return "ja"
     if regex.search(r"\p{Han}", text):
@@ -111,9 +116,10 @@ def guess(text: str) -> str:
     if regex.search(r"\p{Arabic}", text):
         return "ar"
     score: dict[str, float] = {}
-    for w in _letters.findall(text.lower()):
-        for lang in (of := _common().get(w, ())):
-            score[lang] = score.get(lang, 0) + 1 / len(of)
+    for part, weight in ((text, 1.0), (around, 0.25)):
+        for w in _letters.findall(part.lower()):
+            for lang in (of := _common().get(w, ())):
+                score[lang] = score.get(lang, 0) + weight / len(of)
     return max(sorted(score), key=score.__getitem__) if score else ""
 
 
@@ -172,6 +178,10 @@ def _stop_is_inner(text: str, start: int, end: int, language: str) -> bool | Non
     if word:
         plain = word.rsplit(" ", 1)[-1]
         last = plain.rsplit(".", 1)[-1]
+        if plain in SHARED or plain in table["numbered"] and regex.match(r"\s+\p{N}", after):
+            return True
+        if before[: len(before) - len(plain) - 1].strip() == "" and regex.fullmatch(r"(?:\p{Lu}\.)*\p{Lu}", plain):
+            return True  # initials at the start of a line
         if plain in table["final"] or (last in table["final"] and last != plain):
             nxt = regex.match(r"\s+(\S)", after)
             if nxt and not regex.match(r"\s+(?:\p{Ll}|\p{N}[^\s]*\s*\p{Ll})", after):
@@ -247,7 +257,7 @@ def sentences(text: str | None, language: str | None = None) -> list[tuple[int,
         end = m.start() if m else len(text)
         line = text[at:end]
         if line.strip():
-            lang = language or guess(line) or guess(text)
+            lang = language or guess(line, text)
             cuts = [0, *_breaks(line, lang), len(line)]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 part = line[a:b]

@@ -29,6 +29,8 @@ MAX_EDITS = 2
 
 #: What is read, and what may have been printed.
 CERTAIN = {"ſ": "s", "ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
+#: Letters that scanners part; all of a word are put together at once.
+PARTED = {"rn": "m", "cl": "d", "ii": "u", "vv": "w", "c1": "d"}
 READ_AS = {
     "0": "o ó ö ô о", "1": "l i t ı", "|": "l i", "5": "s", "9": "g q", "6": "é b ó б", "8": "B", "3": "з", "4": "ч", "2": "z",
     "rn": "m", "m": "rn", "cl": "d", "c1": "d", "d": "cl", "ii": "u ü п", "vv": "w", "w": "vv", "nn": "m", "ni": "m ш", "in": "m", "li": "h u", "ri": "n", "c": "e o", "e": "c o", "b": "h",
@@ -103,6 +105,9 @@ def variants(word: str) -> set[str]:
                 starts |= {s.replace(digit, printed) for s in list(starts)}
     if any(c in "0123456789|" for c in base):
         starts = {s for s in starts if not any(c in "0123456789|" for c in s)} | starts
+    for read, printed in PARTED.items():
+        if read in base:
+            starts |= {s.replace(read, printed) for s in list(starts)}
     seen, layer = set(starts), starts
     for _ in range(MAX_EDITS if len(word) >= 5 else 1):
         nxt = set()

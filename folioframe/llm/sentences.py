@@ -127,7 +127,7 @@ def _clause_follows(text: str, at: int, language: str) -> bool:
     """Whether a reporting clause follows closed speech at ``at``."""
     rest = text[at : at + 120]
     if language == "zh":
-        return bool(regex.match(r"[^，。！？“”「」\n]{0,14}?(?:说道|问道|答道|喊道|叫道|低声说|轻声说|回答道?|说|问|道|喊|答|叫)(?:[。，：！？]|$)", rest))
+        return bool(regex.match(r"[^，。！？“”「」\n]{0,14}?(?:说道|问道|答道|喊道|叫道|低声说|轻声说|回答道?|说|问|道|喊|答|叫)(?:[。，！？]|$)", rest))
     if language == "ja":
         return bool(regex.match(r"と[^。「」\n]{0,40}", rest))
     table = _table(language)
@@ -136,6 +136,8 @@ def _clause_follows(text: str, at: int, language: str) -> bool:
         w, stop = m.group(1), m.group(2)
         words.append(w)
         if w in table["speech"]:
+            if stop == ":":  # it leads to the speech that follows
+                return False
             return len(words) == 1 or words[0][:1].isupper() or words[0].lower() in ARTICLES
         if len(words) == 5 or stop and not (stop == "." and (w in table["leading"] or len(w) == 1)):
             break

@@ -437,7 +437,7 @@ def keys(raw: str) -> list[tuple[str, str]]:
     return sorted(out)
 
 
-_KEYED = "project_id string, name string, is_full boolean, suffix string, more string"
+_KEYED = "project_id string, name string, suffix string, more string"
 _RELATED = "project_id string, name_a string, name_b string, how string, a_full boolean, b_full boolean"
 
 
@@ -455,16 +455,17 @@ def candidate_pairs(names: DataFrame) -> DataFrame:
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = [(p, n, parse(n).full, s, m) for p, n in b[["project_id", "name"]].itertuples(index=False) if parse(n).kind for s, m in keys(n)]
-            yield pd.DataFrame(out, columns=["project_id", "name", "is_full", "suffix", "more"])
+            out = [(p, n, s, m) for p, n in b[["project_id", "name"]].itertuples(index=False) if parse(n).kind for s, m in keys(n)]
+            yield pd.DataFrame(out, columns=["project_id", "name", "suffix", "more"])
 
-    keyed = cut_lineage(names.mapInPandas(index, _KEYED))
-    common = keyed.groupBy("project_id", "suffix").agg(F.count("*").alias("n")).filter(F.col("n") > COMMON_SUFFIX).select("project_id", "suffix", F.lit(True).alias("common"))
+    # Blocks are moved as hashes; a pair that only shares a hash is compared in vain, nothing else.
+    keyed = names.mapInPandas(index, _KEYED).select("project_id", "name", F.xxhash64("project_id", "suffix").alias("block"), F.xxhash64("project_id", "suffix", "more").alias("fine"))
+    keyed = cut_lineage(keyed)
+    common = keyed.groupBy("block").agg(F.count("*").alias("n")).filter(F.col("n") > COMMON_SUFFIX).select("block", F.lit(True).alias("common"))
     # Short suffixes of common blocks get a further field; names that match still meet under it or under longer suffixes.
-    refined = keyed.join(common, ["project_id", "suffix"], "left")
-    refined = refined.withColumn("block", F.when(F.col("common"), F.concat_ws("\0", "suffix", "more")).otherwise(F.col("suffix"))).select("project_id", "name", "block").distinct()
+    refined = keyed.join(common, "block", "left").select("project_id", "name", F.when(F.col("common"), F.col("fine")).otherwise(F.col("block")).alias("block")).distinct()
     a, b = refined.withColumnRenamed("name", "name_a"), refined.withColumnRenamed("name", "name_b")
-    return a.join(b, ["project_id", "block"]).filter("name_a < name_b").select("project_id", "name_a", "name_b").distinct()
+    return a.join(b, ["block", "project_id"]).filter("name_a < name_b").select("project_id", "name_a", "name_b").distinct()
 
 
 def character_forms(pairs: DataFrame) -> dict[str, str]:

@@ -5,7 +5,8 @@ decoded as the encoding that may have been meant; the result is kept when a garb
 is repeated for nested layers. The cost of a text is its length in bits under the character frequencies of the
 whole corpus, plus a charge for letters of two alphabets in one word; characters that the corpus doesn't hold or
 that no text holds on purpose (C1 controls, U+FFFD, private use) cost the most. Texts in which every run of
-non-ASCII characters is ordinary for its script are passed over.
+non-ASCII characters is ordinary for its script are passed over. Numeric character references may be the outermost
+layer: they are decoded where that lets the round trips save more; other references stay as they are.
 """
 
 from __future__ import annotations
@@ -68,6 +69,10 @@ _cjk_run = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー々〇\u3000-〿
 _clause = regex.compile(r"[。！？，、；：「」“”]+")
 _edges = regex.compile(r"([\s。！？，、；：「」“”‘’（）]*)(.*?)([\s。！？，、；：「」“”‘’（）�]*)", regex.S)
 _half_width = regex.compile(r"[｡-ﾟ\p{Bopomofo}]")
+#: A numeric character reference, for Python and the JVM.
+REFERENCE = r"&#(?:[0-9]{2,9}|[xX][0-9a-fA-F]{2,8});"
+_reference = regex.compile(REFERENCE)
+_reference_run = regex.compile(rf"(?:{REFERENCE}|[^\x00-\x7f])+")
 
 @lru_cache(maxsize=32)
 def _to_byte(codec: str) -> dict[str, int]:
@@ -196,8 +201,39 @@ def _pair_step(part: str, cost: Costs) -> tuple[str, str] | None:
     return (out, name) if name else None
 
 
+def _referred(m: regex.Match) -> str:
+    """The character of a reference; one to ASCII, a surrogate or no character stays."""
+    ref = m.group()[2:-1]
+    n = int(ref[1:], 16) if ref[0] in "xX" else int(ref)
+    return chr(n) if 0x80 <= n <= 0x10FFFF and not 0xD800 <= n <= 0xDFFF else m.group()
+
+
+def _open_references(text: str, least: int) -> str:
+    """The text with the references decoded that stand in runs of at least so many non-ASCII characters."""
+
+    def run(m: regex.Match) -> str:
+        new = _reference.sub(_referred, m.group())
+        return new if max(map(len, regex.findall(r"[^\x00-\x7f]+", new)), default=0) >= least else m.group()
+
+    return _reference_run.sub(run, text)
+
+
 def repair(text: str, cost: Costs) -> tuple[str, list[str]]:
     """(the text as far as it can be restored, the round trips that led to it). A clean text comes back as it is."""
+    fixed, steps = _round_trips(text, cost)
+    if _reference.search(text):
+        saved = cost(text) - cost(fixed)
+        for least in (2, 1):  # characters of a UTF-8 sequence never stand alone, those of other encodings may
+            opened = _open_references(text, least)
+            if opened == text:
+                continue
+            new, more = _round_trips(opened, cost)
+            if (c := cost(opened) - cost(new)) >= saved + LEAST_DROP:
+                fixed, steps, saved = new, ["references", *more], c
+    return fixed, steps
+
+
+def _round_trips(text: str, cost: Costs) -> tuple[str, list[str]]:
     steps: list[str] = []
     for _ in range(LAYERS):
         odd = cost.odd_runs(text)
@@ -234,8 +270,8 @@ def repair(text: str, cost: Costs) -> tuple[str, list[str]]:
 
 
 def hopeless(text: str) -> bool:
-    """Whether characters are left that only a wrong decoding leaves."""
-    return bool(_hopeless.search(text))
+    """Whether characters are left, as such or as references, that only a wrong decoding leaves."""
+    return bool(_hopeless.search(_reference.sub(_referred, text)))
 
 
 def character_counts(df: DataFrame, text: str) -> tuple[dict[str, int], int]:
@@ -249,10 +285,10 @@ def character_counts(df: DataFrame, text: str) -> tuple[dict[str, int], int]:
 def repair_column(df: DataFrame, keys: list[str], text: str, cost: Costs | None = None) -> DataFrame:
     """(keys, repaired, steps, recovered) of the rows whose text holds garbled sequences; others give no row.
 
-    Null, empty and ASCII texts are never garbled. ``recovered`` is false where characters remain that a wrong
+    Null and empty texts, and ASCII texts without numeric character references, are never garbled. ``recovered`` is false where characters remain that a wrong
     decoding leaves. Repeated rows give repeated results. Columns besides keys and text are not read.
     """
-    rows = df.select(*keys, F.col(text).alias("_t")).filter(F.col("_t").rlike(r"[^\x00-\x7f]"))
+    rows = df.select(*keys, F.col(text).alias("_t")).filter(F.col("_t").rlike(rf"[^\x00-\x7f]|{REFERENCE}"))
     cost = cost or Costs(*character_counts(df, text))
     shared = df.sparkSession.sparkContext.broadcast(cost)
 
@@ -284,7 +320,7 @@ def true_codepage(record: bytes | None, cost: Costs) -> int | None:
         if cut_off and _non_ascii.search(record[: e.start].decode("latin-1")):
             return 65001
     text = "".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in record)
-    _, steps = repair(text, cost)
+    _, steps = _round_trips(text, cost)
     return 0 if steps and not steps[0].endswith("utf-8") else 1252
 
 

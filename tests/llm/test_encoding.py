@@ -57,3 +57,42 @@ def test_frame(spark, cost):
     got = encoding.repair_column(df, ["chapter_id", "block_index"], "text").collect()
     assert len(got) == 2 and all(r["repaired"] == "Der Fährmann öffnete die Tür" and r["recovered"] for r in got)
     assert encoding.repair_column(df.limit(0), ["chapter_id"], "text").count() == 0
+
+
+def references(text, form="&#{};"):
+    return "".join(c if c < "\x80" else form.format(ord(c)) for c in text)
+
+
+@pytest.mark.parametrize("form", ["&#{};", "&#x{:x};", "&#X{:04X};"])
+def test_garbled_references(cost, form):
+    for text in ("fa\u00c3\u00a7ade", "It cost \u00c2\u00a312", "\u00e2\u20ac\u0153Leave it,\u00e2\u20ac\x9d he said", "na\u00c3\u0192\u00c2\u00afve"):
+        fixed, steps = encoding.repair(references(text, form), cost)
+        assert fixed == encoding.repair(text, cost)[0] != text and steps[0] == "references"
+    mixed = "El café. " + references("fa\u00c3\u00a7ade", form)
+    assert encoding.repair(mixed, cost)[0] == "El café. façade"
+    garbled = "".join(bytes([b]).decode("cp866") for b in CLEAN[2].encode("cp1251"))
+    assert encoding.repair(references(garbled, form), cost)[0] == CLEAN[2]
+
+
+@pytest.mark.parametrize("text", [*map(references, CLEAN), "Tom &#38; Ann &#60;b&#62;", "&#55357;&#99999999; &#xZZ; &#;", "&# 12; #195;"])
+def test_clean_references_stay(cost, text):
+    assert encoding.repair(text, cost) == (text, []) and not encoding.hopeless(text)
+
+
+def test_clean_references_beside_garbled_text_stay(cost):
+    assert encoding.repair("caf&#233; fa\u00c3\u00a7ade", cost)[0] == "caf&#233; façade"
+    assert encoding.repair("caf&#233; &#38; fa&#195;&#167;ade", cost)[0] == "caf&#233; &#38; façade"
+
+
+def test_lost_references_are_found(cost):
+    assert encoding.hopeless("fa&#65533;ade") and encoding.hopeless("fa&#xFFFD;ade")
+
+
+def test_frame_of_references(spark, cost):
+    df = spark.createDataFrame([("a", 0, "fa&#195;&#167;ade"), ("b", 0, "the T&#xC3;&#xBC;r"), ("c", 0, "caf&#233; &#38; bar"), ("d", 0, "ok"), ("e", 0, "fa&#65533;ade")], "chapter_id string, block_index int, text string")
+    got = {r["chapter_id"]: (r["repaired"], r["recovered"]) for r in encoding.repair_column(df, ["chapter_id", "block_index"], "text", cost).collect()}
+    assert got == {"a": ("façade", True), "b": ("the Tür", True), "e": ("fa&#65533;ade", False)}
+
+
+def test_references_say_nothing_of_a_header(cost):
+    assert encoding.true_codepage("fa&#195;&#167;ade né fá".encode("cp1252"), cost) == 1252

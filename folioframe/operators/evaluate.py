@@ -116,11 +116,11 @@ def edit_scores(golden: DataFrame, observed: DataFrame, fields: list[str], case:
     return n.select(case, F.when(F.col("no") > 0, F.col("k") / F.col("no")).alias("precision"), F.when(F.col("ng") > 0, F.col("k") / F.col("ng")).alias("recall"))
 
 
-def aggregate_run(metrics: DataFrame, case: str = "case_id") -> DataFrame:
-    """(metric, value): mean over the cases that have one; a cost metric is null unless every case has it. Input: case, metric, value."""
-    out = metrics.groupBy("metric").agg(F.avg("value").alias("mean"), F.count("value").alias("have"), F.count("*").alias("cases"))
+def aggregate_run(metrics: DataFrame, case: str = "case_id", by: tuple[str, ...] = ()) -> DataFrame:
+    """(metric, value, by): mean over the cases that have one; a cost metric is null unless every case has it. Input: case, metric, value, by."""
+    out = metrics.groupBy("metric", *by).agg(F.avg("value").alias("mean"), F.count("value").alias("have"), F.count("*").alias("cases"))
     cost = F.col("metric").isin(*COSTS) & (F.col("have") < F.col("cases"))
-    return out.select("metric", F.when(~cost, F.col("mean")).alias("value"))
+    return out.select("metric", F.when(~cost, F.col("mean")).alias("value"), *by)
 
 
 def compare_runs(baseline: DataFrame, candidate: DataFrame, limits: DataFrame, tolerance: float = 0.02) -> DataFrame:

@@ -178,11 +178,7 @@ def run_means(spark: SparkSession, sf: str) -> DataFrame:
     runs = document.latest(table(spark, sf, "llm_runs"), ["run_id"])
     per = runs.groupBy("provider", "project_id").agg(F.avg("total_tokens").alias("total_tokens"), F.avg("latency_ms").alias("latency_ms"), F.avg("attempt_count").alias("attempts"))
     long = per.select(F.col("provider"), F.col("project_id").alias("case_id"), F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in ("total_tokens", "latency_ms", "attempts")))).alias("x")).select("provider", "case_id", "x.metric", "x.value")
-    out = None
-    for p in [r["provider"] for r in runs.select("provider").distinct().limit(50).collect()]:
-        part = evaluate.aggregate_run(long.filter(F.col("provider").eqNullSafe(F.lit(p)))).withColumn("provider", F.lit(p))
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else long.groupBy("metric").agg(F.avg("value").alias("value")).withColumn("provider", F.lit(None).cast("string")).limit(0)
+    return evaluate.aggregate_run(long, by=("provider",))
 
 
 def run_comparison(spark: SparkSession, sf: str) -> DataFrame:

@@ -301,3 +301,13 @@ def test_signatures_ignore_order_and_evidence(spark):
     assert rows(memory.signature_changes(memory.semantic_signatures(a), memory.semantic_signatures(b))) == [("d", "added")]
     seq = spark.createDataFrame([("p", "c", 4), ("p", "d", 2)], "project_id string, chapter_id string, sequence int")
     assert rows(diff.dirty_from(spark.createDataFrame([("c",), ("d",), ("d",)], "chapter_id string"), seq).select("dirty_from")) == [(2,)]
+
+
+def test_run_means_cover_every_provider(spark, tmp_path):
+    from folioframe.plans import story
+
+    runs = [(f"r{i}", f"p{i}" if i else None, "x", i, 10 if i % 2 else None, 1) for i in range(60)]
+    df = spark.createDataFrame(runs, "run_id string, provider string, project_id string, total_tokens int, latency_ms bigint, attempt_count int")
+    df.withColumn("ingested_at", F.lit("2025-01-01").cast("timestamp_ntz")).write.parquet(str(tmp_path / "llm_runs.parquet"))
+    got = {(r["provider"], r["metric"]): r["value"] for r in story.run_means(spark, str(tmp_path)).collect()}
+    assert len(got) == 180 and got[("p7", "total_tokens")] == 7 and got[("p8", "latency_ms")] is None and got[(None, "attempts")] == 1

@@ -432,6 +432,9 @@ def keys(raw: str) -> list[tuple[str, str]]:
         for s in (t, t[::-1]):
             least = min(LEAST_SUFFIX, len(s))
             out |= {(s[i:], t[:1]) for i in range(len(s) - least + 1) if least > 1}
+    for t in {*n.tokens, *((n.nick,) if n.nick else ())}:
+        if len(t) >= 4:  # as for ``near``: tokens whose first letter is changed, added, left out or exchanged share one of these
+            out |= {(f"^{x}", "") for x in (t, t[1:], t[1] + t[0] + t[2:])}
     if n.kind == "person" and len(n.tokens) == 2:
         out |= {(t[:1] + "@", "han") for t in n.tokens}
     return sorted(out)
@@ -462,7 +465,7 @@ def candidate_pairs(names: DataFrame) -> DataFrame:
     keyed = names.mapInPandas(index, _KEYED).select("project_id", "name", F.xxhash64("project_id", "suffix").alias("block"), F.xxhash64("project_id", "suffix", "more").alias("fine"))
     keyed = cut_lineage(keyed)
     common = keyed.groupBy("block").agg(F.count("*").alias("n")).filter(F.col("n") > COMMON_SUFFIX).select("block", F.lit(True).alias("common"))
-    # Short suffixes of common blocks get a further field; names that match still meet under it or under longer suffixes.
+    # Suffixes of common blocks get the first letter as a further field; tokens that differ in it meet under their keys with ^, which stay whole.
     refined = keyed.join(common, "block", "left").select("project_id", "name", F.when(F.col("common"), F.col("fine")).otherwise(F.col("block")).alias("block")).distinct()
     a, b = refined.withColumnRenamed("name", "name_a"), refined.withColumnRenamed("name", "name_b")
     return a.join(b, ["block", "project_id"]).filter("name_a < name_b").select("project_id", "name_a", "name_b").distinct()

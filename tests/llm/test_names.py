@@ -31,6 +31,23 @@ def test_common_suffixes_are_refined_not_dropped(spark, monkeypatch):
     assert names.same_entity_pairs(names.link(names.distinct_names([(df, "name")]))).count() == 1
 
 
+@pytest.mark.parametrize("part", ["Mr. Selthorn", "Selthorn", "A. Selthorn", "Elthorn", "Xzelthorn", "Ezlthorn"])
+def test_a_first_letter_error_is_met_in_common_blocks(spark, monkeypatch, part):
+    others = [f"{f} {s}" for f, s in zip("Bela Conrad Dorothea Egbert Florian Gustav Hubert".split(), "Morthorn Dulthorn Karthorn Wynthorn Garthorn Lonthorn Perthorn".split(), strict=True)]
+    df = spark.createDataFrame([("p", x) for x in (part, "Anna Zelthorn", *others)], "project_id string, name string")
+    for common in (200, 2, 0):
+        monkeypatch.setattr(names, "COMMON_SUFFIX", common)
+        got = {(r["name_a"], r["name_b"]) for r in names.candidate_pairs(df).collect()}
+        assert tuple(sorted((part, "Anna Zelthorn"))) in got
+
+
+def test_first_letter_errors_link_alike_in_small_and_large_projects(spark, monkeypatch):
+    df = spark.createDataFrame([("p", x) for x in ("Mr. Selthorn", "Anna Zelthorn", "Bela Morthorn", "Egbert Karthorn")], "project_id string, name string")
+    for common in (200, 0):
+        monkeypatch.setattr(names, "COMMON_SUFFIX", common)
+        assert [tuple(r)[1:] for r in names.same_entity_pairs(names.link(df)).select("project_id", "name_a", "name_b").collect()] == [("Anna Zelthorn", "Mr. Selthorn")]
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "project_id string, name string")
     assert names.same_entity_pairs(names.link(names.distinct_names([(df, "name")]))).count() == 0

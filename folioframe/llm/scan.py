@@ -17,8 +17,6 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Frequent words, and frequent contexts of doubtful characters, are at most so many (sent to every worker).
-VOCABULARY = 200_000
 #: A correction must be so many times as frequent as what it replaces, and be met so often.
 RATIO, LEAST_COUNT = 25, 8
 DIMS, WINDOW = 24, 3
@@ -66,7 +64,7 @@ _odd_glyph = regex.compile(r"[ſﬀﬁﬂﬃﬄﬅﬆ]|\p{L}[01569|]\p{Ll}")
 
 @dataclass
 class Lexicon:
-    """What is known of the corpus, of bounded size."""
+    """What is known of the corpus: every recurring word and context, sent to every worker."""
 
     counts: dict[str, int]
     contexts: dict[str, int]
@@ -277,11 +275,11 @@ def _joined_lines(text: str) -> object:
     return F.lower(c)
 
 
-def learn(df: DataFrame, text: str, vocabulary: int = VOCABULARY, dims: int = DIMS) -> Lexicon:
+def learn(df: DataFrame, text: str, dims: int = DIMS) -> Lexicon:
     """Word counts, doubtful contexts and skip-gram vectors over all rows.
 
-    The counts are made over everything; what is kept and sent to workers are the ``vocabulary`` most frequent
-    words and contexts, which is what makes a word frequent here.
+    All words and contexts that recur are kept, as one left out would count as unseen. They take memory in the
+    driver and in every worker that grows with the words of the corpus, though more slowly than its text.
     """
     from pyspark.ml.feature import Word2Vec
 
@@ -289,8 +287,8 @@ def learn(df: DataFrame, text: str, vocabulary: int = VOCABULARY, dims: int = DI
     words = df.select(F.regexp_extract_all(spelled, F.lit(r"[\p{L}\p{M}0-9|]+"), F.lit(0)).alias("words")).filter("size(words) > 0")
     counted = words.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
     hyphens = df.select(F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{M}’']+-[\p{L}\p{M}]+"), F.lit(0))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-    frequent = counted.filter("n > 1").unionByName(hyphens.filter("n > 1")).orderBy(F.desc("n"), "w").limit(vocabulary)
-    counts = {r["w"]: r["n"] for r in frequent.collect()}
+    recurring = counted.filter("n > 1").unionByName(hyphens.filter("n > 1"))
+    counts = {r["w"]: r["n"] for r in recurring.toLocalIterator()}
 
     def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from collections import Counter
@@ -301,13 +299,12 @@ def learn(df: DataFrame, text: str, vocabulary: int = VOCABULARY, dims: int = DI
 
     wide = df.select(F.col(text).alias("t")).filter(F.col("t").rlike(r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]"))
     near = wide.mapInPandas(contexts, "c string, n long").groupBy("c").agg(F.sum("n").alias("n"))
-    kept = {r["c"]: r["n"] for r in near.filter("n > 1").orderBy(F.desc("n"), "c").limit(vocabulary).collect()}
+    kept = {r["c"]: r["n"] for r in near.filter("n > 1").toLocalIterator()}
     vectors: dict[str, np.ndarray] = {}
     plain = [n for w, n in counts.items() if "-" not in w]
-    least = max(LEAST_COUNT, min(plain) if len(plain) >= vocabulary else LEAST_COUNT)
-    if sum(n >= least for n in plain) >= LEAST_VECTORS:
+    if sum(n >= LEAST_COUNT for n in plain) >= LEAST_VECTORS:
         parallel = min(8, df.sparkSession.sparkContext.defaultParallelism)
-        model = Word2Vec(vectorSize=dims, windowSize=WINDOW, minCount=least, maxIter=1, numPartitions=parallel, seed=7, inputCol="words", outputCol="v", maxSentenceLength=200).fit(words)
+        model = Word2Vec(vectorSize=dims, windowSize=WINDOW, minCount=LEAST_COUNT, maxIter=1, numPartitions=parallel, seed=7, inputCol="words", outputCol="v", maxSentenceLength=200).fit(words)
         vectors = {r["word"]: np.asarray(r["vector"].toArray(), np.float32) for r in model.getVectors().toLocalIterator()}
     return Lexicon(counts, kept, vectors)
 

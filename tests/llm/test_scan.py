@@ -30,3 +30,13 @@ def test_frame(spark):
     got = sorted((r["chapter_id"], r["block_index"], r["repaired"], tuple(r["kinds"])) for r in scan.repair_pages(df, ["chapter_id", "block_index"], "text").collect())
     assert got == [("d", 0, "the modern captain", ("misread",))] * 2 + [("d", 3, "", ("furniture",))]
     assert scan.repair_pages(df.limit(0), ["chapter_id"], "text").count() == 0
+
+
+def test_every_recurring_word_and_context_counts(spark):
+    letter = lambda i: chr(0xAC00 + i)
+    fill = [("".join(f"{letter(i)}了{letter(j)}" for j in range(450)) + " " + " ".join(f"q{letter(i)}{letter(j)}" for j in range(450)),) for i in range(450)]
+    rare = [("the rnodern " * 5 + "the modern " * 100 + "啊丁吧" * 5 + "啊了吧" * 100,)]
+    df = spark.createDataFrame(fill * 6 + rare, "text string")
+    lex = scan.learn(df, "text")
+    assert lex.known("rnodern") == 5 and lex.contexts["啊丁吧"] == 5 and len(lex.counts) > 200_000 and len(lex.contexts) > 200_000
+    assert scan.correct_words("the rnodern 啊丁吧", lex) == ("the rnodern 啊丁吧", 0)

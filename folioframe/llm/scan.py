@@ -1,8 +1,7 @@
 """Problem 6: noise in text from scanned pages.
 
-Skip-gram vectors are learned over all blocks; a rare word is linked to a frequent word from which a few
-plausible glyph edits lead to it (m read as rn, e as c, s as 5), and corrected where its neighbours' vectors
-agree; scripts without words are judged by the characters next to a doubtful one. Then running headers and page
+A rare word is linked to the most frequent word from which a few plausible glyph edits lead to it (m read as rn,
+e as c, s as 5), and corrected unless its neighbours' skip-gram vectors, learned over all blocks, veto that; scripts without words are judged by the characters next to a doubtful one. Then running headers and page
 numbers are removed, words broken by the layout are joined, and lines are reflowed into paragraphs.
 """
 

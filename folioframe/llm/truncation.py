@@ -3,11 +3,13 @@
 Per source, the histograms of lengths in characters and in bytes are tested for spikes: single lengths far more
 frequent than those below them (a fixed limit), and a band under the largest length in which unfinished texts
 pile up (a limit that cuts at word or character ends). A text at a spike without terminal punctuation is
-truncated; marks that a cutter appends are taken off first.
+truncated; marks that a cutter appends are taken off first. Such rows have cut = 'limit'.
 
-Cuts in mid-transfer leave no spike. There an unfinished ending decides, unless the ending is one that texts
-have on purpose: a list item after another, or a closing line or sentence whose form (names and numbers masked)
-recurs over the corpus.
+Cuts in mid-transfer leave no spike, so a second test stands beside the first, with histograms of its own (cut =
+'transfer'). It judges only texts at no spike. The lengths of a source's unfinished texts must be spread there: a
+length with more of them around it than the lengths on either side is a pile, and nothing in a pile is taken for a
+cut in mid-transfer. The forms of endings (names and numbers masked) are counted over the corpus: on-purpose
+endings pile up in few forms, those of cut texts don't.
 """
 
 from __future__ import annotations
@@ -72,41 +74,70 @@ def spikes(feats: DataFrame) -> DataFrame:
         .withColumn("zone", F.sum("u").over(w.rangeBetween(-BAND, 0)))
         .withColumn("zd", F.coalesce(F.sum("u").over(far), F.lit(0)) * (BAND + 1) / BACKGROUND)
     )
-    enough = lambda c, d: (c >= LEAST_AT_SPIKE) & (c > d + 5 * F.sqrt(d + 1))
-    exact = hist.filter(enough(F.col("c"), F.col("d")) & (2 * F.col("u") > F.col("c"))).select("source", "measure", F.col("n").alias("lo"), F.col("n").alias("hi"), F.lit(False).alias("band"))
-    band = hist.filter((F.col("n") == F.col("top")) & enough(F.col("zone"), F.col("zd"))).select("source", "measure", (F.col("n") - BAND).alias("lo"), F.col("n").alias("hi"), F.lit(True).alias("band"))
+    exact = hist.filter(_crowded(F.col("c"), F.col("d")) & (2 * F.col("u") > F.col("c"))).select("source", "measure", F.col("n").alias("lo"), F.col("n").alias("hi"), F.lit(False).alias("band"))
+    band = hist.filter((F.col("n") == F.col("top")) & _crowded(F.col("zone"), F.col("zd"))).select("source", "measure", (F.col("n") - BAND).alias("lo"), F.col("n").alias("hi"), F.lit(True).alias("band"))
     return exact.unionByName(band)
 
 
+def piles(feats: DataFrame) -> DataFrame:
+    """(source, measure, n): lengths of a source around which unfinished texts pile up, against both sides. Equal texts count once."""
+    one = feats.filter(_unfinished()).groupBy("source", "h").agg(F.first("chars").alias("chars"), F.first("bytes").alias("bytes"))
+    both = F.explode(F.array(F.struct(F.lit("chars").alias("m"), F.col("chars").alias("n")), F.struct(F.lit("bytes").alias("m"), F.col("bytes").alias("n"))))
+    hist = one.select("source", both.alias("x")).groupBy("source", F.col("x.m").alias("measure"), F.col("x.n").alias("n")).agg(F.count("*").alias("c"))
+    w = Window.partitionBy("source", "measure").orderBy("n")
+    near, left, right = w.rangeBetween(-BAND // 2, BAND // 2), w.rangeBetween(-BACKGROUND - BAND, -BAND - 1), w.rangeBetween(BAND + 1, BACKGROUND + BAND)
+    side = lambda x: F.coalesce(F.sum("c").over(x), F.lit(0)) * (BAND + 1) / BACKGROUND
+    hist = hist.withColumn("zone", F.sum("c").over(near)).withColumn("usual", F.greatest(side(left), side(right)))
+    return hist.filter(_crowded(F.col("zone"), F.col("usual"))).select("source", "measure", "n")
+
+
+def ending_forms(feats: DataFrame) -> DataFrame:
+    """(form): forms of endings that recur over the corpus; at most 1 / FORM_SHARE rows, as each holds that share of the texts."""
+    counts = feats.filter(F.col("form").rlike(r"^.:\S+\s+\S")).groupBy("form").agg(F.countDistinct("h").alias("n"))
+    return counts.filter(F.col("n") >= max(FORM_LEAST, FORM_SHARE * feats.count())).select("form")
+
+
+def _unfinished() -> Column:
+    return ~F.col("ended") | (F.col("marker") & ~F.col("bare_ended")) | F.col("debris")
+
+
+def _crowded(c: Column, usual: Column) -> Column:
+    return (c >= LEAST_AT_SPIKE) & (c > usual + 5 * F.sqrt(usual + 1))
+
+
 def find_truncated(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """(key, source, truncated, at_spike) for every row of df.
+    """(key, source, truncated, cut) for every row of df; cut is 'limit', 'transfer' or null.
 
     Null, empty and blank texts are not truncated. Rows of a null source form a source of their own. Repeated
     rows are judged alike, and equal texts count once in the histograms. An empty table gives an empty table.
     Only the three named columns are read, so clashing names don't matter.
     """
     feats = cut_lineage(features(df, key, text, source))
-    total = feats.count()
-    found = spikes(feats)
     # One row per source: its limits. A source has few limits, as each must hold many times the usual share.
-    limits = found.groupBy("source").agg(F.collect_set(F.struct("measure", "lo", "hi", "band")).alias("limits"))
-    forms = feats.filter(F.col("form").rlike(r"^.:\S+\s+\S")).groupBy("form").agg(F.countDistinct("h").alias("n")).filter(F.col("n") >= max(FORM_LEAST, FORM_SHARE * total)).select("form", F.lit(True).alias("formulaic"))
-    rows = feats.join(limits, feats["source"].eqNullSafe(limits["source"]), "left").drop(limits["source"]).join(forms, "form", "left")
+    limits = spikes(feats).groupBy("source").agg(F.collect_set(F.struct("measure", "lo", "hi", "band")).alias("limits"))
+    # Forms are at most 1 / FORM_SHARE = 5,000 texts of REACH characters, so they are sent to every worker.
+    forms = F.broadcast(ending_forms(feats).withColumn("formulaic", F.lit(True)))
+    rows = feats.join(limits.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s").join(forms, "form", "left")
     size = lambda x: F.when(x["measure"] == "chars", F.col("chars")).otherwise(F.col("bytes"))
     at = lambda band: F.coalesce(F.exists("limits", lambda x: (x["band"] == F.lit(band)) & (size(x) >= x["lo"]) & (size(x) <= x["hi"])), F.lit(False))
     formulaic = F.coalesce(F.col("formulaic"), F.lit(False))
-    unfinished = ~F.col("ended") | (F.col("marker") & ~F.col("bare_ended"))
-    exact, band = at(False), at(True)
-    spike = unfinished & ((exact & (~formulaic | F.col("marker"))) | (band & ~formulaic & ~F.col("item")))
-    elsewhere = F.col("debris") | (~F.col("ended") & ~formulaic & ~F.col("item")) | (F.col("marker") & ~F.col("bare_ended") & ~formulaic)
-    judged = rows.select("key", (spike | elsewhere).alias("truncated"), (exact | band).alias("at_spike"))
+    cut_off = F.col("debris") | (F.col("marker") & ~F.col("bare_ended"))
+    limit = _unfinished() & ((at(False) & (~formulaic | cut_off)) | (at(True) & (F.col("debris") | ~formulaic & ~F.col("item"))))
+    loose = F.col("debris") | (~F.col("ended") & ~formulaic & ~F.col("item")) | (F.col("marker") & ~F.col("bare_ended") & ~formulaic)
+    rows = rows.select("key", "source", "chars", "bytes", limit.alias("limit"), (loose & ~at(False) & ~at(True)).alias("loose")).filter("limit OR loose")
+    pile = piles(feats)
+    for measure in ("chars", "bytes"):
+        here = pile.filter(F.col("measure") == measure).select(F.col("source").alias("_s"), F.col("n").alias(measure), F.lit(True).alias(f"_{measure}"))
+        rows = rows.withColumnRenamed("source", "source_").join(here, F.col("source_").eqNullSafe(F.col("_s")) & (rows[measure] == here[measure]), "left").drop(here[measure]).drop("_s").withColumnRenamed("source_", "source")
+    cut = F.when(F.col("limit"), F.lit("limit")).when(F.col("loose") & F.col("_chars").isNull() & F.col("_bytes").isNull(), F.lit("transfer"))
+    judged = rows.select("key", cut.alias("cut")).filter("cut IS NOT NULL").groupBy("key").agg(F.min("cut").alias("cut"))
     ids = df.select(F.col(key).alias("key"), F.col(source).alias("source"))
-    out = ids.join(judged.groupBy("key").agg(F.max("truncated").alias("truncated"), F.max("at_spike").alias("at_spike")), "key", "left")
-    no = F.lit(False)
-    return out.select(F.col("key").alias(key), F.col("source").alias(source), F.coalesce("truncated", no).alias("truncated"), F.coalesce("at_spike", no).alias("at_spike"))
+    out = ids.join(judged, "key", "left")
+    return out.select(F.col("key").alias(key), F.col("source").alias(source), F.col("cut").isNotNull().alias("truncated"), "cut")
 
 
 def truncation_rates(judged: DataFrame, source: str = "source") -> DataFrame:
-    """Per source: texts, truncated texts, their share."""
+    """Per source: texts, truncated texts, their share, and how many were cut at a limit and in mid-transfer."""
     n = F.sum(F.col("truncated").cast("long"))
-    return judged.groupBy(source).agg(F.count("*").alias("n_texts"), n.alias("n_truncated"), (n / F.count("*")).alias("share"))
+    kinds = [F.count(F.when(F.col("cut") == c, 1)).alias(f"n_{c}") for c in ("limit", "transfer")]
+    return judged.groupBy(source).agg(F.count("*").alias("n_texts"), n.alias("n_truncated"), (n / F.count("*")).alias("share"), *kinds)

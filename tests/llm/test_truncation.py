@@ -31,3 +31,22 @@ def test_spikes_and_endings(spark):
     rates = {r["source"]: r["share"] for r in truncation.truncation_rates(got).collect()}
     assert rates["field"] > 0.5 and rates["free"] < 0.05
     assert truncation.find_truncated(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+
+
+def limited(rng):
+    rows = []
+    for i in range(600):
+        body = " ".join(sentence(rng) for _ in range(rng.randint(3, 9)))
+        rows.append((i, body[:200], "field") if i % 3 else (i, body[: rng.randint(30, 400)], "wire"))
+    return rows
+
+
+def test_length_histograms_decide_field_limits(spark, monkeypatch):
+    df = spark.createDataFrame(limited(random.Random(9)), "doc_id long, text string, source string")
+    cuts = lambda: {(r["source"], r["cut"]): r["count"] for r in truncation.find_truncated(df).filter("truncated").groupBy("source", "cut").count().collect()}
+    with_spikes = cuts()
+    assert with_spikes[("field", "limit")] > 250 and ("field", "transfer") not in with_spikes and with_spikes[("wire", "transfer")] > 100
+    found = truncation.spikes
+    monkeypatch.setattr(truncation, "spikes", lambda f: found(f).limit(0))
+    without = cuts()
+    assert ("field", "limit") not in without and ("field", "transfer") not in without and without[("wire", "transfer")] >= with_spikes[("wire", "transfer")]

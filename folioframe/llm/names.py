@@ -1,9 +1,11 @@
 """Problem 5: variant spellings of names.
 
 Suffix blocking: every token of a name (case, marks and scripts folded, nicknames expanded) is indexed under its
-suffixes above a minimum length, and under those of its mirror image; a suffix that too many names of a project
-share is refined with further fields before anything would be left out, and refined blocks are compared whole.
-Pairs are compared by longest-common-subsequence ratio, followed by an edit check.
+suffixes above a minimum length, and under those of its mirror image. A suffix that too many names of a project
+share is refined with what the other tokens of a name must have in common where two names match: their initials
+under a whole token, the tokens themselves under a part of one. Refined blocks are compared whole, large ones in
+salted shares; nothing is left out. Two tokens are spellings of one by their longest-common-subsequence ratio,
+with a threshold by length, and a lower one where the rest of the name is the same.
 
 Full names that match form entities (connected components). A part of a name, such as a surname with a title,
 initials, a nickname or an acronym, joins an entity only if it fits no other entity of its project.
@@ -24,12 +26,16 @@ from pyspark.sql import functions as F
 from folioframe.session import cut_lineage
 
 LEAST_SUFFIX = 3
-LEAST_RATIO = 0.8
-#: Of two four-letter tokens a changed letter makes another name.
-SHORT_RATIO = 0.85
+#: Least ratio of two tokens, by the length of the shorter one (the last holds for all longer ones).
+LEAST_RATIO = {4: 0.85, 5: 0.8}
+#: The same where the rest of two names is equal.
+CORROBORATED_RATIO = {3: 0.66, 4: 0.75, 5: 0.8}
 #: Names sharing a suffix in a project from which the suffix is refined.
 COMMON_SUFFIX = 200
-MAX_ROUNDS = 50
+#: Rows of a block that one share of it holds.
+SHARE_ROWS = 2000
+#: Edges that one step of the local contraction holds.
+LOCAL_EDGES = 500_000
 
 #: Titles and forms of address.
 TITLES = frozenset("mr mrs ms miss mx dr prof professor capt captain lt lieutenant col colonel gen general sgt sergeant maj major cpl corporal rev reverend hon sir lady lord dame madame mme mlle m monsieur herr frau fr hr don dona sr sra srta dott sig st saint father mother brother sister uncle aunt king queen prince princess count countess baron baroness duke duchess господин госпожа г-н г-жа".split())
@@ -188,26 +194,16 @@ def lcs_ratio(a: str, b: str) -> float:
     return 2 * row[-1] / (len(a) + len(b))
 
 
-def _one_edit(a: str, b: str) -> bool:
-    """At most one letter more, less or changed, or two neighbours exchanged."""
-    if a == b:
-        return True
-    if abs(len(a) - len(b)) > 1:
-        return False
-    i = 0
-    while i < min(len(a), len(b)) and a[i] == b[i]:
-        i += 1
-    return a[i + 1 :] == b[i + 1 :] or a[i + 1 :] == b[i:] or a[i:] == b[i + 1 :] or (a[i : i + 2] == b[i : i + 2][::-1] and a[i + 2 :] == b[i + 2 :])
-
-
 @lru_cache(maxsize=1 << 18)
-def near(a: str, b: str) -> bool:
-    """Whether two tokens are spellings of one: by longest-common-subsequence ratio, then at most one edit."""
+def near(a: str, b: str, corroborated: bool = False) -> bool:
+    """Whether two tokens are spellings of one: by their longest-common-subsequence ratio."""
     if a == b:
         return True
-    if min(len(a), len(b)) < 4:
-        return False
-    return lcs_ratio(a, b) >= (LEAST_RATIO if min(len(a), len(b)) >= 5 else SHORT_RATIO) and _one_edit(a, b)
+    table = CORROBORATED_RATIO if corroborated else LEAST_RATIO
+    short, long = sorted((len(a), len(b)))
+    least = table.get(min(short, max(table)))
+    # No subsequence is longer than the shorter token.
+    return least is not None and 2 * short >= least * (short + long) and lcs_ratio(a, b) >= least
 
 
 def formal(token: str) -> frozenset[str]:
@@ -216,10 +212,10 @@ def formal(token: str) -> frozenset[str]:
 
 @lru_cache(maxsize=1 << 16)
 def spelled_out(token: str) -> frozenset[str]:
-    """Given names that a token may stand for: itself, what it is short for, and that of a short form with one typing error."""
+    """Given names that a token may stand for: itself, what it is short for, and that of a short form with a typing error."""
     out = {token} | formal(token)
     if len(token) >= 3:
-        out |= {f for n, full in _nicks.items() if len(n) >= 3 and abs(len(n) - len(token)) <= 1 and _one_edit(n, token) for f in full}
+        out |= {f for n, full in _nicks.items() if len(n) >= 3 and near(n, token, True) for f in full}
     return frozenset(out)
 
 
@@ -234,7 +230,7 @@ def _given(a: str, b: str, a_short: bool, b_short: bool, exact_rest: bool) -> bo
     if near(a, b):
         return True
     if exact_rest:
-        if _one_edit(a, b) and max(len(a), len(b)) >= 3:
+        if near(a, b, True):
             return True
         x, y = spelled_out(a), spelled_out(b)
         return b in x or a in y or bool(b_short and any(f.startswith(b) for f in x)) or bool(a_short and any(f.startswith(a) for f in y))
@@ -293,7 +289,7 @@ def _person(a: Name, first: str, last: str, b: Name, loose: bool) -> str:
         t = b.tokens[0]
         if t == last or near(t, last):
             return "part"
-        return "part" if any(t == p or p in formal(t) or near(t, p) for p in firsts) else ""
+        return "part" if any(t == p or p in formal(t) or not formal(t) and near(t, p) for p in firsts) else ""
     g, s = b.tokens[0], b.tokens[-1]
     for p, q in ((g, s), (s, g)):  # given name, surname in either order, of which one is shortened
         if (q == last or near(q, last) or len(q) == 1 and q == last[0] or q in b.dotted and last.startswith(q)) and any(
@@ -333,16 +329,9 @@ def _pinyin(latin: Name, han: str) -> bool:
     """Whether a Latin name may spell a Han one: as many syllables with the same initials, surname first or last."""
     if len(latin.tokens) != 2 or any(len(t) == 1 for t in latin.tokens):
         return False
-    parts = []
-    for t in latin.tokens:
-        got, at = [], 0
-        while at < len(t):
-            m = _syllable.match(t, at)
-            if not m or m.end() == at:
-                return False
-            got.append(t[at])
-            at = m.end()
-        parts.append(got)
+    parts = [pinyin_letters(t) for t in latin.tokens]
+    if not all(parts):
+        return False
     for order in (parts, parts[::-1]):
         letters = [c for p in order for c in p]
         if len(letters) == len(han) and len(order[0]) == 1:
@@ -357,13 +346,13 @@ def _hans(a: str, b: str, forms: dict[str, str]) -> bool:
     return len(a) == len(b) and all(p == q or forms.get(p) == q or forms.get(q) == p for p, q in zip(a, b, strict=True))
 
 
-def form_pairs(a: str, b: str) -> list[tuple[str, str]]:
-    """(traditional, simplified) characters that two full names of one length may show to belong together."""
-    x, y = parse(a), parse(b)
+def form_pairs(a: str, b: str, forms: dict[str, str] | None = None) -> list[tuple[str, str]]:
+    """(traditional, simplified) characters that two full names of one length may show to belong together, given those known."""
+    x, y, known = parse(a), parse(b), forms or {}
     if x.kind != "han" or y.kind != "han" or not (x.full and y.full) or len(x.tokens[0]) != len(y.tokens[0]):
         return []
     for p, q in ((x.tokens[0], y.tokens[0]), (y.tokens[0], x.tokens[0])):
-        pairs = [(c, d) for c, d in zip(p, q, strict=True) if c != d]
+        pairs = [(c, d) for c, d in zip(p, q, strict=True) if c != d and known.get(c) != d]
         if pairs and all(_form(c) == "t" and _form(d) != "t" for c, d in pairs):
             return pairs
     return []
@@ -404,43 +393,81 @@ def relate(a: str, b: str, forms: dict[str, str] | None = None) -> str:
     return _persons(x, y)
 
 
-def keys(raw: str) -> list[tuple[str, str]]:
-    """(suffix, refinement) under which a spelling is indexed."""
+def form_keys(raw: str, forms: dict[str, str]) -> list[tuple[bool, str]]:
+    """(traditional?, key) under which full Han names of one person in two forms meet: the name with characters masked.
+
+    A name with traditional characters has those masked whose form is not known; another one has every mask that leaves a character.
+    """
+    n = parse(raw)
+    t = "".join(forms.get(c, c) for c in n.tokens[0]) if n.kind == "han" and n.full else ""
+    if not 2 <= len(t) <= 5:
+        return []
+    own = [_form(c) == "t" for c in t]
+    if any(own):
+        return [] if all(own) else [(True, "".join("_" if x else c for x, c in zip(own, t, strict=True)))]
+    return [(False, "".join("_" if m >> i & 1 else c for i, c in enumerate(t))) for m in range(1, 2 ** len(t) - 1)]
+
+
+def pinyin_letters(t: str) -> list[str]:
+    """The initials of the syllables of a token that is nothing but pinyin syllables, or none."""
+    got, at = [], 0
+    while at < len(t):
+        m = _syllable.match(t, at)
+        if not m or m.end() == at:
+            return []
+        got.append(t[at])
+        at = m.end()
+    return got
+
+
+def keys(raw: str, forms: dict[str, str] | None = None) -> list[tuple[str, bool, list[str]]]:
+    """(suffix, asks, refinements) under which a spelling is indexed.
+
+    Of two names in a block one at least asks for the other. Where a block is refined, names meet that have a
+    refinement in common; one without any meets the whole block. A refinement with ~ is asked for by names only
+    that are not full.
+    """
     n = parse(raw)
-    out: set[tuple[str, str]] = set()
     if n.kind == "han":
-        t = n.tokens[0]
-        for c in set(t):
-            # A character and its other form meet through the form-blind key of their position.
-            out.add((c, n.kind))
-        out.add((f"#{len(t)}", "han") if n.full else ("#", "han"))
-        if n.full:
-            out.add(("".join(pinyin_initial(c) or "?" for c in t)[:1] + "@", "han"))
-        return sorted(out)
-    tokens = {*n.tokens, *((n.nick,) if n.nick else ())}
-    for t in list(tokens):
-        tokens |= formal(t)
-        tokens |= {f for k, full in _nicks.items() if len(t) >= 3 and abs(len(k) - len(t)) <= 1 and _one_edit(k, t) for f in full}
-    if n.kind == "org":
-        letters = _initials(n.tokens)
-        kind = n.org_kind
-        rest = tuple(t for t in n.tokens if t != kind)
-        tokens |= {f"*{x}*" for x in (letters, _initials((*rest, kind)), _initials((kind, *rest)), _initials((*rest[::-1], kind)))}
+        t = "".join((forms or {}).get(c, c) for c in n.tokens[0])
+        if not n.full:
+            return [("=" + t, True, [])]
+        # Full names match as wholes; under their beginnings and ends they wait for parts.
+        out = [("=" + t, True, [])] + [("=" + x, False, []) for x in sorted({t[i:] for i in range(1, len(t))} | {t[:i] for i in range(1, len(t))})]
+        initials = "".join(pinyin_initial(c) or "?" for c in n.tokens[0])
+        return out + ([("@" + initials, False, [])] if initials.strip("?") else [])
     if n.kind == "acronym":
-        tokens |= {f"*{n.tokens[0]}*"}
+        return [(f"*{n.tokens[0]}*", True, [])]
+    tokens = {*n.tokens, *((n.nick,) if n.nick else ())}
+    stands = {t: spelled_out(t) if n.kind == "person" else frozenset({t}) for t in tokens}
+    found: dict[str, set[str]] = {}
+    bare: set[str] = set()
     for t in tokens:
-        for s in (t, t[::-1]):
-            least = min(LEAST_SUFFIX, len(s))
-            out |= {(s[i:], t[:1]) for i in range(len(s) - least + 1) if least > 1}
-    for t in {*n.tokens, *((n.nick,) if n.nick else ())}:
-        if len(t) >= 4:  # as for ``near``: tokens whose first letter is changed, added, left out or exchanged share one of these
-            out |= {(f"^{x}", "") for x in (t, t[1:], t[1] + t[0] + t[2:])}
-    if n.kind == "person" and len(n.tokens) == 2:
-        out |= {(t[:1] + "@", "han") for t in n.tokens}
-    return sorted(out)
-
-
-_KEYED = "project_id string, name string, suffix string, more string"
+        others = {x for u in tokens if u != t for x in stands[u]}
+        initials = {x[0] for x in others}
+        # Under a part of a token two full names have another token in common.
+        part = {f"={x}" for x in others} | {f"~{x}" for x in initials} if n.full and n.kind == "person" else {f"~{x}" for x in initials} if n.kind == "person" else initials
+        for form in stands[t]:
+            own = {(s[i:], i > 0 or s != form) for s in (form, form[::-1]) for i in range(len(s) - max(2, min(LEAST_SUFFIX, len(s))) + 1)}
+            if 4 <= len(form) <= 6:  # a letter in the middle of these leaves no long suffix
+                own |= {(f"{form[0]}~{form[-2:]}", True), (f"{form[:2]}~{form[-1]}", True)}
+            for suffix, partial in own:
+                found.setdefault(suffix, set()).update(part if partial else part | initials)
+                if not others:
+                    bare.add(suffix)
+    out = [(s, True, [] if s in bare else sorted(more)) for s, more in sorted(found.items())]
+    if n.kind == "org":
+        rest = tuple(t for t in n.tokens if t != n.org_kind)
+        out += [(f"*{x}*", False, []) for x in sorted({_initials(n.tokens), _initials((*rest, n.org_kind)), _initials((n.org_kind, *rest)), _initials((*rest[::-1], n.org_kind))})]
+    parts = [pinyin_letters(t) for t in n.tokens if len(t) > 1] if n.kind == "person" and len(n.tokens) == 2 else []
+    if len(parts) == 2 and all(parts):
+        spelled = {"".join(c for p in order for c in p) for order in (parts, parts[::-1]) if len(order[0]) == 1}
+        # Any of a Han name's characters may have no known initial.
+        out += [("@" + x, True, []) for x in sorted({"".join("?" if m >> i & 1 else c for i, c in enumerate(x)) for x in spelled if len(x) <= 5 for m in range(2 ** len(x) - 1)})]
+    return out
+
+
+_KEYED = "project_id string, name string, suffix string, asks boolean, more array<string>"
 _RELATED = "project_id string, name_a string, name_b string, how string, a_full boolean, b_full boolean"
 
 
@@ -453,41 +480,91 @@ def distinct_names(tables: list[tuple[DataFrame, str]], project: str = "project_
     return out.distinct()
 
 
-def candidate_pairs(names: DataFrame) -> DataFrame:
-    """Distinct (project_id, name_a, name_b), name_a < name_b, that share an indexed suffix."""
-
-    def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = [(p, n, s, m) for p, n in b[["project_id", "name"]].itertuples(index=False) if parse(n).kind for s, m in keys(n)]
-            yield pd.DataFrame(out, columns=["project_id", "name", "suffix", "more"])
+def spread(names: DataFrame) -> DataFrame:
+    """The names over as many tasks as there are cores at least: indexing is dear where their table is small."""
+    return names.repartition(max(names.rdd.getNumPartitions(), names.sparkSession.sparkContext.defaultParallelism))
 
-    # Blocks are moved as hashes; a pair that only shares a hash is compared in vain, nothing else.
-    keyed = names.mapInPandas(index, _KEYED).select("project_id", "name", F.xxhash64("project_id", "suffix").alias("block"), F.xxhash64("project_id", "suffix", "more").alias("fine"))
-    keyed = cut_lineage(keyed)
-    common = keyed.groupBy("block").agg(F.count("*").alias("n")).filter(F.col("n") > COMMON_SUFFIX).select("block", F.lit(True).alias("common"))
-    # Suffixes of common blocks get the first letter as a further field; tokens that differ in it meet under their keys with ^, which stay whole.
-    refined = keyed.join(common, "block", "left").select("project_id", "name", F.when(F.col("common"), F.col("fine")).otherwise(F.col("block")).alias("block")).distinct()
-    a, b = refined.withColumnRenamed("name", "name_a"), refined.withColumnRenamed("name", "name_b")
-    return a.join(b, ["block", "project_id"]).filter("name_a < name_b").select("project_id", "name_a", "name_b").distinct()
 
+def block_pairs(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Distinct pairs of rows (project_id, name, block, asks) of a block of which one asks; ``sizes``: (block, n).
 
-def character_forms(pairs: DataFrame) -> dict[str, str]:
-    """The simplified form of each traditional character, learned from full names of the same projects; at most one entry per character."""
+    A block is compared in shares of SHARE_ROWS names that wait, each share with all names that ask.
+    """
+    shares = sizes.select("block", F.ceil(F.col("n") / SHARE_ROWS).cast("int").alias("k"))
+    rows = rows.join(shares, "block")
+    b = rows.select("project_id", "block", F.col("name").alias("y"), F.pmod(F.xxhash64("name"), "k").cast("int").alias("share"))
+    a = rows.filter("asks").select("project_id", "block", F.col("name").alias("x"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("share"))
+    met = a.join(b, ["project_id", "block", "share"]).filter("x != y")
+    return met.select("project_id", F.least("x", "y").alias("name_a"), F.greatest("x", "y").alias("name_b")).distinct()
 
-    def evidence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = [x for p, q in b[["name_a", "name_b"]].itertuples(index=False) for x in form_pairs(p, q)]
-            yield pd.DataFrame(out, columns=["t", "s"])
 
-    counts = pairs.filter(F.col("name_a").rlike(r"\p{IsHan}")).mapInPandas(evidence, "t string, s string").groupBy("t", "s").agg(F.count("*").alias("n"))
-    best = counts.groupBy("t").agg(F.max_by("s", F.struct("n", "s")).alias("s"))
-    return {r["t"]: r["s"] for r in best.collect()}
+def candidate_pairs(names: DataFrame, forms: dict[str, str] | None = None) -> DataFrame:
+    """Distinct (project_id, name_a, name_b), name_a < name_b, that share an indexed suffix."""
+    shared = names.sparkSession.sparkContext.broadcast(forms or {})
 
+    def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = [(p, n, s, a, m) for p, n in b[["project_id", "name"]].itertuples(index=False) if parse(n).kind for s, a, m in keys(n, shared.value)]
+            yield pd.DataFrame(out, columns=["project_id", "name", "suffix", "asks", "more"])
 
-def related_pairs(pairs: DataFrame) -> DataFrame:
-    """Candidate pairs that belong together, with how: 'same' or 'part'."""
-    pairs = cut_lineage(pairs)
-    forms = pairs.sparkSession.sparkContext.broadcast(character_forms(pairs))
+    # Blocks are moved as hashes; a pair that only shares a hash is compared in vain, nothing else.
+    keyed = spread(names).mapInPandas(index, _KEYED).select("project_id", "name", "asks", "more", F.xxhash64("project_id", "suffix").alias("block"))
+    keyed = cut_lineage(keyed)
+    met = F.count("*").alias("n"), F.max("asks").alias("asked")
+    sizes = cut_lineage(keyed.groupBy("block").agg(*met).filter("n > 1 AND asked").select("block", "n"))
+    small, common = sizes.filter(F.col("n") <= COMMON_SUFFIX), sizes.filter(F.col("n") > COMMON_SUFFIX)
+    plain = block_pairs(keyed.select("project_id", "name", "block", "asks"), small)
+    if common.isEmpty():
+        return plain
+    held = cut_lineage(keyed.join(common.select("block"), "block"))
+    # Names without refinements ask the whole block, the others those that have a refinement in common.
+    whole = block_pairs(held.select("project_id", "name", "block", (F.col("asks") & (F.size("more") == 0)).alias("asks")), common)
+    full_only = F.col("cls").startswith("~") & F.array_contains(F.transform("more", lambda x: x.startswith("=")), True)
+    fine = held.filter("size(more) > 0").select("project_id", "name", "asks", "block", "more", F.explode("more").alias("cls"))
+    fine = fine.select("project_id", "name", (F.col("asks") & ~full_only).alias("asks"), F.xxhash64("block", "cls").alias("block"))
+    refined = block_pairs(fine, fine.groupBy("block").agg(*met).filter("n > 1 AND asked").select("block", "n"))
+    return plain.unionByName(whole).unionByName(refined).distinct()
+
+
+def character_forms(names: DataFrame) -> dict[str, str]:
+    """The simplified form of each traditional character, learned from full names of the same projects.
+
+    Forms once known show those of the characters beside them, so it is repeated until none is added. There is at
+    most one entry per character.
+    """
+    han = cut_lineage(names.filter(F.col("name").rlike(r"\p{IsHan}")))
+    known: dict[str, str] = {}
+    while not han.isEmpty():
+        forms = dict(known)
+
+        def index(batches: Iterator[pd.DataFrame], forms: dict[str, str] = forms) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                out = [(p, n, t, k) for p, n in b[["project_id", "name"]].itertuples(index=False) for t, k in form_keys(n, forms)]
+                yield pd.DataFrame(out, columns=["project_id", "name", "traditional", "key"])
+
+        def evidence(batches: Iterator[pd.DataFrame], forms: dict[str, str] = forms) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                out = [x for p, q in b[["name_a", "name_b"]].itertuples(index=False) for x in form_pairs(p, q, forms)]
+                yield pd.DataFrame(out, columns=["t", "s"])
+
+        keyed = spread(han).mapInPandas(index, "project_id string, name string, traditional boolean, key string")
+        a = keyed.filter("traditional").select("project_id", "key", F.col("name").alias("name_a"))
+        b = keyed.filter("NOT traditional").select("project_id", "key", F.col("name").alias("name_b"))
+        pairs = a.join(b, ["project_id", "key"]).select("project_id", "name_a", "name_b").distinct()
+        counts = pairs.mapInPandas(evidence, "t string, s string").groupBy("t", "s").agg(F.count("*").alias("n"))
+        best = counts.groupBy("t").agg(F.max_by("s", F.struct("n", "s")).alias("s"))
+        new = {r["t"]: r["s"] for r in best.collect() if r["t"] not in known}
+        if not new:
+            break
+        known |= new
+    return known
+
+
+def related_pairs(names: DataFrame) -> DataFrame:
+    """Pairs of names that belong together, with how: 'same' or 'part'."""
+    known = character_forms(names)
+    pairs = candidate_pairs(names, known)
+    forms = names.sparkSession.sparkContext.broadcast(known)
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -500,21 +577,61 @@ def related_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.mapInPandas(compare, _RELATED)
 
 
+def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Edges (project_id, u, v) as stars: each node with the least one that the edges at hand connect it with."""
+
+    def stars(edges: list[tuple[str, str, str]]) -> pd.DataFrame:
+        up: dict[tuple[str, str], tuple[str, str]] = {}
+
+        def root(x: tuple[str, str]) -> tuple[str, str]:
+            while (y := up.get(x, x)) != x:
+                up[x] = up.get(y, y)
+                x = y
+            return x
+
+        for p, u, v in edges:
+            a, b = sorted((root((p, u)), root((p, v))))
+            up[b] = a
+        return pd.DataFrame([(*x, root(x)[1]) for x in list(up) if root(x) != x], columns=["project_id", "u", "v"])
+
+    held: list[tuple[str, str, str]] = []
+    for b in batches:
+        held += b[["project_id", "u", "v"]].itertuples(index=False, name=None)
+        if len(held) >= LOCAL_EDGES:
+            yield stars(held)
+            held = []
+    yield stars(held)
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each u has one v only, which is no u itself."""
+    ends = edges.select("project_id", F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("hub")), F.struct(F.col("v").alias("node"), F.lit(None).cast("string").alias("hub")))).alias("e"))
+    seen = ends.groupBy("project_id", "e.node").agg(F.min("e.hub").alias("a"), F.max("e.hub").alias("z"), F.max(F.col("e.hub").isNull()).alias("is_hub"))
+    return seen.filter("a != z OR a IS NOT NULL AND is_hub").isEmpty()
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(project_id, name, entity): the least name that each name is connected with, by repeated minimum of neighbours."""
-    both = edges.select("project_id", F.col("name_a").alias("u"), F.col("name_b").alias("v"))
-    both = cut_lineage(both.unionByName(both.select("project_id", F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    labels = cut_lineage(nodes.select("project_id", "name", F.col("name").alias("entity")))
-    for _ in range(MAX_ROUNDS):
-        l2 = labels.withColumnRenamed("name", "v").withColumnRenamed("entity", "other")
-        least = both.join(l2, ["project_id", "v"]).groupBy("project_id", F.col("u").alias("name")).agg(F.min("other").alias("other"))
-        new = labels.join(least, ["project_id", "name"], "left").select("project_id", "name", F.least("entity", F.coalesce("other", "entity")).alias("entity"), (F.col("other") < F.col("entity")).alias("moved"))
-        new = cut_lineage(new)
-        moved = new.filter("moved").limit(1).count()
-        labels = new.drop("moved")
-        if not moved:
-            return labels
-    raise RuntimeError("components did not settle")
+    """(project_id, name, entity): the least name that each name is connected with.
+
+    Edges are contracted to stars within partitions, then by rounds of large and small stars until nothing
+    changes, which takes a number of rounds logarithmic in the length of the longest chain.
+    """
+    kind = "project_id string, u string, v string"
+    e = edges.select("project_id", F.col("name_a").alias("u"), F.col("name_b").alias("v")).filter("u != v").distinct()
+    # A project's edges are contracted together, those of a large one in several shares.
+    many = e.groupBy("project_id").agg(F.ceil(F.count("*") / LOCAL_EDGES).cast("int").alias("k"))
+    e = e.join(many, "project_id").repartition("project_id", F.pmod(F.xxhash64("u"), "k")).select("project_id", "u", "v")
+    e = cut_lineage(e.mapInPandas(_contract, kind))
+    while not _are_stars(e):
+        e = e.distinct()
+        both = e.unionByName(e.select("project_id", F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("project_id", "u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.filter("v > u").join(least, ["project_id", "u"]).select("project_id", F.col("v").alias("u"), F.col("m").alias("v"))
+        hub = large.groupBy("project_id", "u").agg(F.min("v").alias("m"))
+        small = large.join(hub, ["project_id", "u"])
+        small = small.filter("v != m").select("project_id", F.col("v").alias("u"), F.col("m").alias("v")).unionByName(hub.select("project_id", "u", F.col("m").alias("v")))
+        e = cut_lineage(small.distinct())
+    return nodes.join(e.select("project_id", F.col("u").alias("name"), F.col("v").alias("entity")), ["project_id", "name"], "left").select("project_id", "name", F.coalesce("entity", "name").alias("entity"))
 
 
 def link(names: DataFrame) -> DataFrame:
@@ -522,7 +639,7 @@ def link(names: DataFrame) -> DataFrame:
 
     Roles, pronouns and names without letters stay alone, as does a part of a name that fits several entities.
     """
-    related = cut_lineage(related_pairs(candidate_pairs(names)))
+    related = cut_lineage(related_pairs(names))
     full_edges = related.filter("how = 'same' AND a_full AND b_full")
     entities = components(names, full_edges)
     part = related.filter("how = 'part' AND a_full != b_full OR how = 'part' AND a_full AND b_full OR how = 'same' AND a_full != b_full")
@@ -559,6 +676,7 @@ def link(names: DataFrame) -> DataFrame:
 
 def same_entity_pairs(linked: DataFrame) -> DataFrame:
     """(project_id, name_a, name_b): two spellings of an entity, name_a < name_b. An entity has a few spellings, each once."""
+    linked = cut_lineage(linked)
     many = linked.groupBy("project_id", "entity").agg(F.count("*").alias("n")).filter("n > 1").select("project_id", "entity")
     rows = linked.join(many, ["project_id", "entity"])
     a, b = rows.withColumnRenamed("name", "name_a"), rows.withColumnRenamed("name", "name_b")

@@ -41,11 +41,41 @@ def test_a_first_letter_error_is_met_in_common_blocks(spark, monkeypatch, part):
         assert tuple(sorted((part, "Anna Zelthorn"))) in got
 
 
-def test_first_letter_errors_link_alike_in_small_and_large_projects(spark, monkeypatch):
-    df = spark.createDataFrame([("p", x) for x in ("Mr. Selthorn", "Anna Zelthorn", "Bela Morthorn", "Egbert Karthorn")], "project_id string, name string")
-    for common in (200, 0):
-        monkeypatch.setattr(names, "COMMON_SUFFIX", common)
-        assert [tuple(r)[1:] for r in names.same_entity_pairs(names.link(df)).select("project_id", "name_a", "name_b").collect()] == [("Anna Zelthorn", "Mr. Selthorn")]
+CROWD = (
+    "Robert Hill; Bob Hill; R. Hill; Robert Hlil; Zobert Hill; Robert Bill; Mr. Hill; Hill, Robert; Anna Hill; Katharina Maresson; Catarina Maresson; Katharina Marreson; K. Maresson; Mahia Lind; Maria Lind; Maria; "
+    "Orchard Wardens Company; Orch. Wardens Co.; OWC; Orchard Wardens; 钟远桥; 鍾遠橋; 鍾远桥; 老钟; Zhong Yuanqiao; Juri Tamulin; Юрий Тамулин; Karl Schwarzenberg; Karl Shwarzenburg; Bart Holowfrod; Bart Hollowford"
+).split("; ")
+
+
+def test_refined_and_shared_blocks_link_what_whole_blocks_link(spark, monkeypatch):
+    df = spark.createDataFrame([("p", x) for x in CROWD], "project_id string, name string")
+    links = lambda: {tuple(r) for r in names.same_entity_pairs(names.link(df)).collect()}
+    want = links()
+    monkeypatch.setattr(names, "COMMON_SUFFIX", 1)
+    monkeypatch.setattr(names, "SHARE_ROWS", 2)
+    monkeypatch.setattr(names, "LOCAL_EDGES", 3)
+    assert links() == want and ("p", "鍾遠橋", "钟远桥") in want
+
+
+@pytest.mark.parametrize("a,b", [("maresson", "marreson"), ("hollowford", "holowfrod"), ("aleksandrova", "alexandrova"), ("schwarzenberg", "shwarzenburg"), ("katharina", "catarina")])
+def test_the_ratio_links_what_one_edit_would_not(a, b):
+    assert names.near(a, b) and names.relate(f"Anna {a.title()}", f"Anna {b.title()}") == "same"
+
+
+def test_without_the_ratio_typing_errors_are_lost(monkeypatch):
+    monkeypatch.setattr(names, "lcs_ratio", lambda a, b: float(a == b))
+    names.near.cache_clear()
+    assert names.relate("Anna Maresson", "Anna Marreson") == "" and names.relate("Anna Maresson", "ANNA MARESSON") == "same"
+    names.near.cache_clear()
+
+
+def test_long_chains_are_one_component(spark, monkeypatch):
+    monkeypatch.setattr(names, "LOCAL_EDGES", 7)
+    n = 300
+    nodes = spark.createDataFrame([("p", f"{i:04}") for i in range(n)] + [("q", "0001")], "project_id string, name string")
+    edges = spark.createDataFrame([("p", f"{i:04}", f"{i + 1:04}") for i in range(n - 1) if i != 200], "project_id string, name_a string, name_b string")
+    got = {(r["project_id"], r["name"]): r["entity"] for r in names.components(nodes, edges).collect()}
+    assert {got[("p", f"{i:04}")] for i in range(201)} == {"0000"} and {got[("p", f"{i:04}")] for i in range(201, n)} == {"0201"} and got[("q", "0001")] == "0001" and len(got) == n + 1
 
 
 def test_empty(spark):

@@ -1,9 +1,9 @@
 """Problem 4: sentence boundaries across languages and scripts.
 
 Cascading segmentation rule tables: at every place where a sentence may end, ordered pairs of patterns (what is
-before, what is after) are tried, those of the text's language first, then those for all; the first match
-decides for a break or against one. Words that usually stand before a stop without ending a sentence are tables
-of fixed values per language.
+before, what is after) are tried, those of the text's language first, then those of its script, then those for
+all; the first match decides for a break or against one, and nothing else does but a line break. The tables of a
+language are made of fixed values: its abbreviations, ordinals and verbs of reporting clauses.
 """
 
 from __future__ import annotations
@@ -40,7 +40,8 @@ FINAL = {
     "nl": "enz etc e.d e.a o.a m.a.w",
     "ru": "д п др пр э н.э руб коп",
 }
-MONTHS = {
+#: Words before which a number with a stop is an ordinal.
+ORDINAL = {
     "de": "Januar Jänner Februar März April Mai Juni Juli August September Oktober November Dezember Jahrhundert Jh Kapitel Band Stock Klasse Winter Sommer Frühling Herbst Tag Mal Platz",
 }
 #: Verbs of reporting clauses that follow or precede speech.
@@ -65,25 +66,120 @@ COMMON = {
     "nl": "de het een en van in dat niet met zijn op was te zij hij voor aan bij las",
 }
 
-CJK = r"\p{Han}\p{Hiragana}\p{Katakana}ー々〇"
-_open, _close = r"[\"'“„‘‚«‹「『（(\[《¿¡—–-]", r"[\"'”“’»›」』）)\]》]"
-_final_cjk = "。！？｡．"
-#: A place where a sentence may end: final marks with their closing marks (French ones after a space).
-_candidate = regex.compile(
-    r"(?P<mark>[.!?…。！？｡।॥؟۔]+(?:[^\S\r\n]+[!?](?![\p{L}\p{N}]))*|(?<=[\p{L}\p{N}])[ \u00a0\u202f][!?]+)"
-    r"(?P<close>(?:[\"'”’»›」』）)\]》]|[ \u00a0\u202f]+[»›]|(?<=[.!?…])“)*)"
-)
+ARTICLES = "the a an he she they i we it der die das er sie ein eine le la les il elle un une el los ella él o os ele ela lo gli de het een hij zij"
+_MONTH_SHORT = frozenset("Jan Feb Mar Apr Jun Jul Aug Sep Sept Oct Nov Dec".split())
+#: Abbreviations that are words too: a number or name has to follow.
+_WORDS_TOO = frozenset("in no No art ed".split())
+
+_closing = r"\"'”’»›」』）)\]》"
+#: A place where a sentence may end: final marks with their closing marks (French ones after a space). Where „ opens quotations, “ closes them.
+_mark = r"(?:[.!?…。！？｡।॥؟۔]+(?:[^\S\r\n]+[!?](?![\p{L}\p{N}]))*|(?<=[\p{L}\p{N}])[ \u00a0\u202f][!?]+)"
+_candidate = regex.compile(rf"{_mark}(?:[{_closing}]|[ \u00a0\u202f]+[»›])*")
+_candidate_low = regex.compile(rf"{_mark}(?:[{_closing}]|[ \u00a0\u202f]+[»›]|(?<=[.!?…])“)*")
+#: In Thai also a space.
+_candidate_thai = regex.compile(rf"{_candidate.pattern}|(?<=\p{{Thai}})(?=[^\S\r\n]+\p{{Thai}})")
 _line = regex.compile(r"[\r\n\u2028\u2029\x0b\x0c\x85]+")
-_thai = regex.compile(r"(?<=[\p{Thai}])[^\S\r\n]+(?=[\p{Thai}])")
-_initial = regex.compile(r"(?:^|[^\p{L}\p{N}])(?:\p{Lu}\.[^\S\r\n]?)*\p{Lu}\.$")
-_word_before = regex.compile(r"([\p{L}\p{N}][\p{L}\p{M}\p{N}.\-’']*)\.$")
+
+#: Characters before and after a place that patterns reach at most.
+HEAD, TAIL = 128, 512
+
+Rule = tuple[bool, str, str]
+#: The start of a word with the stops, hyphens and apostrophes in it.
+_start = r"(?<![\p{L}\p{M}\p{N}])(?<![\p{L}\p{N}][.\-’'])"
+_inner = r"(?:[\p{L}\p{M}\p{N}\-’'][\p{L}\p{M}\p{N}.\-’']{0,20}\.)"
+_initials = r"(?:^|[^\p{L}\p{N}])(?:\p{Lu}\.[^\S\r\n]?){0,8}\p{Lu}"
+_goes_on = r"\p{Ll}|\p{N}\S*\s*\p{Ll}|[,;:，；：)\]]|[—–-]\s*\p{Ll}|\.\.\."
+
+
+def _any(words: object) -> str:
+    return "(?:" + "|".join(regex.escape(w) for w in sorted(words, key=lambda w: (-len(w), w))) + ")"  # type: ignore[call-overload]
+
+
+def _of(table: dict[str, str], language: str) -> set[str]:
+    """The words of a language, of all where none is known."""
+    return {w for k in ([language] if language else table) for w in table.get(k, "").split()}
+
+
+def _clause(language: str) -> str:
+    """A reporting clause after closed speech: its verb comes first, or after a name or pronoun; none that leads to the speech that follows."""
+    verb, lead = _of(SPEECH, language), _of(LEADING, language)
+    word = r"\p{L}[\p{L}\p{M}’'-]*+"
+    said = rf"{_any(verb)}(?![\p{{L}}\p{{M}}’'-])(?!:)"
+    verbless = rf"(?!{_any(verb)}(?![\p{{L}}\p{{M}}’'-]))"
+    step = rf"{verbless}(?:{word}(?![.,;:!?…\n])|(?:{_any(lead)}|\p{{L}})\.)[\s—–-]*+"
+    first = rf"(?={verbless}(?:\p{{Lu}}|(?i:{_any(ARTICLES.split())})(?![\p{{L}}\p{{M}}’'-])))"
+    return rf"[\s—–-]*+(?:{said}|{first}(?:{step}){{1,4}}{said})"
+
+
+def language_table(language: str) -> list[Rule]:
+    """Ordered pairs (break?, before, after) of a language that has abbreviations and reporting clauses of its own."""
+    lead, final = _of(LEADING, language), _of(FINAL, language)
+    short = {w for w in final if len(w) < 3}
+    sure = lead - _WORDS_TOO - _MONTH_SHORT
+    sure |= {w[0].upper() + w[1:] for w in lead if len(w) > 1} - _WORDS_TOO - _MONTH_SHORT
+    numbered = {w for t in LEADING.values() for w in t.split()}
+    rules: list[Rule] = [
+        (False, rf"{_start}{_any(SHARED)}\.", r""),
+        (False, rf"{_start}{_any(numbered)}\.", r"\s+\p{N}"),
+        (False, r"^\s*(?:\p{Lu}\.){0,8}\p{Lu}\.", r""),  # initials at the start of a line
+    ]
+    if short:
+        rules.append((False, rf"{_start}{_any(short)}\.", r"\s+\p{Lu}\."))
+    rules += [
+        (True, rf"{_start}{_inner}?{_any(final)}\.", rf"\s+(?!{_goes_on})\S"),
+        (False, rf"{_start}{_inner}?{_any(final)}\.", r""),
+        (False, rf"{_start}{_inner}?{_any(sure)}\.", r""),
+    ]
+    if lead & _WORDS_TOO:
+        rules.append((False, rf"{_start}{_inner}?{_any(lead & _WORDS_TOO)}\.", r"\s+[\p{N}\p{Lu}]"))
+    if lead & _MONTH_SHORT:
+        rules.append((False, rf"{_start}{_any(lead & _MONTH_SHORT)}\.", r"\s+\p{N}"))
+    if language == "de":
+        rules += [
+            (False, rf"(?<!\b(?:S|Nr|Bd|Kap|Abb|Nrn)\.\s?){_start}\d{{1,2}}\.", rf"\s+{_any(_of(ORDINAL, language))}(?!\p{{L}})"),
+            (False, r"\b(?:am|im|vom|zum|beim|der|die|das|dem|den|des|ein|eine|einem|einen|jeder|jeden)\s+\d{1,2}\.", r"\s+\p{L}"),
+        ]
+    not_i = r"(?<!(?:^|\s)I)" if language == "en" else ""  # the pronoun
+    rules.append((False, rf"{_initials}{not_i}\.", r"\s+\p{Lu}"))
+    rules.append((False, r"[\"'”’»›」』]", _clause(language)))
+    return rules
+
+
+_shared_rules: list[Rule] = [(False, rf"{_start}{_any(SHARED)}\.", r""), (False, r"^\s*(?:\p{Lu}\.){0,8}\p{Lu}\.", r""), (False, rf"{_initials}\.", r"\s+\p{Lu}")]
+#: The tables of languages, of scripts and for all. Languages not named here are made by ``language_table``.
+LANGUAGE_RULES: dict[str, list[Rule]] = {
+    "zh": [*_shared_rules, (False, r"[”’」』]", r"[^，。！？“”「」\n]{0,14}?(?:说道|问道|答道|喊道|叫道|低声说|轻声说|回答道?|说|问|道|喊|答|叫)(?:[。，！？]|$)")],
+    "ja": [*_shared_rules, (False, r"[”’」』]", r"と")],
+    "th": [*_shared_rules, (False, rf"{_start}(?:พ\.ศ|ค\.ศ|ดร|นพ|ม\.ร\.ว|น)\.", r"")],
+    "hi": [*_shared_rules, (False, rf"{_start}(?:डॉ|प्रो|श्री|सं|पृ)\.", r"")],
+    "ar": [*_shared_rules, (False, rf"{_start}(?:د|أ|م|ص|ج)\.", r"\s+\S")],
+    **{lang: language_table(lang) for lang in ("", "en", "de", "fr", "es", "pt", "it", "nl", "ru")},
+}
+SCRIPT_OF = {"zh": "han", "ja": "kana", "th": "thai", "hi": "devanagari", "ar": "arabic"}
+SCRIPT_RULES: dict[str, list[Rule]] = {
+    "han": [(False, r"…", r"(?![”’」』])"), (False, r"[.!?]", r"\S"), (True, r"[。！？｡!?]\S{0,60}", r"")],
+    "kana": [(False, r"…", r""), (False, r"[.!?]", r"\S"), (True, r"[。！？｡!?]\S{0,60}", r"")],
+    "thai": [(True, r"[!?。]['\"”’]*", r""), (True, r"\.", r"\s+\S"), (True, r"\p{Thai}", r"[^\S\r\n]+\p{Thai}")],
+    "devanagari": [(True, r"[।॥!?]['\"”’]*", r""), (True, r"\.", r"\s+\S")],
+    "arabic": [(True, r"[؟!۔]['\"”’»]*", r""), (True, r"\.['\"”’»]*", r"\s+\S")],
+}
+DEFAULT_RULES: list[Rule] = [
+    (False, r"(?<![.!?…])\.[)\]）]", r"(?!\s+[\p{Lu}“\"«„—¿¡‘(])"),
+    (True, r"[。！？｡]\S{0,60}", r""),
+    (False, r"", r"\S"),  # marks within a word or number
+    (False, r"", r"\s*[,;:，；：)\]]"),
+    (False, r"", r"\s*[—–-]\s*\p{Ll}"),  # a reporting clause after a dash
+    (False, r"", r"\s*\.\.\."),
+    (False, r"", r"\s*\p{Ll}"),
+    (True, r"", r""),
+]
 
 
 @lru_cache(maxsize=64)
-def _table(language: str) -> dict[str, frozenset[str]]:
-    own = [language] if language in LEADING else list(LEADING)
-    words = lambda t: frozenset(w for k in own for w in t.get(k, "").split())
-    return {"numbered": frozenset(w for t in LEADING.values() for w in t.split()), "leading": words(LEADING), "final": words(FINAL), "months": words(MONTHS), "speech": words(SPEECH)}
+def cascade(language: str) -> list[tuple[bool, regex.Pattern | None, regex.Pattern | None]]:
+    """All rules for a language in order. ``before`` is matched backwards from the place, so its length decides its cost."""
+    rules = [*LANGUAGE_RULES.get(language, LANGUAGE_RULES[""]), *SCRIPT_RULES.get(SCRIPT_OF.get(language, ""), ()), *DEFAULT_RULES]
+    return [(yes, regex.compile(rf"(?r)(?:{before})\Z") if before else None, regex.compile(after) if after else None) for yes, before, after in rules]
 
 
 _letters = regex.compile(r"(?<![\p{L}.])\p{L}+(?![\p{L}.])")
@@ -98,155 +194,53 @@ def _common() -> dict[str, list[str]]:
     return out
 
 
-def guess(text: str, around: str = "") -> str:
-    """The language whose frequent words a text holds most, a script's name, or '' where nothing tells.
+_by_script = [(lang, regex.compile(p)) for lang, p in (("ja", r"[\p{Hiragana}\p{Katakana}]"), ("zh", r"\p{Han}"), ("th", r"\p{Thai}"), ("ru", r"\p{Cyrillic}"), ("hi", r"\p{Devanagari}"), ("ar", r"\p{Arabic}"))]
 
-    What is around a text, which may be in other languages, counts a quarter.
-    """
-    if regex.search(r"[\p{Hiragana}\p{Katakana}]", text):
-        return "ja"
-    if regex.search(r"\p{Han}", text):
-        return "zh"
-    if regex.search(r"\p{Thai}", text):
-        return "th"
-    if regex.search(r"\p{Cyrillic}", text):
-        return "ru"
-    if regex.search(r"\p{Devanagari}", text):
-        return "hi"
-    if regex.search(r"\p{Arabic}", text):
-        return "ar"
-    score: dict[str, float] = {}
-    for part, weight in ((text, 1.0), (around, 0.25)):
-        for w in _letters.findall(part.lower()):
-            for lang in (of := _common().get(w, ())):
-                score[lang] = score.get(lang, 0) + weight / len(of)
-    return max(sorted(score), key=score.__getitem__) if score else ""
 
+def word_scores(text: str) -> dict[str, float]:
+    """How many frequent words of each language a text holds; those of several languages count in shares."""
+    score: dict[str, float] = {}
+    common = _common()
+    for w in _letters.findall(text.lower()):
+        for lang in (of := common.get(w, ())):
+            score[lang] = score.get(lang, 0) + 1 / len(of)
+    return score
 
-def _clause_follows(text: str, at: int, language: str) -> bool:
-    """Whether a reporting clause follows closed speech at ``at``."""
-    rest = text[at : at + 120]
-    if language == "zh":
-        return bool(regex.match(r"[^，。！？“”「」\n]{0,14}?(?:说道|问道|答道|喊道|叫道|低声说|轻声说|回答道?|说|问|道|喊|答|叫)(?:[。，！？]|$)", rest))
-    if language == "ja":
-        return bool(regex.match(r"と[^。「」\n]{0,40}", rest))
-    table = _table(language)
-    words: list[str] = []
-    for m in _clause_word.finditer(rest):
-        w, stop = m.group(1), m.group(2)
-        words.append(w)
-        if w in table["speech"]:
-            if stop == ":":  # it leads to the speech that follows
-                return False
-            return len(words) == 1 or words[0][:1].isupper() or words[0].lower() in ARTICLES
-        if len(words) == 5 or stop and not (stop == "." and (w in table["leading"] or len(w) == 1)):
-            break
-    return False
-
-
-_clause_word = regex.compile(r"\G[\s—–-]*([\p{L}][\p{L}\p{M}’'-]*)([.,;:!?…\n]?)")
-ARTICLES = frozenset("the a an he she they i we it der die das er sie ein eine le la les il elle un une el los ella él o os ele ela lo gli de het een hij zij".split())
-
-Rule = tuple[bool, str, str]
-_LOWER = r"\s*[\p{Ll}]"
-#: Ordered pairs (break?, before, after) for closed or open final marks; ``before`` ends at the marks' end.
-RULES: dict[str, list[Rule]] = {
-    "zh": [(False, r"…+$", r"(?![”’」』])"), (False, r"[.!?]$", r"\S"), (True, r"[。！？｡!?][^\s]*$", r"")],
-    "ja": [(False, r"…+$", r""), (False, r"[.!?]$", r"\S"), (True, r"[。！？｡!?][^\s]*$", r"")],
-    "th": [(True, r"[!?。]['\"”’]*$", r""), (True, r"\.$", r"\s+\S")],
-    "hi": [(True, r"[।॥!?]['\"”’]*$", r""), (True, r"\.$", r"\s+\S")],
-    "ar": [(True, r"[؟!۔]['\"”’»]*$", r""), (True, r"\.['\"”’»]*$", r"\s+\S")],
-    "": [
-        (True, r"[。！？｡][^\s]*$", r""),
-        (False, r"", r"\S"),  # marks within a word or number
-        (False, r"", r"\s*[,;:，；：)\]]"),
-        (False, r"", r"\s*[—–-]\s*[\p{Ll}]"),  # a reporting clause after a dash
-        (False, r"", r"\s*\.\.\."),
-        (False, r"", _LOWER),
-        (True, r"[!?…][^.]*$", r""),
-        (True, r"", r""),
-    ],
-}
-_compiled = {k: [(b, regex.compile(x), regex.compile(y)) for b, x, y in v] for k, v in RULES.items()}
-
-
-def _stop_is_inner(text: str, start: int, end: int, language: str) -> bool | None:
-    """For a single full stop without closing marks: True, no sentence ends here; False, one does; None, undecided."""
-    before, after = text[:end], text[end:]
-    head = before[max(0, len(before) - 24) :]
-    table = _table(language)
-    m = _word_before.search(head)
-    word = m.group(1) if m else ""
-    if word:
-        plain = word.rsplit(" ", 1)[-1]
-        last = plain.rsplit(".", 1)[-1]
-        if plain in SHARED or plain in table["numbered"] and regex.match(r"\s+\p{N}", after):
-            return True
-        if before[: len(before) - len(plain) - 1].strip() == "" and regex.fullmatch(r"(?:\p{Lu}\.)*\p{Lu}", plain):
-            return True  # initials at the start of a line
-        if plain in table["final"] or (last in table["final"] and last != plain):
-            nxt = regex.match(r"\s+(\S)", after)
-            if nxt and not regex.match(r"\s+(?:\p{Ll}|\p{N}[^\s]*\s*\p{Ll})", after):
-                inner = regex.match(r"\s+\p{Lu}\.", after) and len(plain) < 3
-                return bool(inner)
-            return True
-        small = plain[:1].lower() + plain[1:]
-        if plain in table["leading"] or small in table["leading"] and len(plain) > 1 or last in table["leading"] and "." in plain:
-            if plain in {"in", "no", "No", "art", "ed"} and not regex.match(r"\s+[\p{N}\p{Lu}]", after):
-                return None
-            if plain in _MONTH_SHORT and not regex.match(r"\s+\p{N}", after):
-                return None
-            return True
-        if language in ("de", "nl", "") and word.isdigit() and len(word) <= 2:
-            nxt = regex.match(r"\s+(\p{L}+)", after)
-            ref = regex.search(r"\b(?:S|Nr|Bd|Kap|Abb|Nrn|blz|nr|hfdst|p)\.\s*\d+\.$", head)
-            if language == "de" and nxt and not ref and (nxt.group(1) in table["months"] or regex.search(r"\b(?:am|im|vom|zum|beim|der|die|das|dem|den|des|ein|eine|einem|einen|jeder|jeden)\s+\d+\.$", head)):
-                return True
-    if _initial.search(head) and regex.match(r"\s+\p{Lu}", after):
-        if language == "en" and regex.search(r"(?:^|\s)I\.$", head):
-            return None
-        return True
-    return None
 
+def guess(text: str, around: dict[str, float] | None = None) -> str:
+    """The language whose frequent words a text holds most, or that of its script, or '' where nothing tells.
 
-_MONTH_SHORT = frozenset("Jan Feb Mar Apr Jun Jul Aug Sep Sept Oct Nov Dec".split())
+    The scores of what is around a text, which may be in other languages, count a quarter.
+    """
+    if not text.isascii():
+        for lang, script in _by_script:
+            if script.search(text):
+                return lang
+    score = word_scores(text)
+    for lang, n in (around or {}).items():
+        score[lang] = score.get(lang, 0) + n / 4
+    return max(sorted(score), key=score.__getitem__) if score else ""
 
 
-def _breaks(text: str, language: str) -> list[int]:
-    """Ends of sentences within one line."""
-    out = []
-    own = _compiled.get(language, _compiled[""])
-    for m in _candidate.finditer(text):
-        start, end = m.start(), m.end()
-        close = m.group("close").strip()
-        if end >= len(text):
+def _breaks(line: str, language: str) -> list[int]:
+    """Ends of sentences within one line: the first rule that matches a place decides."""
+    out, rules, size = [], cascade(language), len(line)
+    places = _candidate_thai if language == "th" else _candidate_low if "„" in line else _candidate
+    for m in places.finditer(line):
+        at = m.end()
+        if at >= size:
             continue
-        after = text[end:]
-        if not close and m.group("mark") == "." and _stop_is_inner(text, start, end, language):
-            continue
-        if m.group("mark") == "." and close and close in ")]）" and not regex.match(r"\s+[\p{Lu}“\"«„—¿¡‘(]", after):
-            continue
-        if regex.fullmatch(r"['\"”’»›」』]+", close[-1:]) and _clause_follows(text, end, language):
-            continue
-        if "“" in close and not regex.search(r"„[^“]*$", text[:start]) :
-            # an opening quote of another sentence, not the closing one of this
-            end = m.end("mark")
-            after = text[end:]
-        before = text[max(0, start - 60) : end]
-        for yes, x, y in own:
-            if x.search(before) and y.match(after):
+        # Patterns see as much as they can reach; what is cut off before is no start of a line.
+        head = line[at - HEAD : at] if at > HEAD else line[:at]
+        if at > HEAD:
+            head = "\0" + head
+        tail = line[at : at + TAIL]
+        for yes, before, after in rules:
+            if (before is None or before.match(head)) and (after is None or after.match(tail)):
                 if yes:
-                    out.append(end)
+                    out.append(at)
                 break
-        else:
-            for yes, x, y in _compiled[""]:
-                if x.search(before) and y.match(after):
-                    if yes:
-                        out.append(end)
-                    break
-    if language == "th":
-        out += [m.start() for m in _thai.finditer(text)]
-    return sorted(set(out))
+    return out
 
 
 def sentences(text: str | None, language: str | None = None) -> list[tuple[int, int]]:
@@ -255,11 +249,12 @@ def sentences(text: str | None, language: str | None = None) -> list[tuple[int,
         return []
     out = []
     at = 0
+    around = word_scores(text) if not language else {}
     for m in [*_line.finditer(text), None]:
         end = m.start() if m else len(text)
         line = text[at:end]
         if line.strip():
-            lang = language or guess(line, text)
+            lang = language or guess(line, around)
             cuts = [0, *_breaks(line, lang), len(line)]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 part = line[a:b]

@@ -182,16 +182,26 @@ def parse(raw: str) -> Name:
     return Name("person", tuple(tokens), len(whole) >= 2, frozenset(dotted), nick)
 
 
+@lru_cache(maxsize=1 << 16)
+def _places(token: str) -> dict[str, int]:
+    """For each letter of a token, the bits of its places."""
+    out: dict[str, int] = {}
+    for i, c in enumerate(token):
+        out[c] = out.get(c, 0) | 1 << i
+    return out
+
+
 def lcs_ratio(a: str, b: str) -> float:
     """Twice the length of the longest common subsequence over the sum of the lengths."""
     if a == b:
         return 1.0
-    row = [0] * (len(b) + 1)
-    for x in a:
-        last = 0
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
-    return 2 * row[-1] / (len(a) + len(b))
+    # A bit of the row is 0 where the length grows, so that a letter of b takes one step for all of a.
+    every = row = (1 << len(a)) - 1
+    places = _places(a)
+    for c in b:
+        hit = row & places.get(c, 0)
+        row = (row + hit | row - hit) & every
+    return 2 * (len(a) - row.bit_count()) / (len(a) + len(b))
 
 
 @lru_cache(maxsize=1 << 18)
@@ -210,12 +220,19 @@ def formal(token: str) -> frozenset[str]:
     return _nicks.get(token, frozenset())
 
 
+@lru_cache(maxsize=256)
+def _nicks_near(size: int) -> list[tuple[str, float, frozenset[str]]]:
+    """Short forms whose length a token of this size can be near to, each with its least ratio."""
+    least = lambda n: CORROBORATED_RATIO[min(n, size, max(CORROBORATED_RATIO))]
+    return [(n, least(len(n)), full) for n, full in _nicks.items() if len(n) >= 3 and 2 * min(len(n), size) >= least(len(n)) * (len(n) + size)]
+
+
 @lru_cache(maxsize=1 << 16)
 def spelled_out(token: str) -> frozenset[str]:
     """Given names that a token may stand for: itself, what it is short for, and that of a short form with a typing error."""
     out = {token} | formal(token)
     if len(token) >= 3:
-        out |= {f for n, full in _nicks.items() if len(n) >= 3 and near(n, token, True) for f in full}
+        out |= {f for n, least, full in _nicks_near(len(token)) if lcs_ratio(n, token) >= least for f in full}
     return frozenset(out)
 
 

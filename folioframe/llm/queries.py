@@ -79,7 +79,8 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p6_repaired(spark: SparkSession, sf: str) -> DataFrame:
-    out = scan.repair_pages(table(spark, sf, "blocks"), ["chapter_id", "block_index"], "text")
+    titles = table(spark, sf, "books").select("book_id", "title")
+    out = scan.repair_pages(table(spark, sf, "blocks"), ["chapter_id", "block_index"], "text", "book_id", titles)
     return out.dropDuplicates(["chapter_id", "block_index"])
 
 

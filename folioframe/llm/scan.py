@@ -16,6 +16,7 @@ join, so that nothing is sent to all workers but the vectors of words above VECT
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -36,7 +37,7 @@ DIMS, WINDOW = 16, 3
 #: Words of at least this share of all words have vectors; words above OFTEN are thinned out for learning and weighed down in means.
 VECTOR_SHARE, OFTEN = 1e-6, 1e-4
 #: Least cosine of a rare word and the frequent one it is linked to, and of a place and the word put there.
-LEAST_COSINE, LEAST_CONTEXT = 0.2, 0.0
+LEAST_COSINE, LEAST_CONTEXT = 0.5, 0.0
 MAX_EDITS = 2
 #: Blocks of a book that a running header stands in, and blocks of the corpus that a form of page numbers stands in.
 LEAST_HEADERS, LEAST_FORMS = 2, 3
@@ -331,7 +332,9 @@ _compound = regex.compile(r"[\p{L}\p{M}’']+-[\p{L}\p{M}]+")
 _piece = regex.compile(r"[\p{L}\p{M}0-9|]+")
 _not_piece = {c: " " for c in range(128) if not (chr(c).isalnum() or chr(c) == "|")}
 _not_piece = "".join(_not_piece.get(c, chr(c)) for c in range(128))
-_may_be_spaced = regex.compile(r"(?<!\w)\w[ \u00a0’']+\w[ \u00a0’']+\w[ \u00a0’']+\w(?!\w)")
+#: Plain patterns that every broken or spaced word matches; far cheaper than the exact ones.
+_may_be_spaced = re.compile(r"\b\w[ \u00a0’']+\w[ \u00a0’']+\w[ \u00a0’']+\w\b")
+_may_be_broken = re.compile(r"[-\u2010¬\u2043][\s\u00a0]|\u00ad")
 
 
 def words_of(text: str) -> list[str]:
@@ -391,7 +394,7 @@ def count_corpus(df: DataFrame, text: str, book: str | None = None) -> DataFrame
                 words.update(words_of(t))
                 if "-" in t:
                     n.update(("y", w) for w in _compound.findall(t.lower()))
-                    for m in _broken.finditer(t):
+                    for m in _broken.finditer(t) if _may_be_broken.search(t) else ():
                         if m.group(4):
                             _, left, right, _ = _halves(m)
                             n[("w", (left + right).lower())] += 0
@@ -429,7 +432,7 @@ def learn_vectors(df: DataFrame, text: str, counts: DataFrame, dims: int = DIMS)
                 out.append([w for (w, k), x in zip(known, chance, strict=True) if x <= k])
             yield pd.DataFrame({"words": [x for x in out if len(x) > 1]})
 
-    spoken = _bookish(df, text, None).select("t").mapInPandas(thinned, "words array<string>")
+    spoken = cut_lineage(_bookish(df, text, None).select("t").mapInPandas(thinned, "words array<string>"))  # read twice
     parallel = df.sparkSession.sparkContext.defaultParallelism
     model = Word2Vec(vectorSize=dims, windowSize=WINDOW, minCount=1, maxIter=1, numPartitions=parallel, seed=7, inputCol="words", outputCol="v", maxSentenceLength=200).fit(spoken)
     got = {r["word"]: r["vector"].toArray() for r in model.getVectors().toLocalIterator()}
@@ -569,7 +572,7 @@ def repair_pages(df: DataFrame, keys: list[str], text: str, book: str | None = N
                     out.add("")
                 if "\n" in t or "\r" in t or len(t) <= 160:
                     out |= {"f" + scoped(k, b) for x in _lines.split(t) if (k := furniture_key(x))}
-                if "-" in t or not t.isascii():
+                if _may_be_broken.search(t):
                     for m in _broken.finditer(t):
                         _, left, right, compound = _halves(m)
                         out |= {"w" + x.lower() for x in (left, right, left + right, compound)} | {"l" + (left + right).lower()}

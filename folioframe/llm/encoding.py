@@ -12,6 +12,7 @@ layer: they are decoded where that lets the round trips save more; other referen
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -49,7 +50,7 @@ PAIRS = {
     "euc_jp": ("cp932", "gbk", "utf-8"),
 }
 
-_non_ascii = regex.compile(r"[^\x00-\x7f]")
+_non_ascii = re.compile(r"[^\x00-\x7f]")
 _mixed = regex.compile(
     r"\p{Cyrillic}(?=[^\P{L}\p{Cyrillic}])|[^\P{L}\p{Cyrillic}](?=\p{Cyrillic})|\p{Greek}(?=[^\P{L}\p{Greek}])|[^\P{L}\p{Greek}](?=\p{Greek})"
     r"|\p{L}(?=[─-▟])|[─-▟](?=\p{L})|\p{Ll}(?=[À-ÖØ-Þ])|\p{L}(?=[“”„»«]\p{Ll})"
@@ -126,11 +127,14 @@ class Costs:
         for c in [c for c in self.bits if _hopeless.match(c)]:
             del self.bits[c]
 
-    def __call__(self, text: str) -> float:
+    def least(self, text: str) -> float:
+        """The cost of a text without the charge for mixed alphabets."""
         rare = _non_ascii.findall(text)
         get = self.bits.get
-        cost = ASCII_BITS * (len(text) - len(rare)) + sum(get(c, MOST) for c in rare)
-        return cost + MIXED * len(_mixed.findall(text)) if rare else cost
+        return ASCII_BITS * (len(text) - len(rare)) + sum([get(c, MOST) for c in rare])
+
+    def __call__(self, text: str) -> float:
+        return self.least(text) + (0 if text.isascii() else MIXED * len(_mixed.findall(text)))
 
     def odd_runs(self, text: str) -> int:
         """Runs of non-ASCII characters that are not ordinary for one script."""
@@ -184,8 +188,9 @@ def _pair_step(part: str, cost: Costs) -> tuple[str, str] | None:
     base = cost(part) - ASCII_BITS * (len(part) - len(seen))
     best, name = base, None
     out = part
+    letters = set(seen)
     for read, meant in PAIRS.items():
-        raw = _encode(part, read)
+        raw = _encode(part, read) if read not in SINGLE or letters <= _to_byte(read).keys() else None
         if raw is None:
             continue
         for codec in meant:
@@ -193,9 +198,10 @@ def _pair_step(part: str, cost: Costs) -> tuple[str, str] | None:
                 new = raw.decode(codec)
             except UnicodeDecodeError:
                 continue
-            if new == part or len(_hopeless.findall(new)) > len(lost):
+            ascii_share = ASCII_BITS * (len(part) - len(seen))
+            if new == part or cost.least(new) - ascii_share >= best or len(_hopeless.findall(new)) > len(lost):
                 continue
-            c = cost(new) - ASCII_BITS * (len(part) - len(seen))
+            c = cost(new) - ascii_share
             if c < best and base - c >= max(LEAST_DROP, LEAST_SHARE * base):
                 best, name, out = c, f"{read}>{codec}", new
     return (out, name) if name else None
@@ -265,10 +271,14 @@ def _round_trips(text: str, cost: Costs) -> tuple[str, list[str]]:
         text = best[1]
         steps.append(best[2])
     if steps and "cp1252>utf-8" in steps[0]:
-        text = regex.sub(r"Ã(?= )", "à", text)  # the second byte was a no-break space that became a space
+        text = _lost_space.sub(lambda m: "à" + m.group(1), text)
     return text, steps
 
 
+#: A capital Ã where no capital letter is before it: the first byte of à, whose second, a no-break space, became a space.
+_lost_space = regex.compile(r"(?<![\p{Lu}])Ã( )")
+
+
 def hopeless(text: str) -> bool:
     """Whether characters are left, as such or as references, that only a wrong decoding leaves."""
     return bool(_hopeless.search(_reference.sub(_referred, text)))

@@ -96,3 +96,8 @@ def test_frame_of_references(spark, cost):
 
 def test_references_say_nothing_of_a_header(cost):
     assert encoding.true_codepage("fa&#195;&#167;ade né fá".encode("cp1252"), cost) == 1252
+
+
+def test_a_capital_a_tilde_of_clean_words_stays():
+    cost = encoding.Costs(dict.fromkeys("ãéàçáêõú", 3000) | {"Ã": 60}, 1_000_000)
+    assert encoding.repair("A manhÃ£ de MANHÃ foi longa, AMANHÃ e IRMÃ somos, Ã  noite.", cost)[0] == "A manhã de MANHÃ foi longa, AMANHÃ e IRMÃ somos, à  noite."

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioframe.session import cut_lineage
+from folioframe.session import cut_plan
 
 MAX_LEVELS = 10_000
 
@@ -27,17 +27,17 @@ def topology_problems(artifacts: DataFrame, edges: DataFrame) -> DataFrame:
 
 def levels(artifacts: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((artifact_id, level), artifacts on or behind a cycle): an artifact's level is above those of its dependencies."""
-    left = cut_lineage(artifacts.select("artifact_id").distinct())
-    open_edges = cut_lineage(edges.select("artifact_id", "dependency_id").distinct())
+    left = cut_plan(artifacts.select("artifact_id").distinct())
+    open_edges = cut_plan(edges.select("artifact_id", "dependency_id").distinct())
     done = None
     for level in range(MAX_LEVELS):
         ready = left.join(open_edges.select("artifact_id").distinct(), "artifact_id", "left_anti").withColumn("level", F.lit(level))
-        ready = cut_lineage(ready)
+        ready = cut_plan(ready)
         if ready.limit(1).count() == 0:
             break
         done = ready if done is None else done.unionByName(ready)
-        left = cut_lineage(left.join(ready.select("artifact_id"), "artifact_id", "left_anti"))
-        open_edges = cut_lineage(open_edges.join(ready.select(F.col("artifact_id").alias("dependency_id")), "dependency_id", "left_anti"))
+        left = cut_plan(left.join(ready.select("artifact_id"), "artifact_id", "left_anti"))
+        open_edges = cut_plan(open_edges.join(ready.select(F.col("artifact_id").alias("dependency_id")), "dependency_id", "left_anti"))
     empty = left.limit(0).withColumn("level", F.lit(0))
     return (done if done is not None else empty), left
 
@@ -66,13 +66,13 @@ def topological_order(artifacts: list[str], edges: list[tuple[str, str]]) -> lis
 
 def closure(roots: DataFrame, edges: DataFrame, start: str, end: str) -> DataFrame:
     """(artifact_id): roots and all that is reached by following edges from ``start`` to ``end``."""
-    seen = front = cut_lineage(roots.select("artifact_id").distinct())
+    seen = front = cut_plan(roots.select("artifact_id").distinct())
     links = edges.select(F.col(start).alias("artifact_id"), F.col(end).alias("to")).distinct()
     for _ in range(MAX_LEVELS):
-        front = cut_lineage(front.join(links, "artifact_id").select(F.col("to").alias("artifact_id")).distinct().join(seen, "artifact_id", "left_anti"))
+        front = cut_plan(front.join(links, "artifact_id").select(F.col("to").alias("artifact_id")).distinct().join(seen, "artifact_id", "left_anti"))
         if front.limit(1).count() == 0:
             return seen
-        seen = cut_lineage(seen.unionByName(front))
+        seen = cut_plan(seen.unionByName(front))
     raise RuntimeError("closure did not settle")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,12 +31,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder that the cluster names; a folder of our own only where none is set."""
+    """Use the shared folder that the cluster names; a folder of our own only on a single machine where none is set."""
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
-    spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="folioframe-checkpoint-"))
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(named or _local_folder())
+
+
+def _local_folder() -> str:
+    """A checkpoint folder for a local session, removed at the end."""
+    path = tempfile.mkdtemp(prefix="folioframe-checkpoint-")
+    atexit.register(shutil.rmtree, path, True)
+    return path
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -43,6 +54,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_plan(df: DataFrame) -> DataFrame:
+    """As ``cut_lineage``, without the optimiser's size estimate, for frames that go from round to round of a loop.
+
+    A checkpoint keeps the estimate of the plan behind it. Joins multiply estimates, so that in a loop the number
+    itself doubles its digits with every round.
+    """
+    done = cut_lineage(df)
+    spark = df.sparkSession
+    rows = done._jdf.queryExecution().toRdd()
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, done._jdf.schema(), False), spark)
+
+
 def size_in_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan, for the checks before a broadcast."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -280,15 +280,23 @@ def training_sample(df: DataFrame, text: str, label: str, key: str, per_language
     share = F.create_map(*(F.lit(x) for n, c in counts.items() for x in (n, min(1.0, 1.5 * per_language / c)))) if counts else None
     if share is None:
         return {}
-    picked = rows.filter(F.pmod("h", F.lit(1_000_003)) < F.lit(1_000_003) * share[F.col("l")]).orderBy("h")
+    picked = rows.filter(F.pmod("h", F.lit(1_000_003)) < F.lit(1_000_003) * share[F.col("l")]).orderBy("h").limit(2 * per_language * len(counts))
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for t in b["t"]:
+                spans = pieces(t)
+                out.append([t[x:y] for x, y in spans[:: max(1, len(spans) // UNITS)][:UNITS]])
+            yield pd.DataFrame({"l": b["l"], "h": b["h"], "units": out})
+
     out: dict[str, list[str]] = {}
     texts: dict[str, int] = {}
-    for r in picked.limit(2 * per_language * len(counts)).toLocalIterator():
+    # The driver gets UNITS pieces of each text, not the texts.
+    for r in picked.mapInPandas(cut, "l string, h long, units array<string>").orderBy("h").toLocalIterator():
         if texts.get(r["l"], 0) < per_language:
             texts[r["l"]] = texts.get(r["l"], 0) + 1
-            spans = pieces(r["t"])
-            step = max(1, len(spans) // UNITS)
-            out.setdefault(r["l"], []).extend(r["t"][a:b] for a, b in spans[::step][:UNITS])
+            out.setdefault(r["l"], []).extend(r["units"])
     return {k: v for k, v in out.items() if texts[k] >= min(LEAST_TEXTS, per_language)}
 
 

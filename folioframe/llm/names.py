@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioframe.session import cut_lineage
+from folioframe.session import cut_lineage, cut_plan
 
 LEAST_SUFFIX = 3
 #: Least ratio of two tokens, by the length of the shorter one (the last holds for all longer ones).
@@ -647,7 +647,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         hub = large.groupBy("project_id", "u").agg(F.min("v").alias("m"))
         small = large.join(hub, ["project_id", "u"])
         small = small.filter("v != m").select("project_id", F.col("v").alias("u"), F.col("m").alias("v")).unionByName(hub.select("project_id", "u", F.col("m").alias("v")))
-        e = cut_lineage(small.distinct())
+        e = cut_plan(small.distinct())
     return nodes.join(e.select("project_id", F.col("u").alias("name"), F.col("v").alias("entity")), ["project_id", "name"], "left").select("project_id", "name", F.coalesce("entity", "name").alias("entity"))
 
 

@@ -36,6 +36,12 @@ class Packer:
         self.capacity, self.windows, self.next_id = capacity, windows, first_id
         self.open: list[tuple[int, int]] = []  # (free space, container), ascending
         self.closed: set[int] = set()
+        self.empty: int | None = None  # holds the items without a size until the merge
+
+    def for_empty(self) -> int:
+        if self.empty is None:
+            self.empty, self.next_id = self.next_id, self.next_id + 1
+        return self.empty
 
     def _new(self, size: int) -> int:
         if len(self.open) == self.windows:
@@ -92,11 +98,14 @@ def pack_texts(df: DataFrame, limits: DataFrame, key: str = "doc_id", text: str
         base = (ctx.partitionId() + 1) << 33 if ctx else 1 << 33
         packers = {n: Packer(c, windows, base) for n, c in caps.items()}
         pending: dict[str, list[tuple]] = {n: [] for n in caps}
+        nothing: dict[str, list[tuple]] = {n: [] for n in caps}  # texts without tokens: never kept waiting
 
         def emit(final: bool) -> Iterator[pa.RecordBatch]:
             for n, p in packers.items():
                 done = pending[n] if final else [x for x in pending[n] if x[0] in p.closed]
                 pending[n] = [] if final else [x for x in pending[n] if x[0] not in p.closed]
+                done += nothing[n]
+                nothing[n] = []
                 if done:
                     cols = list(zip(*done, strict=True))
                     yield pa.RecordBatch.from_arrays(
@@ -110,6 +119,9 @@ def pack_texts(df: DataFrame, limits: DataFrame, key: str = "doc_id", text: str
             key_type = b.schema.field(0).type
             for k, n in zip(b[0].to_pylist(), count_tokens(b[1], tokenizer), strict=True):
                 for name, p in packers.items():
+                    if not n:
+                        nothing[name].append((p.for_empty(), k, 0, 0, 0))
+                        continue
                     pending[name] += [(c, k, part, start, size) for c, part, start, size in p.place(n)]
             yield from emit(False)
         yield from emit(True)

@@ -14,11 +14,11 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioframe.session import cut_lineage
+from folioframe.session import cut_lineage, cut_plan
 
 PROBABILITIES = (0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
-#: A range with at most so many distinct values is decided by a running count in one window.
-SMALL_RANGE = 4096
+#: A range with at most so many distinct values is decided by a running count instead of more rounds.
+SMALL_RANGE = 128
 #: States of up to so many ranges are broadcast (about 100 bytes each); more are joined by shuffle.
 BROADCAST_RANGES = 100_000
 MAX_ROUNDS = 200
@@ -57,7 +57,7 @@ def select_ranks(counts: DataFrame, keys: list[str], probabilities: tuple[float,
         return d.join(s, (F.col("_g") == F.col("_h")) & (F.col("value") > F.col("lo")) & (F.col("value") < F.col("hi"))).drop("_h")
 
     while True:
-        state = cut_lineage(state)
+        state = cut_plan(state)
         n_state = state.count()
         done = state.filter(F.col("d") <= small)
         n_done = done.count()
@@ -94,14 +94,15 @@ def select_ranks(counts: DataFrame, keys: list[str], probabilities: tuple[float,
         upto = F.col("below") + F.col("at")
         mid = F.filter("want", lambda x: (x["k"] > F.col("below")) & (x["k"] <= upto))
         found.append(split.select("_g", F.explode(mid).alias("_w"), F.col("pivot").alias("value")).select("_g", "_w.p", "value"))
-        low = split.select("_g", "lo", F.col("pivot").alias("hi"), F.filter("want", lambda x: x["k"] <= F.col("below")).alias("want"), F.col("d_below").alias("d"))
+        low = F.struct("lo", F.col("pivot").alias("hi"), F.filter("want", lambda x: x["k"] <= F.col("below")).alias("want"), F.col("d_below").alias("d"))
         above = F.transform(F.filter("want", lambda x: x["k"] > upto), lambda x: F.struct(x["p"].alias("p"), (x["k"] - upto).alias("k")))
-        high = split.select("_g", F.col("pivot").alias("lo"), "hi", above.alias("want"), F.col("d_above").alias("d"))
-        state = low.unionByName(high).filter("size(want) > 0")
+        high = F.struct(F.col("pivot").alias("lo"), "hi", above.alias("want"), F.col("d_above").alias("d"))
+        # Exploded, not united, so that the number of partitions stays.
+        state = split.select("_g", F.explode(F.array(low, high)).alias("_s")).select("_g", "_s.*").filter("size(want) > 0")
         left = split.agg(F.sum(F.col("d_below") + F.col("d_above"))).first()[0] or 0
         if total is None or left * 2 < total:  # rows of discarded ranges are not read again
-            state = cut_lineage(state)
-            live, total = cut_lineage(inside(live, state.select("_g", "lo", "hi"), 2 * n_state).select("_g", "value", "n")), left
+            state = cut_plan(state)
+            live, total = cut_plan(inside(live, state.select("_g", "lo", "hi"), 2 * n_state).select("_g", "value", "n")), left
     if not found:
         found.append(groups.select("_g", F.lit(0.0).alias("p"), F.lit(0.0).alias("value")).limit(0))
     out = found[0]

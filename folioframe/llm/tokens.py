@@ -91,6 +91,12 @@ class Encoder:
                 return left[: max(0, len(left) - k)] + window + right[k:]
             k *= 2
 
+    def join_all(self, leaves: list[list[int]]) -> list[int]:
+        """The encoding of one piece from those of its leaves: neighbours are joined in pairs, level by level."""
+        while len(leaves) > 1:
+            leaves = [self.join(*leaves[i : i + 2]) if i + 1 < len(leaves) else leaves[i] for i in range(0, len(leaves), 2)]
+        return leaves[0]
+
     def count(self, text: str | None) -> int:
         return len(self.encode(text))
 
@@ -163,7 +169,7 @@ def encode_corpus(
     rows = df.select(F.col(key).alias("_k"), F.col(text).alias("_t"))
     kind = rows.schema["_k"].dataType
     ids_type = T.ArrayType(T.IntegerType())
-    big = F.coalesce(F.octet_length("_t") > spread_chars, F.lit(False))
+    big = F.coalesce(F.char_length("_t") > spread_chars, F.lit(False))
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
@@ -188,15 +194,16 @@ def encode_corpus(
     import pandas as pd
 
     def join(parts: pd.DataFrame) -> pd.DataFrame:
-        enc, done_ids, piece = encoder(tokenizer), [], []
-        for glue, ids in parts.sort_values("_i")[["_glue", "ids"]].itertuples(index=False):
-            ids = [int(x) for x in ids]
+        enc = encoder(tokenizer)
+        parts = parts.sort_values("_i")
+        pieces: list[list[list[int]]] = []  # leaves of one piece of the split pattern each
+        for glue, ids in parts[["_glue", "ids"]].itertuples(index=False):
+            ids = np.asarray(ids).tolist()
             if glue:
-                piece = enc.join(piece, ids)
+                pieces[-1].append(ids)
             else:
-                done_ids += piece
-                piece = ids
-        out_ids = done_ids + piece
+                pieces.append([ids])
+        out_ids = [x for piece in pieces for x in enc.join_all(piece)]
         return pd.DataFrame({"_k": [parts["_k"].iloc[0]], "ids": [out_ids]})
 
     schema = T.StructType([T.StructField("_k", kind), T.StructField("ids", ids_type)])

@@ -7,7 +7,8 @@ limit fails, or only weaker boundaries are in reach, one more piece is tried. Co
 
 An item made of blocks may be larger than a task should hold: its blocks are grouped into runs of bounded
 length by two-level prefix sums over lengths only, and each run is split by itself, starting with the overlap
-from the run before.
+from the run before. Runs end with blocks, so the cut between two is a boundary of the first strength, and each run
+has at most one piece more than its share of the item.
 """
 
 from __future__ import annotations
@@ -21,10 +22,15 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioframe.session import cut_lineage
+
 RUN_CHARS = 1 << 18
 #: Blocks per cell of the first level of the prefix sums.
 CELL = 1024
+#: Piece counts above the least (and an eighth of it) that are tried for stronger boundaries; limits hold with any.
 EXTRA_PIECES = 3
+#: Keys of oversized items up to which they are broadcast (about 50 bytes each).
+BROADCAST_ITEMS = 500_000
 
 #: Strengths of boundaries.
 BLANK_LINE, LINE, SENTENCE, WORD, ANYWHERE = 4, 3, 2, 1, 0
@@ -174,7 +180,7 @@ def split_blocks(blocks: DataFrame, limits: DataFrame, limit_id: str, kind: str,
     m, o = int(lim[0]["max_size"]), int(lim[0]["overlap_size"])
     if run_chars <= 2 * m:
         raise ValueError("runs must be longer than two pieces")
-    pos = positions(blocks, key, order, text, run_chars).filter((F.col("total") > m) & (F.col("size") > 0))
+    pos = cut_lineage(positions(blocks, key, order, text, run_chars).filter((F.col("total") > m) & (F.col("size") > 0)))
     w = Window.partitionBy(key, "run")
     pos = pos.withColumn("run_end", F.max(F.col("start") + F.col("size")).over(w))
     tail = (F.col("start") + F.col("size") > F.col("run_end") - o) & (F.col("run_end") < F.col("total"))
@@ -183,7 +189,11 @@ def split_blocks(blocks: DataFrame, limits: DataFrame, limit_id: str, kind: str,
     # The run after a run is not always the next number: a long block may leave a gap.
     after = pos.select(key, "run", "run_end").distinct().withColumn("_next", F.lead("run").over(Window.partitionBy(key).orderBy("run"))).select(key, "run", "_next")
     pos = pos.join(after, [key, "run"]).select(key, order, "start", F.explode(runs).alias("_r")).select(key, order, "start", F.col("_r.r").alias("run"), F.col("_r.tail").alias("tail"))
-    rows = pos.join(blocks.select(key, order, F.col(text).alias("_t")).filter("_t != ''"), [key, order])
+    # Only texts of oversized items are moved; their keys are sent to every worker while they are few.
+    large = pos.select(key).distinct()
+    large = F.broadcast(large) if large.count() <= BROADCAST_ITEMS else large
+    texts = blocks.select(key, order, F.col(text).alias("_t")).filter("_t != ''").join(large, key, "left_semi")
+    rows = pos.join(texts, [key, order])
     rows = rows.select(F.col(key).cast("string").alias("_k"), F.col("run").cast("int").alias("run"), "start", "tail", "_t")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 #: The ideograph ranges of the word counter, of the token estimator and matchers, and of the name detector.
 IDEOGRAPHS = r"\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{20000}-\x{2EBEF}"
@@ -41,6 +41,17 @@ def nfc(c: Column) -> Column:
     return F.when(c.rlike(r"[^\x00-\x7F]"), _nfc(c)).otherwise(c)
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def _nfc_each(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for s in batches:
+        yield s.map(lambda xs: None if xs is None else [x if x is None else unicodedata.normalize("NFC", x) for x in xs])
+
+
+def nfc_each(c: Column) -> Column:
+    """NFC of every string of an array, a null one as it is; where all are ASCII nothing leaves the JVM."""
+    return F.when(F.exists(c, lambda x: x.rlike(r"[^\x00-\x7F]")), _nfc_each(c)).otherwise(c)
+
+
 def unify_lines(c: Column) -> Column:
     """Without a leading byte-order mark, all line ends as line feeds."""
     return F.regexp_replace(F.regexp_replace(c, r"^\x{FEFF}", ""), r"\r\n?", "\n")
@@ -126,8 +137,12 @@ def utf16_length(c: Column) -> Column:
 
 
 def contains_meaningful_term(query: Column, term: Column) -> Column:
-    """Whether a query mentions a term: as a whole if long enough or CJK, or by one of its longer words."""
-    q, t = F.lower(query), simplified(F.lower(term))
+    """Whether a query mentions a term, both in NFC: as a whole if long enough or CJK, or by one of its longer words."""
+    return mentions(F.lower(query), F.lower(term))
+
+
+def mentions(q: Column, t: Column) -> Column:
+    """As ``contains_meaningful_term`` of texts in lower case."""
     whole = ((utf16_length(t) >= 3) | contains_cjk(t)) & F.contains(q, t)
     part = F.exists(F.split(t, r"[^\p{L}\p{N}_]+"), lambda w: (w != "") & ((utf16_length(w) >= 4) | contains_cjk(w)) & F.contains(q, w))
-    return F.coalesce((t != "") & (whole | part), F.lit(False))
+    return F.coalesce((trimmed(t) != "") & (whole | part), F.lit(False))

@@ -33,15 +33,18 @@ def estimate(value: str) -> int:
 
 def candidates(characters: DataFrame, threads: DataFrame, queries: DataFrame) -> DataFrame:
     """(context_id, kind, stable_id, text, priority): a project's memory for each of its queries (context_id, project_id, query)."""
-    q = queries.select("context_id", "project_id", "query")
-    relevant = text.contains_meaningful_term(F.col("query"), F.col("name")) | F.exists("aliases", lambda a: text.contains_meaningful_term(F.col("query"), a))
+    # Each text is composed and put in lower case once, not for every pair.
+    q = queries.select("context_id", "project_id", F.lower(text.nfc(F.col("query"))).alias("query"))
+    characters = characters.withColumn("name_key", F.lower(text.nfc(F.col("name")))).withColumn("alias_keys", F.transform(text.nfc_each(F.col("aliases")), F.lower))
+    threads = threads.withColumn("thread_key", F.lower(text.nfc(F.col("thread"))))
+    relevant = text.mentions(F.col("query"), F.col("name_key")) | F.exists("alias_keys", lambda a: text.mentions(F.col("query"), a))
     recency = lambda c: F.greatest(F.lit(0), F.least(F.col(c), F.lit(9999)))
     band = lambda kind, cond: F.when(cond, BANDS[kind][0]).otherwise(BANDS[kind][1])
     alias = F.when(F.size("aliases") > 0, F.concat(F.lit(" | aliases: "), F.array_join("aliases", ", "))).otherwise("")
     seen = F.concat(F.lit(" | seen in "), F.col("n_chapters").cast("string"), F.lit(" chapter(s), last in chapter "), (F.col("last_sequence") + 1).cast("string"))
     c = q.join(characters, "project_id").select("context_id", F.lit("character").alias("kind"), F.col("character_id").alias("stable_id"), F.concat("name", alias, seen).alias("text"), (band("character", relevant) + recency("last_sequence")).alias("priority"))
     open_ = F.concat(F.lit("Open since chapter "), (F.col("first_sequence") + 1).cast("string"), F.lit(": "), "thread", F.when(F.col("inferred_only"), " | inferred").otherwise(""))
-    about = text.contains_meaningful_term(F.col("query"), F.col("thread"))
+    about = text.mentions(F.col("query"), F.col("thread_key"))
     t = q.join(threads, "project_id").select("context_id", F.lit("thread").alias("kind"), F.col("thread_id").alias("stable_id"), open_.alias("text"), (band("thread", about) + recency("last_sequence")).alias("priority"))
     return c.unionByName(t)
 

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,67 +20,102 @@ HUNKS = "source_id string, old_start bigint, old_end bigint, new_start bigint, n
 
 
 def _lines(data: bytes) -> list[bytes]:
-    return data.splitlines(keepends=True) if b"\r" not in data else [x + b"\n" for x in data.split(b"\n")[:-1]] + [x for x in [data.rsplit(b"\n", 1)[-1]] if x]
-
-
-def _inside(data: bytes, at: int) -> bool:
-    return 0 < at < len(data) and data[at] & 0xC0 == 0x80
-
-
-def _trim(old: bytes, new: bytes, a: int, b: int, c: int, d: int) -> tuple[int, int, int, int]:
-    """A hunk without what both sides begin and end with, never cutting a character."""
-    n = 0
-    limit = min(b - a, d - c)
-    while n < limit and old[a + n] == new[c + n]:
-        n += 1
-    while n and (_inside(old, a + n) or _inside(new, c + n)):
-        n -= 1
-    a, c = a + n, c + n
-    n, limit = 0, min(b - a, d - c)
-    while n < limit and old[b - n - 1] == new[d - n - 1]:
-        n += 1
-    while n and (_inside(old, b - n) or _inside(new, d - n)):
-        n -= 1
-    return a, b - n, c, d - n
-
-
-def hunks(old: bytes, new: bytes) -> tuple[list[tuple[int, int, int, int]], bool]:
-    """Changed (old start, old end, new start, new end) by longest common lines, and whether the work was capped.
-
-    Of equal ways the one that takes new lines first is chosen. Equal heads and tails are left aside before the table is made.
+    return regex.findall(rb"[^\n]*\n|[^\n]+", data)
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """How many bytes two runs begin with in common."""
+    n = min(len(a), len(b))
+    other = np.flatnonzero(a[:n] != b[:n])
+    return int(other[0]) if len(other) else n
+
+
+def _cuts(data: np.ndarray) -> np.ndarray:
+    """Offsets at which a run of UTF-8 may be cut: starts of characters and its end."""
+    return np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+
+
+def narrowed(old: bytes, new: bytes) -> tuple[int, int]:
+    """Lengths of the common head and of the common tail of what remains; neither parts a character of either side."""
+    a, b = np.frombuffer(old, np.uint8), np.frombuffer(new, np.uint8)
+    both = np.intersect1d(_cuts(a), _cuts(b))
+    head = int(max(both[both <= _common(a, b)], default=0))
+    ends = np.intersect1d(len(a) - _cuts(a), len(b) - _cuts(b))
+    shared = min(_common(a[::-1], b[::-1]), len(a) - head, len(b) - head)
+    return head, int(max(ends[ends <= shared], default=0))
+
+
+def _last_row(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Lengths of the longest common subsequences of x with each beginning of y, in one row of memory."""
+    row = np.zeros(len(y) + 1, np.int32)
+    for c in x:
+        row[1:] = np.maximum.accumulate(np.maximum(row[1:], np.where(y == c, row[:-1] + 1, 0)))
+    return row
+
+
+def _matches_by_halves(x: np.ndarray, y: np.ndarray, i: int, j: int) -> Iterator[tuple[int, int]]:
+    """Matched places of a longest common subsequence with memory for two rows only: x is halved where both halves fit y best."""
+    if not len(x) or not len(y):
+        return
+    if len(x) == 1:
+        hit = np.flatnonzero(y == x[0])
+        if len(hit):
+            yield i, j + int(hit[-1])
+        return
+    half = len(x) // 2
+    fit = _last_row(x[:half], y) + _last_row(x[half:][::-1], y[::-1])[::-1]
+    at = len(fit) - 1 - int(np.argmax(fit[::-1]))
+    yield from _matches_by_halves(x[:half], y[:at], i, j)
+    yield from _matches_by_halves(x[half:], y[at:], i + half, j + at)
+
+
+def _matches_by_table(x: np.ndarray, y: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Matched places of a longest common subsequence; of equal ways the one that passes over new lines first."""
+    best = np.zeros((len(x) + 1, len(y) + 1), np.int32)
+    for i in reversed(range(len(x))):
+        own = np.where(y == x[i], best[i + 1, 1:] + 1, best[i + 1, :-1])
+        best[i, :-1] = np.maximum.accumulate(own[::-1])[::-1]
+    j = 0
+    for i in range(len(x)):
+        # Line i is matched with the first equal one up to which no match is lost; it is passed over if there is none.
+        reach = j + int(np.searchsorted(-best[i, j:], -best[i, j], side="right")) if best[i, j] else j
+        hit = np.flatnonzero(y[j:reach] == x[i])
+        if len(hit):
+            j += int(hit[0])
+            yield i, j
+            j += 1
+        elif best[i, j]:
+            j = max(j, reach - 1)
+
+
+def hunks(old: bytes, new: bytes, exact: bool = False) -> tuple[list[tuple[int, int, int, int]], bool]:
+    """Changed (old start, old end, new start, new end): the gaps between the lines of a longest common subsequence.
+
+    Above MAX_CELLS the whole is one hunk (the second value is true), or with ``exact`` comes from an alignment in linear space.
     """
     if old == new:
         return [], False
     a, b = _lines(old), _lines(new)
-    n, m = len(a), len(b)
-    if (n + 1) * (m + 1) > MAX_CELLS:
-        return [_trim(old, new, 0, len(old), 0, len(new))], True
+    large = (len(a) + 1) * (len(b) + 1) > MAX_CELLS
     codes: dict[bytes, int] = {}
-    x = np.array([codes.setdefault(t, len(codes)) for t in a], np.int64)
-    y = np.array([codes.setdefault(t, len(codes)) for t in b], np.int64)
-    table = np.zeros((n + 1, m + 1), np.int32)
-    for i in range(n - 1, -1, -1):
-        row = np.where(y == x[i], table[i + 1, 1:] + 1, table[i + 1, :-1])
-        table[i, :-1] = np.maximum.accumulate(row[::-1])[::-1]  # the best of this and all later columns
-    at = np.concatenate([[0], np.cumsum([len(t) for t in a])]).astype(int)
-    bt = np.concatenate([[0], np.cumsum([len(t) for t in b])]).astype(int)
+    x, y = (np.array([codes.setdefault(t, len(codes)) for t in side], np.int64) for side in (a, b))
+    if large and not exact:
+        pairs: list[tuple[int, int]] = []
+    else:
+        pairs = list(_matches_by_halves(x, y, 0, 0) if large else _matches_by_table(x, y))
+    at, bt = (np.concatenate([[0], np.cumsum([len(t) for t in side], dtype=np.int64)]) for side in (a, b))
     out, i, j = [], 0, 0
-    while i < n or j < m:
-        if i < n and j < m and x[i] == y[j]:
-            i, j = i + 1, j + 1
-            continue
-        s, t = i, j
-        while (i < n or j < m) and not (i < n and j < m and x[i] == y[j]):
-            if j < m and (i == n or table[i, j + 1] >= table[i + 1, j]):
-                j += 1
-            else:
-                i += 1
-        out.append(_trim(old, new, int(at[s]), int(at[i]), int(bt[t]), int(bt[j])))
-    return out, False
-
-
-def changed_spans(revisions: DataFrame) -> DataFrame:
-    """HUNKS of revisions (source_id, old, new: texts). Equal pairs never leave the JVM; null counts as empty."""
+    for p, q in [*pairs, (len(a), len(b))]:
+        if p > i or q > j:
+            s, e, t, u = int(at[i]), int(at[p]), int(bt[j]), int(bt[q])
+            head, tail = narrowed(old[s:e], new[t:u])
+            out.append((s + head, e - tail, t + head, u - tail))
+        i, j = p + 1, q + 1
+    return out, large and not exact
+
+
+def changed_spans(revisions: DataFrame, exact: bool = False) -> DataFrame:
+    """HUNKS of revisions (source_id, old, new: texts), ``exact`` as for ``hunks``. Equal pairs never leave the JVM; null counts as empty."""
     rows = revisions.select(F.col("source_id").cast("string").alias("source_id"), F.coalesce("old", F.lit("")).alias("old"), F.coalesce("new", F.lit("")).alias("new")).filter("old != new")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -87,7 +123,7 @@ def changed_spans(revisions: DataFrame) -> DataFrame:
             out = []
             for sid, o, w in batch.itertuples(index=False):
                 a, b = o.encode(), w.encode()
-                found, capped = hunks(a, b)
+                found, capped = hunks(a, b, exact)
                 out += [(sid, s, e, t, u, a[s:e].decode(), b[t:u].decode(), capped) for s, e, t, u in found]
             yield pd.DataFrame(out, columns=[c.split()[0] for c in HUNKS.split(", ")])
 
@@ -141,14 +177,19 @@ def running_delta(edits: DataFrame) -> DataFrame:
 def mapped_offsets(points: DataFrame, edits: DataFrame, include_insertion: bool = True) -> DataFrame:
     """Points (source_id, point) with new_point, their place after the edits; null inside replaced bytes.
 
-    An insertion exactly at a point counts as before it only where ``include_insertion``.
+    An insertion exactly at a point counts as before it only where ``include_insertion``. Edits don't overlap.
+    Points and the ends of edits are put in one order, so that a running sum serves all points of a source.
     """
-    e = edits.select(F.col("source_id").alias("e_source"), "old_start", "old_end", "new_len")
-    before = F.col("old_end") <= F.col("point") if include_insertion else (F.col("old_end") < F.col("point")) | ((F.col("old_end") == F.col("point")) & (F.col("old_start") < F.col("old_end")))
-    inside = (F.col("old_start") < F.col("point")) & (F.col("point") < F.col("old_end"))
-    moved = F.sum(F.when(before, F.col("new_len") - (F.col("old_end") - F.col("old_start"))).otherwise(0))
-    rows = points.distinct().join(e, (F.col("source_id") == F.col("e_source")) & (F.col("old_start") <= F.col("point")), "left").groupBy("source_id", "point").agg(moved.alias("m"), F.max(F.coalesce(inside, F.lit(False))).alias("i"))
-    return rows.select("source_id", "point", F.when(~F.col("i"), F.col("point") + F.coalesce("m", F.lit(0))).alias("new_point"))
+    grown = (F.col("new_len") - (F.col("old_end") - F.col("old_start"))).cast("long")
+    empty = F.col("old_start") == F.col("old_end")
+    # At one offset: ends of replacements, then insertions that count, then points, then insertions that don't, then starts.
+    turn = F.when(~empty, F.lit(0)).otherwise(F.lit(1 if include_insertion else 3))
+    ends = edits.select("source_id", F.col("old_end").cast("long").alias("at"), turn.alias("turn"), grown.alias("moved"), F.when(empty, 0).otherwise(-1).alias("open"))
+    starts = edits.filter(~empty).select("source_id", F.col("old_start").cast("long").alias("at"), F.lit(4).alias("turn"), F.lit(0).cast("long").alias("moved"), F.lit(1).alias("open"))
+    marks = points.select("source_id", F.col("point").cast("long").alias("at")).distinct().select("source_id", "at", F.lit(2).alias("turn"), F.lit(0).cast("long").alias("moved"), F.lit(0).alias("open"))
+    w = Window.partitionBy("source_id").orderBy("at", "turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = ends.unionByName(starts).unionByName(marks).withColumn("m", F.sum("moved").over(w)).withColumn("o", F.sum("open").over(w)).filter("turn = 2")
+    return rows.select("source_id", F.col("at").alias("point"), F.when(F.col("o") <= 0, F.col("at") + F.col("m")).alias("new_point"))
 
 
 def splice(body: Column, start: Column, end: Column, replacement: Column) -> Column:

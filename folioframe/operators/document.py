@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,19 +88,38 @@ def nested(books: DataFrame, chapters: DataFrame, blocks: DataFrame) -> DataFram
     return books.join(c, "book_id", "left")
 
 
+def real_text(c: Column) -> Column:
+    """A confidence of 0 to 1 with 17 significant digits of its exact binary value, trailing zeros left out; others as they print."""
+    out = F.when(c == 0, F.lit("0")).when(c == 1, F.lit("1"))
+    for k, bits in ((1, 60), (2, 60), (3, 66), (4, 66)):  # 10^-k <= c: c * 2^bits is a whole number
+        whole = (c * F.lit(2.0**bits)).cast("bigint").cast("decimal(19,0)")
+        scaled = whole * F.lit(Decimal(2)).cast("decimal(1,0)") * F.lit(Decimal(10 ** (16 + k))).cast(f"decimal({17 + k},0)")
+        # Rounded to the nearest: half a unit is added before the whole division.
+        digits = F.call_function("div", scaled + F.lit(Decimal(2**bits)).cast("decimal(20,0)"), F.lit(Decimal(2 ** (bits + 1))).cast("decimal(21,0)"))
+        text_ = F.rtrim(F.concat(F.lit("0."), F.lpad(digits.cast("string"), 16 + k, "0")), F.lit("0"))
+        out = out.when((c >= 10.0**-k) & (c < 1), text_)
+    return out.otherwise(c.cast("string"))
+
+
 def content_hash(docs: DataFrame) -> DataFrame:
-    """(book_id, content_hash) over the framed fields of nested documents in order; a null confidence is left out."""
+    """(book_id, content_hash): SHA-256 over the framed fields of nested documents in order, lists preceded by their counts.
+
+    Null texts count as empty, a null confidence is left out.
+    """
     f = ids.framed
     s = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    count = lambda c: F.greatest(F.size(c), F.lit(0)).cast("string")
 
     def block(b: Column) -> Column:
-        conf = F.when(b["extraction_confidence"].isNotNull(), f("extraction_confidence", F.format_string("%s", b["extraction_confidence"]))).otherwise("")
-        return F.concat(f("block.type", s(b["block_type"])), f("block.text", s(b["text"])), f("span.source_id", s(b["source_id"])), f("span.start_byte", s(b["start_byte"])), f("span.end_byte", s(b["end_byte"])), conf)
+        conf = F.when(b["extraction_confidence"].isNotNull(), f("block.extraction_confidence", real_text(b["extraction_confidence"]))).otherwise("")
+        return F.concat(f("block.type", s(b["block_type"])), f("block.text", s(b["text"])), f("block.source_id", s(b["source_id"])), f("block.start_byte", s(b["start_byte"])), f("block.end_byte", s(b["end_byte"])), conf)
 
     def chapter(c: Column) -> Column:
         body = F.array_join(F.transform(F.coalesce(c["blocks"], F.array()), block), "")
-        return F.concat(f("chapter.id", s(c["chapter_id"])), f("chapter.index", s(c["chapter_index"])), f("chapter.title", s(c["title"])), body)
+        return F.concat(f("chapter.id", s(c["chapter_id"])), f("chapter.index", s(c["chapter_index"])), f("chapter.title", s(c["title"])), f("chapter.blocks.count", count(c["blocks"])), body)
 
-    head = F.concat(*(f(n, s(F.col(n))) for n in ("book_id", "title")), F.array_join(F.transform("authors", lambda a: f("author", s(a))), ""), *(f(n, s(F.col(n))) for n in ("lang_label", "source_format", "source_locator", "source_hash")))
-    body = F.array_join(F.transform(F.coalesce("chapters", F.array()), chapter), "")
+    authors = F.concat(f("metadata.authors.count", count("authors")), F.array_join(F.transform(F.coalesce("authors", F.array().cast("array<string>")), lambda a: f("metadata.author", s(a))), ""))
+    rest = (("metadata.language", "lang_label"), ("metadata.source_format", "source_format"), ("metadata.source_locator", "source_locator"), ("metadata.source_hash", "source_hash"))
+    head = F.concat(f("document.id", s(F.col("book_id"))), f("metadata.title", s(F.col("title"))), authors, *(f(n, s(F.col(c))) for n, c in rest))
+    body = F.concat(f("chapters.count", count("chapters")), F.array_join(F.transform(F.coalesce("chapters", F.array()), chapter), ""))
     return docs.select("book_id", F.sha2(F.concat(head, body), 256).alias("content_hash"))

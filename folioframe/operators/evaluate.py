@@ -129,7 +129,7 @@ def compare_runs(baseline: DataFrame, candidate: DataFrame, limits: DataFrame, t
     limits: metric, minimum, maximum, max_ratio (nulls where there is none); a handful of rows.
     """
     b = baseline.withColumnRenamed("value", "baseline")
-    rows = candidate.withColumnRenamed("value", "candidate").join(b, ["case_id", "metric"], "left").join(limits, "metric", "left")
+    rows = candidate.withColumnRenamed("value", "candidate").join(b, ["case_id", "metric"], "full").join(limits, "metric", "left")
     issue = (
         F.when(F.col("baseline").isNull() != F.col("candidate").isNull(), "MissingMetric")
         .when(F.col("candidate") < F.col("minimum"), "BelowMinimum")

@@ -54,7 +54,7 @@ def locations(events: DataFrame, registry: DataFrame, travel: DataFrame) -> Data
     here = here.withColumn("_known", F.coalesce("_known", F.lit(False))).withColumn("prev", F.lag(F.struct("location_id", "tick", "_known", "confidence")).over(w))
     unresolved = _found(here.filter("NOT _known"), "UNRESOLVED_LOCATION", "notice")
     moved = here.filter("_known AND prev._known AND prev.location_id != location_id").withColumn("from_id", F.col("prev.location_id"))
-    routes = travel.groupBy(F.col("from_id"), F.col("to_id").alias("location_id")).agg(F.first("minimum_ticks").alias("minimum_ticks"))
+    routes = travel.groupBy(F.col("from_id"), F.col("to_id").alias("location_id")).agg(F.min("minimum_ticks").alias("minimum_ticks"))
     moved = moved.join(maybe_broadcast(routes), ["from_id", "location_id"], "left").withColumn("confidence", F.least("confidence", "prev.confidence"))
     unknown = _found(moved.filter("minimum_ticks IS NULL"), "UNKNOWN_TRAVEL_CONSTRAINT", "notice")
     fast = _found(moved.filter(F.col("tick") - F.col("prev.tick") < F.col("minimum_ticks")), "IMPOSSIBLE_LOCATION_TRANSITION", "warning")
@@ -105,5 +105,5 @@ def check(events: DataFrame, characters: DataFrame, variants: DataFrame, registr
 
 def explain(findings: DataFrame, explanations: DataFrame) -> DataFrame:
     """Findings with the reason that explains them; null where a finding stays open."""
-    e = explanations.groupBy("event_id", "rule").agg(F.first("reason").alias("reason"))
+    e = explanations.groupBy("event_id", "rule").agg(F.min("reason").alias("reason"))
     return findings.join(e, ["event_id", "rule"], "left")

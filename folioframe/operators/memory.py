@@ -9,8 +9,16 @@ from folioframe.functions import ids, text
 
 
 def name_key(c: Column) -> Column:
-    """The key under which names are one: trimmed, lower case."""
-    return F.lower(text.simplified(c))
+    """The key under which names are one: trimmed, composed characters, in lower case."""
+    return F.lower(text.nfc(text.trimmed(c)))
+
+
+def name_keys(c: Column) -> Column:
+    return F.transform(text.nfc_each(c), lambda x: F.lower(text.trimmed(x)))
+
+
+def is_blank_key(c: Column) -> Column:
+    return text.trimmed(c) == ""
 
 
 def characters(records: DataFrame) -> DataFrame:
@@ -18,7 +26,7 @@ def characters(records: DataFrame) -> DataFrame:
 
     records: project_id, chapter_id, sequence, position, name, aliases.
     """
-    rows = records.withColumn("key", name_key(F.col("name"))).filter("key != ''")
+    rows = records.withColumn("key", name_key(F.col("name"))).filter(~is_blank_key(F.col("key")))
     base = rows.groupBy("project_id", "key").agg(
         F.min_by("name", F.struct("sequence", "position", "name")).alias("name"), F.count_distinct("chapter_id").alias("n_chapters"),
         F.min("sequence").alias("first_sequence"), F.max("sequence").alias("last_sequence"),
@@ -35,8 +43,8 @@ def local_names(records: DataFrame) -> DataFrame:
     """(project_id, chapter_id, key, character_id): names and aliases that mean one character in their chapter."""
     own = name_key(F.col("name"))
     cid = ids.stable_id("character", F.concat("project_id", F.lit(":"), own))
-    named = records.select("project_id", "chapter_id", cid.alias("character_id"), F.explode(F.concat(F.array(own), F.transform(F.coalesce("aliases", F.array().cast("array<string>")), name_key))).alias("key"))
-    one = named.filter("key != ''").groupBy("project_id", "chapter_id", "key").agg(F.count_distinct("character_id").alias("n"), F.min("character_id").alias("character_id"))
+    named = records.select("project_id", "chapter_id", cid.alias("character_id"), F.explode(F.concat(F.array(own), name_keys(F.coalesce("aliases", F.array().cast("array<string>"))))).alias("key"))
+    one = named.filter(~is_blank_key(F.col("key"))).groupBy("project_id", "chapter_id", "key").agg(F.count_distinct("character_id").alias("n"), F.min("character_id").alias("character_id"))
     return one.filter("n = 1").drop("n")
 
 
@@ -63,7 +71,7 @@ def timeline(events: DataFrame) -> DataFrame:
 
 def open_threads(records: DataFrame) -> DataFrame:
     """Per project and thread text: id, text, mentions, first and last sequence, whether only inferred. records: project_id, chapter_id, sequence, thread, inferred."""
-    rows = records.withColumn("key", name_key(F.col("thread"))).filter("key != ''")
+    rows = records.withColumn("key", name_key(F.col("thread"))).filter(~is_blank_key(F.col("key")))
     out = rows.groupBy("project_id", "key").agg(
         F.min_by("thread", F.struct("sequence", "thread")).alias("thread"), F.count_distinct("chapter_id").alias("n_mentions"), F.min("sequence").alias("first_sequence"),
         F.max("sequence").alias("last_sequence"), F.bool_and("inferred").alias("inferred_only"),
@@ -79,7 +87,7 @@ def record_problems(records: DataFrame) -> DataFrame:
         chapters.withColumn("n", F.row_number().over(w) - 1).filter("n != sequence").select("project_id", "chapter_id", F.lit("InvalidSequence").alias("code")),
         chapters.groupBy("project_id", "chapter_id").count().filter("count > 1").select("project_id", "chapter_id", F.lit("DuplicateChapter").alias("code")),
         records.filter((F.col("name").isNull()) | (text.trimmed(F.col("name")) != F.col("name")) | (F.col("name") == "")).select("project_id", "chapter_id", F.lit("InvalidName").alias("code")),
-        records.groupBy("project_id", "chapter_id", name_key(F.col("name")).alias("k")).count().filter("count > 1 AND k != ''").select("project_id", "chapter_id", F.lit("DuplicateName").alias("code")),
+        records.groupBy("project_id", "chapter_id", name_key(F.col("name")).alias("k")).count().filter("count > 1").filter(~is_blank_key(F.col("k"))).select("project_id", "chapter_id", F.lit("DuplicateName").alias("code")),
         records.filter("confidence IS NULL OR isnan(confidence) OR confidence < 0 OR confidence > 1").select("project_id", "chapter_id", F.lit("InvalidConfidence").alias("code")),
         records.filter("NOT inferred AND size(evidence) <= 0").select("project_id", "chapter_id", F.lit("Ungrounded").alias("code")),
     ]
@@ -109,7 +117,7 @@ def entity_names(records: DataFrame) -> DataFrame:
 
 def semantic_signatures(records: DataFrame) -> DataFrame:
     """(chapter_id, signature): a hash of what a chapter says of its characters, whatever the order and the evidence's place."""
-    claim = F.concat_ws("\x1f", name_key(F.col("name")), F.array_join(F.array_sort(F.array_distinct(F.transform(F.coalesce("aliases", F.array().cast("array<string>")), name_key))), "\x1e"), F.coalesce(F.col("inferred").cast("string"), F.lit("")))
+    claim = F.concat_ws("\x1f", name_key(F.col("name")), F.array_join(F.array_sort(F.array_distinct(name_keys(F.coalesce("aliases", F.array().cast("array<string>"))))), "\x1e"), F.coalesce(F.col("inferred").cast("string"), F.lit("")))
     return records.groupBy("chapter_id").agg(ids.ordered_hash(F.array_sort(F.collect_set(claim))).alias("signature"))
 
 

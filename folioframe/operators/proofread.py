@@ -28,7 +28,7 @@ PATTERNS: dict[str, tuple[str, str | None, str, float, str]] = {
 }
 DUPLICATE_TOKENS = r"(?iu)([\p{L}\p{M}\p{N}_'’-]+)([ \t]+)\1"
 #: The order of categories among candidates of one place.
-CATEGORIES = ("TYPO", "DUPLICATED_TEXT", "SPACING", "PUNCTUATION", "NAME_INCONSISTENCY", "TERMINOLOGY_INCONSISTENCY", "OCR_ERROR", "GRAMMAR", "AMBIGUOUS", "POSSIBLE_SOURCE_DAMAGE")
+CATEGORIES = ("TYPO", "MISSING_WORD", "EXTRA_WORD", "DUPLICATED_TEXT", "SPACING", "PUNCTUATION", "NAME_INCONSISTENCY", "TERMINOLOGY_INCONSISTENCY", "POSSIBLE_SOURCE_DAMAGE", "AMBIGUOUS")
 COLUMNS = ["chapter_id", "source_id", "source_hash", "start_byte", "end_byte", "original", "suggestion", "category", "confidence", "impact", "detector"]
 
 

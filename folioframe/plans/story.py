@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioframe.functions import ids
 from folioframe.operators import context, dag, diff, document, evaluate, integrity, memory
+from folioframe.plans.sqltext import TRIM
 from folioframe.session import table
 from folioframe.sources import store
 from folioframe.streaming import streams
@@ -38,7 +39,7 @@ def story_participants(spark: SparkSession, sf: str) -> DataFrame:
 def story_relationships(spark: SparkSession, sf: str) -> DataFrame:
     """Characters of one chapter share it as an event."""
     rows = _records(spark, sf).select("project_id", "sequence", F.col("chapter_id").alias("event_id"), ids.stable_id("character", F.concat("project_id", F.lit(":"), memory.name_key(F.col("name")))).alias("character_id"), "name")
-    return memory.relationships(rows.filter(memory.name_key(F.col("name")) != "").drop("name"))
+    return memory.relationships(rows.filter(~memory.is_blank_key(memory.name_key(F.col("name")))).drop("name"))
 
 
 def story_timeline(spark: SparkSession, sf: str) -> DataFrame:
@@ -255,21 +256,24 @@ QUERIES = {
 
 
 def _key(c: str) -> str:
-    sp = r"[\s\p{Z}\x{85}\x{0B}]"
-    return f"lower(regexp_replace(regexp_replace({c}, '{sp}+', ' ', 'g'), '^{sp}+|{sp}+$', '', 'g'))"
+    return f"lower(nfc_normalize({TRIM(c)}))"
+
+
+def _filled(c: str) -> str:
+    return f"{TRIM(c)} <> ''"
 
 
 _REC = f"""ac AS (SELECT DISTINCT ON (record_id) * FROM analysis_characters ORDER BY record_id, ingested_at),
   rec AS (SELECT ac.project_id, ac.chapter_id, chapter_index AS seq, record_id AS pos, character_name AS name, aliases, inferred, confidence, evidence, {_key('character_name')} AS key FROM ac JOIN chapters USING (chapter_id) WHERE ac.project_id IS NOT NULL AND character_name IS NOT NULL)"""
 _CID = "'character_' || substr(sha256('character' || chr(0) || project_id || ':' || key), 1, 32)"
-_CHARS = f"""{_REC}, cb AS (SELECT project_id, key, arg_min(name, struct_pack(s := seq, p := pos, n := name)) AS name, count(DISTINCT chapter_id) AS n_chapters, min(seq) AS first_sequence, max(seq) AS last_sequence FROM rec WHERE key <> '' GROUP BY 1, 2),
-  al AS (SELECT project_id, key, {_key('alias')} AS akey, arg_min(alias, struct_pack(s := seq, p := pos, n := alias)) AS alias FROM (SELECT project_id, key, seq, pos, unnest(aliases) AS alias FROM rec WHERE key <> '') GROUP BY 1, 2, 3),
+_CHARS = f"""{_REC}, cb AS (SELECT project_id, key, arg_min(name, struct_pack(s := seq, p := pos, n := name)) AS name, count(DISTINCT chapter_id) AS n_chapters, min(seq) AS first_sequence, max(seq) AS last_sequence FROM rec WHERE {_filled('key')} GROUP BY 1, 2),
+  al AS (SELECT project_id, key, {_key('alias')} AS akey, arg_min(alias, struct_pack(s := seq, p := pos, n := alias)) AS alias FROM (SELECT project_id, key, seq, pos, unnest(aliases) AS alias FROM rec WHERE {_filled('key')}) GROUP BY 1, 2, 3),
   ag AS (SELECT project_id, key, list(alias ORDER BY akey) AS aliases FROM al GROUP BY 1, 2),
   ch AS (SELECT project_id, {_CID} AS character_id, name, coalesce(aliases, []) AS aliases, n_chapters, first_sequence, last_sequence FROM cb LEFT JOIN ag USING (project_id, key))"""
 _EV = """sg AS (SELECT DISTINCT ON (segment_id) * FROM segments ORDER BY segment_id, ingested_at),
   ev AS (SELECT DISTINCT sg.project_id, sg.chapter_id, chapter_index AS sequence, sg.chapter_id || ':' || CAST(segment_index // 4 AS VARCHAR) AS event_id, CAST(segment_index // 4 AS INTEGER) AS event_index, speaker AS participant FROM sg JOIN chapters USING (chapter_id) WHERE project_id IS NOT NULL AND speaker IS NOT NULL)"""
 _TH = f"""bk AS (SELECT DISTINCT ON (book_id) * FROM books ORDER BY book_id, ingested_at), t0 AS (SELECT project_id, chapter_id, chapter_index AS seq, chapters.title AS thread, lang_label IS NULL AS inferred, {_key('chapters.title')} AS key FROM chapters JOIN bk USING (book_id) WHERE chapters.title IS NOT NULL),
-  th AS (SELECT project_id, 'thread_' || substr(sha256('thread' || chr(0) || project_id || ':' || key), 1, 32) AS thread_id, arg_min(thread, struct_pack(s := seq, t := thread)) AS thread, count(DISTINCT chapter_id) AS n_mentions, min(seq) AS first_sequence, max(seq) AS last_sequence, bool_and(inferred) AS inferred_only FROM t0 WHERE key <> '' GROUP BY project_id, key)"""
+  th AS (SELECT project_id, 'thread_' || substr(sha256('thread' || chr(0) || project_id || ':' || key), 1, 32) AS thread_id, arg_min(thread, struct_pack(s := seq, t := thread)) AS thread, count(DISTINCT chapter_id) AS n_mentions, min(seq) AS first_sequence, max(seq) AS last_sequence, bool_and(inferred) AS inferred_only FROM t0 WHERE {_filled('key')} GROUP BY project_id, key)"""
 _ACTS = """a AS (SELECT event_id, user_id AS cid, CASE event_type WHEN 'click' THEN 'speech' WHEN 'error' THEN 'death' WHEN 'signup' THEN 'revival' WHEN 'purchase' THEN 'location' WHEN 'view' THEN 'knowledge' END AS kind,
     CAST(floor(epoch(date_trunc('second', ts)) / 60) AS BIGINT) AS tick, event_id AS ord, 'name' || CAST(event_id % 5 AS VARCHAR) AS used, event_id % 11 AS inf, event_id % 7 AS loc, event_id % 2 = 0 AS grounded FROM events),
   c AS (SELECT cid, min(tick) + 30 AS ft, 'name' || CAST(cid % 5 AS VARCHAR) AS name FROM a GROUP BY cid HAVING cid % 10 <> 3),
@@ -290,13 +294,13 @@ _ACTS = """a AS (SELECT event_id, user_id AS cid, CASE event_type WHEN 'click' T
     UNION ALL SELECT event_id, cid, 'UNRESOLVED_INFORMATION', 'notice' FROM kn WHERE NOT known UNION ALL SELECT event_id, cid, 'UNKNOWN_KNOWLEDGE_ACCESS', 'notice' FROM kn WHERE known AND acc IS NULL
     UNION ALL SELECT event_id, cid, 'KNOWLEDGE_BEFORE_REVELATION', 'warning' FROM kn WHERE known AND acc IS NOT NULL AND (tick, ord) < (acc, 0)
     UNION ALL SELECT event_id, cid, 'INVALID_NAME_VARIANT', 'warning' FROM m LEFT JOIN nh USING (event_id) WHERE coalesce(own, 0) = 0 UNION ALL SELECT event_id, cid, 'AMBIGUOUS_NAME_VARIANT', 'notice' FROM m JOIN nh USING (event_id) WHERE own = 1 AND other = 1)"""
-_CX = "cx AS (SELECT DISTINCT ON (context_id) * FROM context_inputs ORDER BY context_id, ingested_at), q AS (SELECT context_id, project_id, lower(coalesce(current_chapter, '') || chr(10) || coalesce(task, '')) AS query FROM cx)"
+_CX = "cx AS (SELECT DISTINCT ON (context_id) * FROM context_inputs ORDER BY context_id, ingested_at), q AS (SELECT context_id, project_id, lower(nfc_normalize(coalesce(current_chapter, '') || chr(10) || coalesce(task, ''))) AS query FROM cx)"
 _CJK = r"[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{20000}-\x{2EBEF}\x{F900}-\x{FAFF}\x{3040}-\x{30FF}\x{AC00}-\x{D7AF}]"
 
 
 def _mentions(t: str) -> str:
-    k = _key(t)
-    return f"coalesce({k} <> '' AND (((length({k}) >= 3 OR regexp_matches({k}, '{_CJK}')) AND contains(query, {k})) OR len(list_filter(string_split_regex({k}, '[^\\p{{L}}\\p{{N}}_]+'), lambda w: w <> '' AND (length(w) >= 4 OR regexp_matches(w, '{_CJK}')) AND contains(query, w))) > 0), false)"
+    k = f"lower(nfc_normalize({t}))"
+    return f"coalesce({_filled(k)} AND (((length({k}) >= 3 OR regexp_matches({k}, '{_CJK}')) AND contains(query, {k})) OR len(list_filter(string_split_regex({k}, '[^\\p{{L}}\\p{{N}}_]+'), lambda w: w <> '' AND (length(w) >= 4 OR regexp_matches(w, '{_CJK}')) AND contains(query, w))) > 0), false)"
 
 
 _G = """g AS (SELECT 'r' || r_regionkey AS artifact_id, 'source' AS kind, NULL AS d FROM region UNION ALL SELECT 'n' || n_nationkey, 'analysis', 'r' || n_regionkey FROM nation
@@ -329,15 +333,15 @@ SQL = {
     "uncovered_blocks": f"""WITH {_SEGS}, c AS (SELECT source_id, min(start_byte) AS a, max(end_byte) AS z FROM sg GROUP BY 1), b AS (SELECT DISTINCT ON (chapter_id, block_index) * FROM blocks ORDER BY chapter_id, block_index, ingested_at)
         SELECT chapter_id, block_index FROM b WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.source_id = b.source_id AND a <= b.start_byte AND b.end_byte <= z)""",
     "story_characters": f"WITH {_CHARS} SELECT * FROM ch",
-    "story_participants": f"""WITH {_REC}, {_EV}, ln AS (SELECT project_id, chapter_id, k, min(cid) AS cid FROM (SELECT project_id, chapter_id, {_CID} AS cid, unnest(list_concat([key], list_transform(coalesce(aliases, []), lambda x: {_key('x')}))) AS k FROM rec) WHERE k <> '' GROUP BY 1, 2, 3 HAVING count(DISTINCT cid) = 1)
+    "story_participants": f"""WITH {_REC}, {_EV}, ln AS (SELECT project_id, chapter_id, k, min(cid) AS cid FROM (SELECT project_id, chapter_id, {_CID} AS cid, unnest(list_concat([key], list_transform(coalesce(aliases, []), lambda x: {_key('x')}))) AS k FROM rec) WHERE {_filled('k')} GROUP BY 1, 2, 3 HAVING count(DISTINCT cid) = 1)
         SELECT ev.project_id, event_id, participant, cid AS character_id FROM ev LEFT JOIN ln ON ev.project_id = ln.project_id AND ev.chapter_id = ln.chapter_id AND {_key('participant')} = ln.k""",
-    "story_relationships": f"""WITH {_REC}, x AS (SELECT DISTINCT project_id, chapter_id, seq, {_CID} AS cid FROM rec WHERE key <> ''), p AS (SELECT a.project_id, a.cid AS first_id, b.cid AS second_id, a.seq FROM x a JOIN x b ON a.project_id = b.project_id AND a.chapter_id = b.chapter_id AND a.cid < b.cid)
+    "story_relationships": f"""WITH {_REC}, x AS (SELECT DISTINCT project_id, chapter_id, seq, {_CID} AS cid FROM rec WHERE {_filled('key')}), p AS (SELECT a.project_id, a.cid AS first_id, b.cid AS second_id, a.seq FROM x a JOIN x b ON a.project_id = b.project_id AND a.chapter_id = b.chapter_id AND a.cid < b.cid)
         SELECT project_id, first_id, second_id, count(*) AS n_events, min(seq) AS first_sequence, max(seq) AS last_sequence, 'relationship_' || substr(sha256('relationship' || chr(0) || first_id || ':' || second_id), 1, 32) AS relationship_id FROM p GROUP BY 1, 2, 3""",
     "story_timeline": f"WITH {_EV}, e AS (SELECT DISTINCT project_id, event_id, sequence, event_index FROM ev) SELECT project_id, event_id, CAST(row_number() OVER (PARTITION BY project_id ORDER BY sequence, event_index, event_id) - 1 AS INTEGER) AS position FROM e",
     "open_threads": f"WITH {_TH} SELECT * FROM th",
     "record_problems": f"""WITH {_REC}, pr AS (SELECT 'InvalidSequence' AS code FROM (SELECT seq, row_number() OVER (PARTITION BY project_id ORDER BY seq, chapter_id) - 1 AS n FROM (SELECT DISTINCT project_id, chapter_id, seq FROM rec)) WHERE n <> seq
         UNION ALL SELECT 'InvalidName' FROM rec WHERE regexp_replace(name, '^[\\s\\p{{Z}}\\x{{85}}\\x{{0B}}]+|[\\s\\p{{Z}}\\x{{85}}\\x{{0B}}]+$', '', 'g') <> name OR name = ''
-        UNION ALL SELECT 'DuplicateName' FROM (SELECT 1 FROM rec WHERE key <> '' GROUP BY project_id, chapter_id, key HAVING count(*) > 1)
+        UNION ALL SELECT 'DuplicateName' FROM (SELECT 1 FROM rec WHERE {_filled('key')} GROUP BY project_id, chapter_id, key HAVING count(*) > 1)
         UNION ALL SELECT 'InvalidConfidence' FROM rec WHERE confidence IS NULL OR isnan(confidence) OR confidence < 0 OR confidence > 1
         UNION ALL SELECT 'Ungrounded' FROM rec WHERE NOT inferred AND coalesce(len(evidence), 0) <= 0) SELECT code, count(*) AS n FROM pr GROUP BY 1""",
     "state_hashes": f"""WITH {_CHARS}, x AS (SELECT project_id, character_id, concat_ws(chr(31), character_id, name, CAST(n_chapters AS VARCHAR), CAST(first_sequence AS VARCHAR), CAST(last_sequence AS VARCHAR)) AS p FROM ch)
@@ -363,7 +367,7 @@ SQL = {
         SELECT provider, metric, CASE WHEN metric IN ('total_tokens', 'latency_ms') AND count(value) < count(*) THEN NULL ELSE avg(value) END AS value FROM l GROUP BY 1, 2""",
     "run_comparison": f"""WITH {_RUN}, s AS (SELECT project_id, started_at >= TIMESTAMP '2025-02-01' AS late, avg(CASE WHEN status = 'succeeded' THEN 1.0 ELSE 0.0 END) AS success, avg(latency_ms) AS latency_ms, avg(total_tokens) AS total_tokens FROM r WHERE started_at IS NOT NULL AND project_id IS NOT NULL GROUP BY 1, 2),
         l AS (SELECT project_id AS case_id, late, 'success' AS metric, success AS value FROM s UNION ALL SELECT project_id, late, 'latency_ms', latency_ms FROM s UNION ALL SELECT project_id, late, 'total_tokens', total_tokens FROM s),
-        j AS (SELECT c.case_id, c.metric, b.value AS b, c.value AS c FROM (SELECT * FROM l WHERE late) c LEFT JOIN (SELECT * FROM l WHERE NOT late) b USING (case_id, metric)),
+        j AS (SELECT case_id, metric, b.value AS b, c.value AS c FROM (SELECT * FROM l WHERE late) c FULL JOIN (SELECT * FROM l WHERE NOT late) b USING (case_id, metric)),
         i AS (SELECT case_id, metric, CASE WHEN (b IS NULL) <> (c IS NULL) THEN 'MissingMetric' WHEN metric = 'success' AND c < 0.5 THEN 'BelowMinimum' WHEN metric = 'latency_ms' AND c > b * 1.5 THEN 'CostRatio' WHEN metric = 'total_tokens' AND c > b * 1.25 THEN 'CostRatio' WHEN metric = 'success' AND b - c > 0.02 THEN 'QualityDrop' END AS issue FROM j)
         SELECT * FROM i WHERE issue IS NOT NULL""",
     "speaker_labels": f"""WITH {_REC}, sg AS (SELECT DISTINCT ON (segment_id) * FROM segments ORDER BY segment_id, ingested_at), w AS (SELECT chapter_id, list(DISTINCT name) AS want FROM rec GROUP BY 1), h AS (SELECT chapter_id, list(DISTINCT speaker) AS have FROM sg WHERE speaker IS NOT NULL GROUP BY 1),

@@ -27,10 +27,9 @@ def page_lines(page: pd.DataFrame) -> pd.DataFrame:
     rows: list[list] = []
     for w in words.itertuples(index=False):
         mid, tall = (w.y0 + w.y1) / 2, w.y1 - w.y0
-        for r in reversed(rows[-4:]):
-            if abs((r[0].y0 + r[0].y1) / 2 - mid) <= max(3.0, LINE_TOLERANCE * tall):
-                r.append(w)
-                break
+        near = min(rows, key=lambda r: abs((r[0].y0 + r[0].y1) / 2 - mid), default=None)
+        if near is not None and abs((near[0].y0 + near[0].y1) / 2 - mid) <= max(3.0, LINE_TOLERANCE * tall):
+            near.append(w)
         else:
             rows.append([w])
     parts = []

@@ -7,12 +7,10 @@ from pyspark.sql import functions as F
 
 from folioframe.functions import ids, spans, text
 
-MAX_BYTES = 512 << 20
-
 
 def read_files(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
-    """(source_id, content) of plain text files; the path is the locator. Files above the cap are skipped by the scan's filter."""
-    df = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).filter(F.col("length") <= MAX_BYTES)
+    """(source_id, content) of plain text files; the path is the locator. There is no cap."""
+    df = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
     return df.select(F.col("path").alias("source_id"), "content")
 
 

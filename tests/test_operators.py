@@ -311,3 +311,58 @@ def test_run_means_cover_every_provider(spark, tmp_path):
     df.withColumn("ingested_at", F.lit("2025-01-01").cast("timestamp_ntz")).write.parquet(str(tmp_path / "llm_runs.parquet"))
     got = {(r["provider"], r["metric"]): r["value"] for r in story.run_means(spark, str(tmp_path)).collect()}
     assert len(got) == 180 and got[("p7", "total_tokens")] == 7 and got[("p8", "latency_ms")] is None and got[(None, "attempts")] == 1
+
+
+def test_content_hash_frames_every_field_in_order(spark):
+    import hashlib
+
+    books = spark.createDataFrame([("b", "T", ["A", "B"], "en", "txt", "x.txt", "00"), ("n", None, None, None, None, None, None)], "book_id string, title string, authors array<string>, lang_label string, source_format string, source_locator string, source_hash string")
+    chapters = spark.createDataFrame([("c1", "b", 1, ""), ("c0", "b", 0, "Öne")], "chapter_id string, book_id string, chapter_index int, title string")
+    blocks = spark.createDataFrame([("c0", 0, "heading", "Öne", "s", 0, 4, None), ("c0", 1, "paragraph", None, "s", 4, 9, 0.93)], "chapter_id string, block_index int, block_type string, text string, source_id string, start_byte long, end_byte long, extraction_confidence double")
+    field = lambda n, v: f"{n}\0{len(v.encode())}:{v}\n"
+    head = [("document.id", "b"), ("metadata.title", "T"), ("metadata.authors.count", "2"), ("metadata.author", "A"), ("metadata.author", "B"), ("metadata.language", "en"), ("metadata.source_format", "txt"), ("metadata.source_locator", "x.txt"), ("metadata.source_hash", "00"), ("chapters.count", "2")]
+    body = [("chapter.id", "c0"), ("chapter.index", "0"), ("chapter.title", "Öne"), ("chapter.blocks.count", "2"), ("block.type", "heading"), ("block.text", "Öne"), ("block.source_id", "s"), ("block.start_byte", "0"), ("block.end_byte", "4"),
+            ("block.type", "paragraph"), ("block.text", ""), ("block.source_id", "s"), ("block.start_byte", "4"), ("block.end_byte", "9"), ("block.extraction_confidence", "%.17g" % 0.93), ("chapter.id", "c1"), ("chapter.index", "1"), ("chapter.title", ""), ("chapter.blocks.count", "0")]
+    got = {r["book_id"]: r["content_hash"] for r in document.content_hash(document.nested(books, chapters, blocks)).collect()}
+    assert got["b"] == hashlib.sha256("".join(field(n, v) for n, v in head + body).encode()).hexdigest() and len(got["n"]) == 64
+
+
+def test_real_text_has_seventeen_digits(spark):
+    values = [0.93, 0.1, 0.05, 0.02, 0.0123, 0.00456, 0.00078, 1 / 3, 0.999999, 1.0, 0.0]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "c double").select(document.real_text(F.col("c"))).collect()]
+    assert got == ["%.17g" % v for v in values]
+
+
+def test_linear_space_diff_is_as_short(spark, monkeypatch):
+    import random
+
+    rng = random.Random(4)
+    for _ in range(60):
+        old, new = ("".join(rng.choice(["ä\n", "b\n", "c c\n", "d"]) for _ in range(rng.randint(0, 12))).encode() for _ in range(2))
+        monkeypatch.setattr(diff, "MAX_CELLS", 1_000_000)
+        whole, capped = diff.hunks(old, new)
+        monkeypatch.setattr(diff, "MAX_CELLS", 1)
+        linear, still = diff.hunks(old, new, exact=True)
+        assert not capped and not still
+        for found in (whole, linear):  # what is between hunks is equal, and no character is parted
+            out, i = b"", 0
+            for s, e, t, u in found:
+                out += old[i:s] + new[t:u]
+                old[s:e].decode(), new[t:u].decode()
+                i = e
+            assert out + old[i:] == new
+        assert old == new or diff.hunks(old, new)[1]
+
+
+def test_offsets_at_and_inside_edits(spark):
+    points = spark.createDataFrame([("s", p) for p in (0, 2, 3, 5, 9)], "source_id string, point long")
+    edits = spark.createDataFrame([("s", 2, 5, 1), ("s", 9, 9, 4), ("t", 0, 1, 7)], "source_id string, old_start long, old_end long, new_len int")
+    got = lambda flag: {r["point"]: r["new_point"] for r in diff.mapped_offsets(points, edits, flag).collect()}
+    assert got(True) == {0: 0, 2: 2, 3: None, 5: 3, 9: 11} and got(False) == {0: 0, 2: 2, 3: None, 5: 3, 9: 7}
+
+
+def test_a_metric_of_one_side_is_missing(spark):
+    b = spark.createDataFrame([("c", "m", 0.5), ("c", "gone", 0.5)], "case_id string, metric string, value double")
+    c = spark.createDataFrame([("c", "m", 0.5), ("c", "new", 0.5)], "case_id string, metric string, value double")
+    limits = spark.createDataFrame([("m", 0.1, None, None)], "metric string, minimum double, maximum double, max_ratio double")
+    assert {(r["metric"], r["issue"]) for r in evaluate.compare_runs(b, c, limits).collect()} == {("gone", "MissingMetric"), ("new", "MissingMetric")}

@@ -31,22 +31,39 @@ def estimate(value: str) -> int:
     return n
 
 
-def candidates(characters: DataFrame, threads: DataFrame, queries: DataFrame) -> DataFrame:
-    """(context_id, kind, stable_id, text, priority): a project's memory for each of its queries (context_id, project_id, query)."""
+def candidates(characters: DataFrame, threads: DataFrame, queries: DataFrame, events: DataFrame | None = None) -> DataFrame:
+    """(context_id, kind, stable_id, text, priority): a project's memory for each of its queries (context_id, project_id, query).
+
+    events: project_id, event_id, sequence, description, participants (names in order), character_ids, location. An
+    event is relevant where one of its characters is, or where its description or location is mentioned.
+    """
     # Each text is composed and put in lower case once, not for every pair.
-    q = queries.select("context_id", "project_id", F.lower(text.nfc(F.col("query"))).alias("query"))
-    characters = characters.withColumn("name_key", F.lower(text.nfc(F.col("name")))).withColumn("alias_keys", F.transform(text.nfc_each(F.col("aliases")), F.lower))
-    threads = threads.withColumn("thread_key", F.lower(text.nfc(F.col("thread"))))
+    low = lambda c: F.lower(text.nfc(F.col(c)))
+    q = queries.select("context_id", "project_id", low("query").alias("query"))
+    characters = characters.withColumn("name_key", low("name")).withColumn("alias_keys", F.transform(text.nfc_each(F.col("aliases")), F.lower))
+    threads = threads.withColumn("thread_key", low("thread"))
     relevant = text.mentions(F.col("query"), F.col("name_key")) | F.exists("alias_keys", lambda a: text.mentions(F.col("query"), a))
     recency = lambda c: F.greatest(F.lit(0), F.least(F.col(c), F.lit(9999)))
     band = lambda kind, cond: F.when(cond, BANDS[kind][0]).otherwise(BANDS[kind][1])
     alias = F.when(F.size("aliases") > 0, F.concat(F.lit(" | aliases: "), F.array_join("aliases", ", "))).otherwise("")
     seen = F.concat(F.lit(" | seen in "), F.col("n_chapters").cast("string"), F.lit(" chapter(s), last in chapter "), (F.col("last_sequence") + 1).cast("string"))
-    c = q.join(characters, "project_id").select("context_id", F.lit("character").alias("kind"), F.col("character_id").alias("stable_id"), F.concat("name", alias, seen).alias("text"), (band("character", relevant) + recency("last_sequence")).alias("priority"))
+    of = lambda kind, key, line, priority: (F.lit(kind).alias("kind"), F.col(key).alias("stable_id"), line.alias("text"), priority.alias("priority"))
+    people = q.join(characters, "project_id").withColumn("_relevant", relevant)
+    out = people.select("context_id", *of("character", "character_id", F.concat("name", alias, seen), band("character", F.col("_relevant")) + recency("last_sequence")))
     open_ = F.concat(F.lit("Open since chapter "), (F.col("first_sequence") + 1).cast("string"), F.lit(": "), "thread", F.when(F.col("inferred_only"), " | inferred").otherwise(""))
     about = text.mentions(F.col("query"), F.col("thread_key"))
-    t = q.join(threads, "project_id").select("context_id", F.lit("thread").alias("kind"), F.col("thread_id").alias("stable_id"), open_.alias("text"), (band("thread", about) + recency("last_sequence")).alias("priority"))
-    return c.unionByName(t)
+    out = out.unionByName(q.join(threads, "project_id").select("context_id", *of("thread", "thread_id", open_, band("thread", about) + recency("last_sequence"))))
+    if events is None:
+        return out
+    met = people.filter("_relevant").select("context_id", F.col("character_id").alias("_c"))
+    met = events.select("project_id", "event_id", F.explode("character_ids").alias("_c")).join(met, "_c").select("context_id", "event_id").distinct().withColumn("_met", F.lit(True))
+    happened = events.withColumn("description_key", low("description")).withColumn("location_key", low("location"))
+    told = q.join(happened, "project_id").join(met, ["context_id", "event_id"], "left")
+    related = F.coalesce("_met", F.lit(False)) | text.mentions(F.col("query"), F.col("description_key")) | text.mentions(F.col("query"), F.col("location_key"))
+    who = F.when(F.size("participants") > 0, F.concat(F.lit(" | participants: "), F.array_join("participants", ", "))).otherwise("")
+    where = F.when(F.col("location").isNotNull(), F.concat(F.lit(" | location: "), "location")).otherwise("")
+    line = F.concat(F.lit("Chapter "), (F.col("sequence") + 1).cast("string"), F.lit(": "), "description", who, where)
+    return out.unionByName(told.select("context_id", *of("event", "event_id", line, band("event", related) + recency("sequence"))))
 
 
 def rank(rows: DataFrame) -> DataFrame:
@@ -70,7 +87,7 @@ def render(base: dict, memory: dict[str, list[str]]) -> str:
     return f"SYSTEM:\n{base['system_rules'] or ''}\n\nUSER:\n" + "\n\n".join(f"[{h}]\n{b}" for h, b in sections)
 
 
-_PROMPT = "context_id string, prompt string, estimated_tokens int, token_limit int, n_characters int, n_events int, n_threads int, omitted int, error string"
+_PROMPT = "context_id string, prompt string, estimated_tokens int, token_limit int, n_characters int, n_events int, n_threads int, omitted_characters int, omitted_events int, omitted_threads int, error string"
 
 
 def build(contexts: DataFrame, ranked: DataFrame) -> DataFrame:
@@ -93,9 +110,9 @@ def build(contexts: DataFrame, ranked: DataFrame) -> DataFrame:
                 chosen: dict[str, list[str]] = {k: [] for k in KINDS}
                 used = estimate(render(base, chosen))
                 if used > limit:
-                    out.append((r["context_id"], None, used, limit, 0, 0, 0, 0, "MandatoryContentExceedsBudget"))
+                    out.append((r["context_id"], None, used, limit, 0, 0, 0, 0, 0, 0, "MandatoryContentExceedsBudget"))
                     continue
-                omitted = 0
+                omitted = dict.fromkeys(KINDS, 0)
                 none = estimate("(none)")
                 for m in r["memory"] if r["memory"] is not None else []:
                     cost = estimate(f"- {m['text']}") - (0 if chosen[m["kind"]] else none)
@@ -103,8 +120,8 @@ def build(contexts: DataFrame, ranked: DataFrame) -> DataFrame:
                         chosen[m["kind"]].append(m["text"])
                         used += cost
                     else:
-                        omitted += 1
-                out.append((r["context_id"], render(base, chosen), used, limit, *(len(chosen[k]) for k in KINDS), omitted, None))
+                        omitted[m["kind"]] += 1
+                out.append((r["context_id"], render(base, chosen), used, limit, *(len(chosen[k]) for k in KINDS), *omitted.values(), None))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in _PROMPT.split(", ")])
 
     return rows.mapInPandas(run, _PROMPT)

@@ -76,13 +76,15 @@ def name_use(events: DataFrame, characters: DataFrame, variants: DataFrame) -> D
     """Names that aren't valid at their moment, and names that then denote another character too.
 
     variants: character_id, name, from_tick, from_ord, until_tick, until_ord (null: open); the end is exclusive.
+    Where all three have a project_id, names are those of their project.
     """
+    scope = ["project_id"] if all("project_id" in d.columns for d in (events, characters, variants)) else []
     used = events.filter("used_name IS NOT NULL").withColumn("key", name_key(F.col("used_name")))
-    canon = characters.select("character_id", name_key(F.col("name")).alias("key"), "from_tick", "from_ord", F.lit(None).cast("long").alias("until_tick"), F.lit(None).cast("long").alias("until_ord"), F.lit(True).alias("canonical"))
-    var = variants.select("character_id", name_key(F.col("name")).alias("key"), "from_tick", "from_ord", "until_tick", "until_ord", F.lit(False).alias("canonical"))
+    canon = characters.select(*scope, "character_id", name_key(F.col("name")).alias("key"), "from_tick", "from_ord", F.lit(None).cast("long").alias("until_tick"), F.lit(None).cast("long").alias("until_ord"), F.lit(True).alias("canonical"))
+    var = variants.select(*scope, "character_id", name_key(F.col("name")).alias("key"), "from_tick", "from_ord", "until_tick", "until_ord", F.lit(False).alias("canonical"))
     names = canon.unionByName(var).withColumnRenamed("character_id", "owner")
     exists = characters.select(F.col("character_id").alias("owner"), _moment("from_tick", "from_ord").alias("owner_from"))
-    hits = used.join(names, "key").join(exists, "owner")
+    hits = used.join(names, ["key", *scope]).join(exists, "owner")
     m = _moment("tick", "ord")
     active = F.col("canonical") | ((m >= _moment("from_tick", "from_ord")) & (F.col("until_tick").isNull() | (m < _moment("until_tick", "until_ord"))))
     own = F.max(F.when((F.col("owner") == F.col("character_id")) & active, 1).otherwise(0))

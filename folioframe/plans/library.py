@@ -13,6 +13,7 @@ from folioframe.sources import html, plain
 
 NAMES = ["Isterford", "Halberg", "Capitán", "Fährmann"]
 TERMS = [{"canonical": "sextant", "variants": ["compass", "chart"], "case_sensitive": False}, {"canonical": "Lantern", "variants": ["lamp"], "case_sensitive": True}]
+VARIANT_TEXT = "Istrford and Halbergs met the Fährmannn."
 PROTECTED = ["* * *", "paces", "well-known gate"]
 
 
@@ -86,9 +87,16 @@ def document_hashes(spark: SparkSession, sf: str) -> DataFrame:
     return document.content_hash(document.nested(_books(spark, sf), table(spark, sf, "chapters"), _blocks(spark, sf)))
 
 
+#: What is done to the documents so that a detector finds something: blanks after commas left out, marks doubled.
+_FAULTS = {"missing_blank": (", ", ","), "repeated_punctuation": ("!", "!!")}
+
+
 def _detector(name: str):  # noqa: ANN202
     def query(spark: SparkSession, sf: str) -> DataFrame:
-        rows = getattr(proofread, name)(_sources(spark, sf)) if name not in proofread.PATTERNS else proofread.pattern_detector(_sources(spark, sf), name)
+        sources = _sources(spark, sf)
+        if name in _FAULTS:
+            sources = sources.withColumn("text", F.replace("text", *(F.lit(x) for x in _FAULTS[name])))
+        rows = getattr(proofread, name)(sources) if name not in proofread.PATTERNS else proofread.pattern_detector(sources, name)
         return rows.select("source_id", "start_byte", "end_byte", "original", "suggestion", "category", "confidence", "impact")
 
     return query
@@ -107,7 +115,9 @@ def token_frequency(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def name_variants(spark: SparkSession, sf: str) -> DataFrame:
-    return proofread.name_variants(_sources(spark, sf), ["Isterford", "Halberg", "Kesengrave", "Tamthorn", "Velquist"]).select("source_id", "start_byte", "end_byte", "original", "suggestion")
+    """The documents, and one more text in which known names are misspelled."""
+    more = spark.createDataFrame([("x", "x", "", 0, VARIANT_TEXT)], "chapter_id string, source_id string, source_hash string, start_byte long, text string")
+    return proofread.name_variants(_sources(spark, sf).unionByName(more), NAMES).select("source_id", "start_byte", "end_byte", "original", "suggestion")
 
 
 def protected_suppression(spark: SparkSession, sf: str) -> DataFrame:
@@ -240,9 +250,10 @@ _BLOCK_CTES = f"""{_LINES},
   c AS (SELECT *, CAST(headings - min(headings) OVER (PARTITION BY doc_id) AS INTEGER) AS chapter_index FROM b)"""
 
 
-def _detect(pattern: str, original: str, start: str, suggestion: str, category: str, confidence: float, impact: str, where: str = "true") -> str:
+def _detect(pattern: str, original: str, start: str, suggestion: str, category: str, confidence: float, impact: str, where: str = "true", fault: str = "") -> str:
     """SQL of a detector; m is a match with its byte position p."""
-    return f"""WITH {_SRC}, {MATCHES(pattern)} SELECT source_id, CAST({start} AS BIGINT) AS start_byte, CAST({start} + strlen({original}) AS BIGINT) AS end_byte, {original} AS original, {suggestion} AS suggestion,
+    src = _SRC.replace("text AS t", "replace(text, '{}', '{}') AS t".format(*_FAULTS[fault])) if fault else _SRC
+    return f"""WITH {src}, {MATCHES(pattern)} SELECT source_id, CAST({start} AS BIGINT) AS start_byte, CAST({start} + strlen({original}) AS BIGINT) AS end_byte, {original} AS original, {suggestion} AS suggestion,
       '{category}' AS category, CAST({confidence} AS DOUBLE) AS confidence, '{impact}' AS impact FROM mm WHERE {where}"""
 
 
@@ -251,7 +262,30 @@ _OBS = """g0 AS (SELECT case_id, generate_subscripts(segments, 1) - 1 AS i, unne
   o AS (SELECT case_id, i, CASE WHEN i % 5 = 0 THEN 'narration' ELSE ty END AS ty, CASE WHEN i % 4 = 0 THEN NULL ELSE sp END AS sp, a, CASE WHEN i % 3 = 0 THEN greatest(z - 2, a) ELSE z END AS z FROM g),
   w AS (SELECT case_id, min(a) AS a, max(z) AS z FROM g GROUP BY 1)"""
 
+def _field(name: str, value: str) -> str:
+    return f"'{name}' || chr(0) || strlen({value}) || ':' || {value} || chr(10)"
+
+
+def _or(c: str) -> str:
+    return f"coalesce(CAST({c} AS VARCHAR), '')"
+
+
 SQL = {
+    "document_hashes": f"""WITH {_BOOK}, {one_block()},
+        bs AS (SELECT chapter_id, count(*) AS n, string_agg({' || '.join(_field(n, _or(c)) for n, c in (('block.type', 'block_type'), ('block.text', 'text'), ('block.source_id', 'source_id'), ('block.start_byte', 'start_byte'), ('block.end_byte', 'end_byte')))}
+          || CASE WHEN extraction_confidence IS NOT NULL THEN {_field('block.extraction_confidence', "format('{:.17g}', extraction_confidence)")} ELSE '' END, '' ORDER BY block_index) AS s FROM b GROUP BY 1),
+        cs AS (SELECT book_id, count(*) AS n, string_agg({_field('chapter.id', 'c.chapter_id')} || {_field('chapter.index', _or('chapter_index'))} || {_field('chapter.title', _or('title'))} || {_field('chapter.blocks.count', 'CAST(coalesce(bs.n, 0) AS VARCHAR)')} || coalesce(s, ''), '' ORDER BY chapter_index, c.chapter_id) AS s
+          FROM chapters c LEFT JOIN bs ON bs.chapter_id = c.chapter_id GROUP BY 1)
+        SELECT book_id, sha256({_field('document.id', 'book_id')} || {_field('metadata.title', _or('title'))} || {_field('metadata.authors.count', 'CAST(coalesce(len(authors), 0) AS VARCHAR)')} || coalesce(array_to_string(list_transform(authors, lambda x: {_field('metadata.author', 'x')}), ''), '')
+          || {' || '.join(_field(n, _or(c)) for n, c in (('metadata.language', 'lang_label'), ('metadata.source_format', 'source_format'), ('metadata.source_locator', 'source_locator'), ('metadata.source_hash', 'source_hash')))}
+          || {_field('chapters.count', 'CAST(coalesce(cs.n, 0) AS VARCHAR)')} || coalesce(s, '')) AS content_hash FROM bk LEFT JOIN cs USING (book_id)""",
+    "name_frequency": f"WITH {_SRC}, w AS (SELECT unnest(regexp_extract_all(t, '[\\p{{L}}\\p{{M}}\\p{{N}}_]+')) AS token FROM s) SELECT name, count(token) AS n FROM (VALUES {', '.join(f"('{n}')" for n in NAMES)}) AS k(name) LEFT JOIN w ON token = name GROUP BY 1",
+    "name_variants": f"""WITH s AS (SELECT CAST(doc_id AS VARCHAR) AS source_id, text AS t FROM documents WHERE text IS NOT NULL UNION ALL SELECT 'x', '{VARIANT_TEXT}'), {MATCHES("[\\p{L}\\p{M}][\\p{L}\\p{M}\\p{N}_''’-]*")},
+        once AS (SELECT m FROM mm GROUP BY m HAVING count(*) = 1), w AS (SELECT unnest(regexp_extract_all(t, '[\\p{{L}}\\p{{M}}\\p{{N}}_]+')) AS token FROM s),
+        known AS (SELECT name FROM (VALUES {', '.join(f"('{n}')" for n in NAMES)}) AS k(name) JOIN w ON token = name GROUP BY 1 HAVING count(*) >= 2)
+        SELECT source_id, CAST(p AS BIGINT) AS start_byte, CAST(p + strlen(m) AS BIGINT) AS end_byte, m AS original, name AS suggestion FROM mm JOIN once USING (m) JOIN known ON m <> name AND levenshtein(lower(m), lower(name)) <= 1 WHERE regexp_matches(m, '^\\p{{Lu}}')""",
+    "terminology_variants": f"""WITH {_SRC}, {MATCHES("[\\p{L}\\p{M}\\p{N}_]+")} SELECT source_id, CAST(p AS BIGINT) AS start_byte, CAST(p + strlen(m) AS BIGINT) AS end_byte, m AS original, CASE WHEN lower(m) IN ('compass', 'chart') THEN 'sextant' ELSE 'Lantern' END AS suggestion,
+        CASE WHEN lower(m) = 'lantern' THEN 'terminology_case' ELSE 'terminology_variant' END AS detector FROM mm WHERE lower(m) IN ('compass', 'chart') OR m = 'lamp' OR lower(m) = 'lantern' AND m <> 'Lantern'""",
     "document_metrics": f"""WITH {one_block()}, c AS (SELECT book_id, chapter_id, count(*) AS nb, sum(CASE WHEN block_type = 'paragraph' THEN {words_sql('text')} ELSE 0 END) AS nw, count(*) FILTER ({_VALID}) AS nv FROM b GROUP BY 1, 2)
         SELECT book_id, count(*) AS n_chapters, CAST(sum(nb) AS BIGINT) AS n_blocks, CAST(sum(nw) AS BIGINT) AS n_words, CAST(sum(nv) AS BIGINT) AS n_valid_spans FROM c GROUP BY 1""",
     "chapter_metrics": f"WITH {one_block()} SELECT book_id, chapter_id, count(*) AS n_blocks, CAST(sum(CASE WHEN block_type = 'paragraph' THEN {words_sql('text')} ELSE 0 END) AS BIGINT) AS n_words, count(*) FILTER ({_VALID}) AS n_valid_spans FROM b GROUP BY 1, 2",
@@ -293,8 +327,8 @@ SQL = {
         UNION ALL SELECT 'llm_runs', 'check(status)', (SELECT count(*) FROM llm_runs WHERE status NOT IN ('queued', 'running', 'succeeded', 'failed', 'cancelled'))""",
     "detect_multiple_blanks": _detect("[ \\t]{2,}", "m", "p", "' '", "SPACING", 0.97, "TEXT_ONLY"),
     "detect_blank_before_punctuation": _detect("[ \\t]+[,.;:!?，。；：！？]", "left(m, length(m) - 1)", "p", "''", "SPACING", 0.96, "PUNCTUATION_ONLY"),
-    "detect_missing_blank": _detect("[,;:!?][\\p{L}\\p{N}]", "''", "(p + 1)", "' '", "SPACING", 0.78, "PUNCTUATION_ONLY"),
-    "detect_repeated_punctuation": _detect(",,+|;;+|::+|!!+|\\?\\?+|，，+|；；+|：：+|！！+|？？+", "m", "p", "left(m, 1)", "PUNCTUATION", 0.72, "PUNCTUATION_ONLY"),
+    "detect_missing_blank": _detect("[,;:!?][\\p{L}\\p{N}]", "''", "(p + 1)", "' '", "SPACING", 0.78, "PUNCTUATION_ONLY", fault="missing_blank"),
+    "detect_repeated_punctuation": _detect(",,+|;;+|::+|!!+|\\?\\?+|，，+|；；+|：：+|！！+|？？+", "m", "p", "left(m, 1)", "PUNCTUATION", 0.72, "PUNCTUATION_ONLY", fault="repeated_punctuation"),
     "detect_two_dot_ellipsis": _detect("\\.+", "m", "p", "'...'", "PUNCTUATION", 0.84, "PUNCTUATION_ONLY", "length(m) = 2"),
     "detect_repeated_lines": f"""WITH {_SRC}, p0 AS (SELECT source_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM s),
         p1 AS (SELECT *, {TRIM('line')} AS tr, lag({TRIM('line')}) OVER (PARTITION BY source_id ORDER BY i) AS prev, sum(strlen(line) + 1) OVER (PARTITION BY source_id ORDER BY i) - strlen(line) - 1 AS a FROM p0)

@@ -73,14 +73,14 @@ def _acts(spark: SparkSession, sf: str) -> DataFrame:
     i = F.col("event_id")
     return table(spark, sf, "events").select(
         "event_id", F.col("user_id").alias("character_id"), F.try_element_at(kind, F.col("event_type")).alias("kind"), tick.alias("tick"), i.alias("ord"), F.concat(F.lit("name"), (i % 5).cast("string")).alias("used_name"),
-        (i % 11).alias("information_id"), (i % 7).alias("location_id"), (i % 2 == 0).alias("grounded"), F.lit(1.0).alias("confidence"),
+        F.pmod(F.col("user_id"), F.lit(4)).alias("project_id"), (i % 11).alias("information_id"), (i % 7).alias("location_id"), (i % 2 == 0).alias("grounded"), F.lit(1.0).alias("confidence"),
     )
 
 
 def _registry(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     acts = _acts(spark, sf)
-    chars = acts.groupBy("character_id").agg((F.min("tick") + 30).alias("from_tick"), F.lit(0).cast("long").alias("from_ord")).filter("character_id % 10 != 3").withColumn("name", F.concat(F.lit("name"), (F.col("character_id") % 5).cast("string")))
-    variants = chars.select("character_id", F.concat(F.lit("Name"), ((F.col("character_id") + 1) % 5).cast("string")).alias("name"), (F.col("from_tick") + 1000).alias("from_tick"), "from_ord", (F.col("from_tick") + 20000).alias("until_tick"), F.lit(0).cast("long").alias("until_ord"))
+    chars = acts.groupBy("character_id").agg((F.min("tick") + 30).alias("from_tick"), F.lit(0).cast("long").alias("from_ord")).filter("character_id % 10 != 3").withColumn("name", F.concat(F.lit("name"), (F.col("character_id") % 5).cast("string"))).withColumn("project_id", F.pmod(F.col("character_id"), F.lit(4)))
+    variants = chars.select("project_id", "character_id", F.concat(F.lit("Name"), ((F.col("character_id") + 1) % 5).cast("string")).alias("name"), (F.col("from_tick") + 1000).alias("from_tick"), "from_ord", (F.col("from_tick") + 20000).alias("until_tick"), F.lit(0).cast("long").alias("until_ord"))
     ids7 = spark.range(7)
     registry = ids7.filter("id != 5").select(F.col("id").alias("location_id"))
     travel = ids7.crossJoin(ids7.select(F.col("id").alias("b"))).filter("id != b AND (id + b) % 3 != 0").select(F.col("id").alias("from_id"), F.col("b").alias("to_id"), ((F.col("id") * 7 + F.col("b")) * 20).alias("minimum_ticks"))
@@ -99,13 +99,26 @@ def explained_findings(spark: SparkSession, sf: str) -> DataFrame:
     return integrity.explain(integrity_findings(spark, sf), reasons).groupBy("rule", F.col("reason").isNotNull().alias("explained")).agg(F.count("*").alias("n"))
 
 
+def story_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Events with their first text, chapter title and participants: characters by name, then names that mean none."""
+    seg = document.latest(table(spark, sf, "segments"), ["segment_id"]).filter("text IS NOT NULL AND text != ''")
+    eid = F.concat("chapter_id", F.lit(":"), F.floor(F.col("segment_index") / 4).cast("string"))
+    told = seg.groupBy(eid.alias("event_id")).agg(F.min_by("text", F.struct("segment_index", "segment_id")).alias("description"))
+    places = table(spark, sf, "chapters").select("chapter_id", F.when(F.col("title") != "", F.col("title")).alias("location"))
+    named = story_characters(spark, sf).select("character_id", "name")
+    who = story_participants(spark, sf).join(named, "character_id", "left").select("event_id", F.struct(F.col("character_id").isNull().alias("u"), F.coalesce("name", "participant").alias("n")).alias("p"), "character_id")
+    who = who.groupBy("event_id").agg(F.transform(F.array_sort(F.collect_set("p")), lambda x: x["n"]).alias("participants"), F.array_sort(F.collect_set("character_id")).alias("character_ids"))
+    events = _events(spark, sf).select("project_id", "chapter_id", "event_id", "sequence").distinct()
+    return events.join(told, "event_id").join(who, "event_id").join(places, "chapter_id").drop("chapter_id")
+
+
 def _contexts(spark: SparkSession, sf: str) -> DataFrame:
     return document.latest(table(spark, sf, "context_inputs"), ["context_id"])
 
 
 def memory_ranked(spark: SparkSession, sf: str) -> DataFrame:
     q = _contexts(spark, sf).select("context_id", "project_id", F.concat(F.coalesce("current_chapter", F.lit("")), F.lit("\n"), F.coalesce("task", F.lit(""))).alias("query"))
-    rows = context.rank(context.candidates(story_characters(spark, sf), open_threads(spark, sf), q))
+    rows = context.rank(context.candidates(story_characters(spark, sf), open_threads(spark, sf), q, story_events(spark, sf)))
     return rows.select("context_id", "place", "kind", "stable_id", "text", "priority")
 
 
@@ -210,7 +223,11 @@ def window_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def golden_problems(spark: SparkSession, sf: str) -> DataFrame:
-    return evaluate.golden_problems(table(spark, sf, "golden_cases"))
+    """The golden corpus with faults: every seventh case lost its last character, every eleventh a speech mark, every thirteenth is repeated."""
+    rows = table(spark, sf, "golden_cases").withColumn("_i", F.conv(F.substring(F.sha2("case_id", 256), 1, 6), 16, 10).cast("int"))
+    told = F.transform("segments", lambda s: F.struct(s["text"].alias("text"), F.when(F.col("_i") % 11 == 0, "narration").otherwise(s["segment_type"]).alias("segment_type"), s["speaker"].alias("speaker")))
+    rows = rows.withColumn("source_text", F.when(F.col("_i") % 7 == 0, F.expr("left(source_text, char_length(source_text) - 1)")).otherwise(F.col("source_text"))).withColumn("segments", told)
+    return evaluate.golden_problems(rows.unionByName(rows.filter("_i % 13 = 0")))
 
 
 def chapter_changes(spark: SparkSession, sf: str) -> DataFrame:
@@ -248,7 +265,7 @@ def rebuild_from(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "golden_problems": golden_problems, "chapter_changes": chapter_changes, "entity_names": entity_names, "signature_changes": signature_changes, "story_as_of": story_as_of, "uncovered_blocks": uncovered_segments, "rebuild_from": rebuild_from,
-    "story_characters": story_characters, "story_participants": story_participants, "story_relationships": story_relationships, "story_timeline": story_timeline, "open_threads": open_threads, "record_problems": record_problems, "state_hashes": state_hashes,
+    "story_characters": story_characters, "story_participants": story_participants, "story_relationships": story_relationships, "story_timeline": story_timeline, "story_events": story_events, "open_threads": open_threads, "record_problems": record_problems, "state_hashes": state_hashes,
     "integrity_findings": integrity_findings, "explained_findings": explained_findings, "memory_ranked": memory_ranked, "context_prompts": context_prompts,
     "graph_levels": graph_levels, "dirty_closure": dirty_closure, "rebuild_plan": rebuild_plan, "artifact_fingerprints": artifact_fingerprints, "chapter_artifacts": chapter_artifacts,
     "run_ledger": run_ledger, "run_upsert": run_upsert, "run_means": run_means, "run_comparison": run_comparison, "speaker_labels": speaker_labels, "window_counts": window_counts,
@@ -281,7 +298,7 @@ _ACTS = """a AS (SELECT event_id, user_id AS cid, CASE event_type WHEN 'click' T
   m AS (SELECT a.* FROM a WHERE cid IN (SELECT cid FROM c)),
   nm AS (SELECT cid, name, ft, NULL AS ut, true AS canon FROM c UNION ALL SELECT cid, name, ft, ut, false FROM v),
   nh AS (SELECT m.event_id, max(CASE WHEN nm.cid = m.cid AND act THEN 1 ELSE 0 END) AS own, max(CASE WHEN nm.cid <> m.cid AND act AND (tick, ord) >= (c.ft, 0) THEN 1 ELSE 0 END) AS other
-    FROM (SELECT m.event_id, m.cid, m.tick, m.ord, m.used FROM m) m JOIN LATERAL (SELECT nm.*, (canon OR ((m.tick, m.ord) >= (nm.ft, 0) AND (m.tick, m.ord) < (nm.ut, 0))) AS act FROM nm WHERE nm.name = m.used) nm ON true JOIN c ON c.cid = nm.cid GROUP BY 1),
+    FROM (SELECT m.event_id, m.cid, m.tick, m.ord, m.used FROM m) m JOIN LATERAL (SELECT nm.*, (canon OR ((m.tick, m.ord) >= (nm.ft, 0) AND (m.tick, m.ord) < (nm.ut, 0))) AS act FROM nm WHERE nm.name = m.used AND nm.cid % 4 = m.cid % 4) nm ON true JOIN c ON c.cid = nm.cid GROUP BY 1),
   li AS (SELECT *, last_value(CASE WHEN kind = 'death' OR (kind = 'revival' AND grounded) THEN kind END IGNORE NULLS) OVER (PARTITION BY cid ORDER BY tick, ord, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lk FROM m),
   lo AS (SELECT *, loc <> 5 AS known, lag(loc) OVER w AS pl, lag(tick) OVER w AS pt FROM m WHERE kind = 'location' WINDOW w AS (PARTITION BY cid ORDER BY tick, ord, event_id)),
   mv AS (SELECT *, CASE WHEN (pl + loc) % 3 <> 0 THEN (pl * 7 + loc) * 20 END AS need FROM lo WHERE known AND pl <> 5 AND pl <> loc),
@@ -303,6 +320,11 @@ def _mentions(t: str) -> str:
     return f"coalesce({_filled(k)} AND (((length({k}) >= 3 OR regexp_matches({k}, '{_CJK}')) AND contains(query, {k})) OR len(list_filter(string_split_regex({k}, '[^\\p{{L}}\\p{{N}}_]+'), lambda w: w <> '' AND (length(w) >= 4 OR regexp_matches(w, '{_CJK}')) AND contains(query, w))) > 0), false)"
 
 
+_EVENTS = f"""ln AS (SELECT project_id, chapter_id, k, min(cid) AS cid FROM (SELECT project_id, chapter_id, {_CID} AS cid, unnest(list_concat([key], list_transform(coalesce(aliases, []), lambda x: {_key('x')}))) AS k FROM rec) WHERE {_filled('k')} GROUP BY 1, 2, 3 HAVING count(DISTINCT cid) = 1),
+  wp AS (SELECT DISTINCT event_id, cid, cid IS NULL AS u, coalesce(ch.name, participant) AS n FROM ev LEFT JOIN ln ON ev.project_id = ln.project_id AND ev.chapter_id = ln.chapter_id AND {_key('participant')} = ln.k LEFT JOIN ch ON ch.character_id = cid),
+  wh AS (SELECT event_id, list(n ORDER BY u, n) AS participants FROM (SELECT DISTINCT event_id, u, n FROM wp) GROUP BY 1), wi AS (SELECT event_id, coalesce(list(DISTINCT cid ORDER BY cid) FILTER (cid IS NOT NULL), []) AS character_ids FROM wp GROUP BY 1),
+  de AS (SELECT chapter_id || ':' || CAST(segment_index // 4 AS VARCHAR) AS event_id, arg_min(text, struct_pack(i := segment_index, s := segment_id)) AS description FROM sg WHERE text IS NOT NULL AND text <> '' GROUP BY 1),
+  se AS (SELECT project_id, event_id, sequence, description, participants, character_ids, CASE WHEN title <> '' THEN title END AS location FROM (SELECT DISTINCT project_id, chapter_id, event_id, sequence FROM ev) JOIN de USING (event_id) JOIN wh USING (event_id) JOIN wi USING (event_id) JOIN chapters USING (chapter_id))"""
 _G = """g AS (SELECT 'r' || r_regionkey AS artifact_id, 'source' AS kind, NULL AS d FROM region UNION ALL SELECT 'n' || n_nationkey, 'analysis', 'r' || n_regionkey FROM nation
   UNION ALL SELECT 'c' || c_custkey, 'story', 'n' || c_nationkey FROM customer UNION ALL SELECT 'o' || o_orderkey, 'context', 'c' || o_custkey FROM orders)"""
 _DIRTY = f"{_G}, dc AS (SELECT artifact_id FROM g WHERE artifact_id IN ('n3', 'n7', 'r2') UNION SELECT g.artifact_id FROM g JOIN dc ON g.d = dc.artifact_id), dirty AS (SELECT artifact_id FROM dc JOIN g USING (artifact_id) WHERE kind <> 'source')"
@@ -321,10 +343,13 @@ _CHANGED = f"""{_REC}, s1 AS ({_sig('rec', 'name')}), r2 AS (SELECT * FROM rec W
   sc AS (SELECT chapter_id, CASE WHEN s1.s IS NULL THEN 'added' WHEN s2.s IS NULL THEN 'removed' WHEN s1.s <> s2.s THEN 'changed' END AS change FROM s1 FULL JOIN s2 USING (chapter_id))"""
 
 SQL = {
-    "golden_problems": """SELECT case_id, 'SourceMismatch' AS code FROM golden_cases WHERE source_text IS DISTINCT FROM array_to_string(list_transform(segments, lambda s: s.text), '')
-        UNION ALL SELECT case_id, 'EmptySegment' FROM golden_cases WHERE coalesce(len(segments), 0) <= 0 OR len(list_filter(segments, lambda s: coalesce(s.text, '') = '')) > 0
-        UNION ALL SELECT case_id, 'NarrationSpeaker' FROM golden_cases WHERE len(list_filter(segments, lambda s: s.segment_type = 'narration' AND s.speaker IS NOT NULL)) > 0
-        UNION ALL SELECT case_id, 'DuplicateCase' FROM golden_cases GROUP BY case_id HAVING count(*) > 1""",
+    "golden_problems": """WITH g0 AS (SELECT *, CAST('0x' || substr(sha256(case_id), 1, 6) AS INTEGER) AS i FROM golden_cases),
+        g1 AS (SELECT case_id, CASE WHEN i % 7 = 0 THEN left(source_text, length(source_text) - 1) ELSE source_text END AS source_text, list_transform(segments, lambda s: struct_pack(text := s.text, segment_type := CASE WHEN i % 11 = 0 THEN 'narration' ELSE s.segment_type END, speaker := s.speaker)) AS segments, i FROM g0),
+        g AS (SELECT * FROM g1 UNION ALL SELECT * FROM g1 WHERE i % 13 = 0)
+        SELECT case_id, 'SourceMismatch' AS code FROM g WHERE source_text IS DISTINCT FROM array_to_string(list_transform(segments, lambda s: s.text), '')
+        UNION ALL SELECT case_id, 'EmptySegment' FROM g WHERE coalesce(len(segments), 0) <= 0 OR len(list_filter(segments, lambda s: coalesce(s.text, '') = '')) > 0
+        UNION ALL SELECT case_id, 'NarrationSpeaker' FROM g WHERE len(list_filter(segments, lambda s: s.segment_type = 'narration' AND s.speaker IS NOT NULL)) > 0
+        UNION ALL SELECT case_id, 'DuplicateCase' FROM g GROUP BY case_id HAVING count(*) > 1""",
     "chapter_changes": f"WITH {_REC}, {_SEGS}, a AS (SELECT DISTINCT chapter_id, 1 AS x FROM rec), b AS (SELECT DISTINCT chapter_id, 1 AS y FROM sg) SELECT chapter_id, CASE WHEN x IS NULL THEN 'added' WHEN y IS NULL THEN 'removed' ELSE 'kept' END AS change FROM a FULL JOIN b USING (chapter_id)",
     "entity_names": f"WITH {_REC}, n AS (SELECT DISTINCT chapter_id, unnest(list_concat([name], coalesce(aliases, []))) AS n FROM rec) SELECT chapter_id, CAST(count(*) AS INTEGER) AS n, sha256(string_agg(n, chr(10) ORDER BY n)) AS hash FROM n WHERE n IS NOT NULL GROUP BY 1",
     "signature_changes": f"WITH {_CHANGED} SELECT * FROM sc WHERE change IS NOT NULL",
@@ -348,9 +373,14 @@ SQL = {
         SELECT project_id, sha256(string_agg(CAST(strlen(p) AS VARCHAR) || ':' || p, chr(10) ORDER BY character_id)) AS state_hash FROM x GROUP BY 1""",
     "integrity_findings": f"WITH {_ACTS} SELECT event_id, cid AS character_id, rule, severity, CAST(1 AS DOUBLE) AS confidence FROM fd",
     "explained_findings": f"WITH {_ACTS} SELECT rule, rule = 'SPEECH_AFTER_DEATH' AND grounded AND kind = 'speech' AS explained, count(*) AS n FROM fd JOIN a USING (event_id) GROUP BY 1, 2",
-    "memory_ranked": f"""WITH {_CHARS}, {_TH}, {_CX},
+    "story_events": f"WITH {_CHARS}, {_EV}, {_EVENTS} SELECT * FROM se",
+    "memory_ranked": f"""WITH {_CHARS}, {_TH}, {_CX}, {_EV}, {_EVENTS},
+        pe AS (SELECT *, {_mentions('name')} OR len(list_filter(aliases, lambda x: {_mentions('x')})) > 0 AS rel FROM q JOIN ch USING (project_id)),
+        me AS (SELECT DISTINCT context_id, event_id FROM (SELECT event_id, unnest(character_ids) AS character_id FROM se) JOIN pe USING (character_id) WHERE rel),
         k AS (SELECT context_id, 1 AS ko, 'character' AS kind, character_id AS stable_id, name || CASE WHEN len(aliases) > 0 THEN ' | aliases: ' || array_to_string(aliases, ', ') ELSE '' END || ' | seen in ' || n_chapters || ' chapter(s), last in chapter ' || (last_sequence + 1) AS text,
-            CASE WHEN {_mentions('name')} OR len(list_filter(aliases, lambda x: {_mentions('x').replace('lambda w:', 'lambda w:')})) > 0 THEN 500000 ELSE 100000 END + greatest(0, least(last_sequence, 9999)) AS priority FROM q JOIN ch USING (project_id)
+            CASE WHEN rel THEN 500000 ELSE 100000 END + greatest(0, least(last_sequence, 9999)) AS priority FROM pe
+          UNION ALL SELECT context_id, 2, 'event', event_id, 'Chapter ' || (sequence + 1) || ': ' || description || CASE WHEN len(participants) > 0 THEN ' | participants: ' || array_to_string(participants, ', ') ELSE '' END || CASE WHEN location IS NOT NULL THEN ' | location: ' || location ELSE '' END,
+            CASE WHEN me.event_id IS NOT NULL OR {_mentions('description')} OR {_mentions('location')} THEN 400000 ELSE 200000 END + greatest(0, least(sequence, 9999)) FROM q JOIN se USING (project_id) LEFT JOIN me USING (context_id, event_id)
           UNION ALL SELECT context_id, 3, 'thread', thread_id, 'Open since chapter ' || (first_sequence + 1) || ': ' || thread || CASE WHEN inferred_only THEN ' | inferred' ELSE '' END, CASE WHEN {_mentions('thread')} THEN 300000 ELSE 50000 END + greatest(0, least(last_sequence, 9999)) FROM q JOIN th USING (project_id))
         SELECT context_id, CAST(row_number() OVER (PARTITION BY context_id ORDER BY priority DESC, ko, stable_id) AS INTEGER) AS place, kind, stable_id, text, CAST(priority AS INTEGER) AS priority FROM k""",
     "graph_levels": f"WITH RECURSIVE {_G}, lv AS (SELECT artifact_id, 0 AS level FROM g WHERE d IS NULL UNION ALL SELECT g.artifact_id, level + 1 FROM g JOIN lv ON g.d = lv.artifact_id) SELECT artifact_id, CAST(level AS INTEGER) AS level FROM lv",

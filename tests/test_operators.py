@@ -111,7 +111,7 @@ def test_context_skips_what_does_not_fit(spark):
     assert room > 8
     ranked = spark.createDataFrame([("x", 1, "character", "w " * 200), ("x", 2, "character", "ab"), ("x", 3, "thread", "cd")], "context_id string, place int, kind string, text string")
     got = {r["context_id"]: r for r in context.build(ctx, ranked).collect()}
-    assert got["x"]["n_characters"] == 1 and got["x"]["n_threads"] == 1 and got["x"]["omitted"] == 1 and "- ab" in got["x"]["prompt"]
+    assert got["x"]["n_characters"] == 1 and got["x"]["n_threads"] == 1 and got["x"]["omitted_characters"] == 1 and "- ab" in got["x"]["prompt"]
     assert got["x"]["estimated_tokens"] == context.estimate(got["x"]["prompt"]) <= 100 and got["y"]["error"]
 
 

@@ -127,6 +127,44 @@ def p10_rates(spark: SparkSession, sf: str) -> DataFrame:
     return truncation.truncation_rates(truncation.find_truncated(table(spark, sf, "documents")))
 
 
+def p2_rebuilt(spark: SparkSession, sf: str) -> DataFrame:
+    """Check of p2_pieces: the longest piece of each item, and a hash of its pieces put together without their overlaps."""
+    limits = table(spark, sf, "size_limits").select("limit_id", F.col("overlap_size").alias("o"))
+    rows = p2_pieces(spark, sf).join(limits, "limit_id")
+    own = F.when(F.col("start_char") == 0, F.col("text")).otherwise(F.expr("substring(text, o + 1)"))
+    rows = rows.select("item_kind", "item_id", F.char_length("text").alias("n"), F.struct("start_char", own.alias("t")).alias("x"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["t"]), "")
+    return rows.groupBy("item_kind", "item_id").agg(F.sha2(text, 256).alias("hash"), F.max("n").alias("longest")).join(_item_limits(spark, sf), ["item_kind", "item_id"]).select("item_kind", "item_id", "hash", (F.col("longest") <= F.col("m")).alias("fits"))
+
+
+def _item_limits(spark: SparkSession, sf: str) -> DataFrame:
+    limits = table(spark, sf, "size_limits").select("limit_id", F.col("max_size").alias("m"))
+    contexts = table(spark, sf, "context_inputs").select(F.lit("context").alias("item_kind"), F.col("context_id").alias("item_id"), "limit_id").distinct()
+    chapters = table(spark, sf, "blocks").select(F.lit("chapter").alias("item_kind"), F.col("chapter_id").alias("item_id"), F.lit("chapter_blocks").alias("limit_id")).distinct()
+    return contexts.unionByName(chapters).join(limits, "limit_id").drop("limit_id")
+
+
+def p4_covered(spark: SparkSession, sf: str) -> DataFrame:
+    """Check of p4_sentences: a hash of each item's sentences put together without white space."""
+    rows = p4_sentences(spark, sf).groupBy("item_table", "item_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_char", "sentence"))), lambda x: x["sentence"]), "").alias("t"))
+    return rows.select("item_table", "item_id", F.sha2(F.regexp_replace("t", r"[\s\p{Z}\x{85}\x{0B}]+", ""), 256).alias("hash"))
+
+
+def p8_decoded(spark: SparkSession, sf: str) -> DataFrame:
+    """Check of p8_ids: a hash of the text that the ids decode to."""
+    return tokens.decode_corpus(p8_ids(spark, sf)).select("doc_id", F.sha2("text", 256).alias("hash"))
+
+
+def p9_checked(spark: SparkSession, sf: str) -> DataFrame:
+    """Check of p9_pack: per limit the texts placed, containers above the capacity, texts split that would fit, and texts whose parts don't add up."""
+    rows = cut_lineage(p9_pack(spark, sf))
+    limits = table(spark, sf, "size_limits").select("limit_id", F.col("max_size").alias("m"))
+    full = rows.groupBy("limit_id", "container_id").agg(F.sum("n_tokens").alias("n")).join(limits, "limit_id").groupBy("limit_id").agg(F.count_if(F.col("n") > F.col("m")).alias("n_over"))
+    texts = rows.groupBy("limit_id", "doc_id").agg(F.count("*").alias("k"), F.sum("n_tokens").alias("n"), F.max("part_index").alias("parts")).join(limits, "limit_id")
+    split = texts.groupBy("limit_id").agg(F.count_if((F.col("parts") > 0) & (F.col("n") <= F.col("m"))).alias("n_split"), F.count("*").alias("n_texts"), F.count_if(F.col("k") != F.col("parts") + 1).alias("n_odd"))
+    return split.join(full, "limit_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found, "p1_repaired": p1_repaired,
@@ -138,6 +176,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p7_found": p7_found, "p7_stretches": p7_stretches, "p7_books": p7_books,
         "p8_ids": p8_ids, "p8_leaves": p8_leaves, "p9_pack": p9_pack,
         "p10_found": p10_found, "p10_rates": p10_rates,
+        "p2_rebuilt": p2_rebuilt, "p4_covered": p4_covered, "p8_decoded": p8_decoded, "p9_checked": p9_checked,
     }
 
 
@@ -150,7 +189,17 @@ _LONG = (
 
 def oracle_sql() -> dict[str, str]:
     ps = "(VALUES (0.25), (0.5), (0.75), (0.9), (0.95), (0.99)) AS t(p)"
+    squeezed = lambda c: f"sha256(regexp_replace({c}, '[\\s\\p{{Z}}\\x{{85}}\\x{{0B}}]+', '', 'g'))"
     return {
+        "p2_rebuilt": """
+            SELECT DISTINCT 'context' AS item_kind, context_id AS item_id, sha256(current_chapter) AS hash, true AS fits FROM context_inputs JOIN size_limits USING (limit_id) WHERE unit = 'chars' AND length(current_chapter) > max_size
+            UNION ALL SELECT 'chapter', chapter_id, sha256(string_agg(t, '' ORDER BY block_index)), true FROM (SELECT chapter_id, block_index, coalesce(any_value(text), '') AS t FROM blocks GROUP BY 1, 2)
+            GROUP BY chapter_id HAVING sum(length(t)) > (SELECT max_size FROM size_limits WHERE limit_id = 'chapter_blocks')""",
+        "p4_covered": f"""
+            SELECT 'segments' AS item_table, CAST(segment_id AS VARCHAR) AS item_id, {squeezed('any_value(text)')} AS hash FROM segments WHERE regexp_replace(text, '[\\s\\p{{Z}}\\x{{85}}\\x{{0B}}]+', '', 'g') <> '' GROUP BY segment_id
+            UNION ALL SELECT 'golden_cases', case_id, {squeezed('source_text')} FROM golden_cases WHERE regexp_replace(source_text, '[\\s\\p{{Z}}\\x{{85}}\\x{{0B}}]+', '', 'g') <> ''""",
+        "p8_decoded": "SELECT doc_id, sha256(coalesce(text, '')) AS hash FROM documents",
+        "p9_checked": "SELECT limit_id, 0 AS n_split, (SELECT count(DISTINCT doc_id) FROM documents) AS n_texts, 0 AS n_odd, 0 AS n_over FROM size_limits WHERE unit = 'tokens'",
         "p2_found": """
             SELECT DISTINCT 'context' AS item_kind, context_id AS item_id FROM context_inputs JOIN size_limits USING (limit_id)
             WHERE unit = 'chars' AND length(current_chapter) > max_size

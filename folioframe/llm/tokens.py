@@ -219,6 +219,20 @@ def encode_corpus(
     return done.unionByName(joined).select(F.col("_k").alias(key), F.col("ids").alias(out))
 
 
+def decode_corpus(df: DataFrame, key: str = "doc_id", ids: str = "ids", out: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
+    """(key, text): the texts that lists of ids stand for; null and empty lists give an empty text."""
+    rows = df.select(F.col(key).alias("_k"), F.coalesce(F.col(ids), F.array().cast("array<int>")).alias("_i"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(tokenizer)
+        for b in batches:
+            texts = [enc.bytes_of(x).decode() for x in b[1].to_pylist()]
+            yield pa.RecordBatch.from_arrays([b[0], pa.array(texts, pa.string())], ["_k", "text"])
+
+    schema = T.StructType([T.StructField("_k", rows.schema["_k"].dataType), T.StructField("text", T.StringType())])
+    return rows.mapInArrow(run, schema).select(F.col("_k").alias(key), F.col("text").alias(out))
+
+
 def count_tokens(texts: pa.Array, tokenizer: str = TOKENIZER) -> list[int]:
     """Token counts of a batch of texts; null counts 0."""
     enc = encoder(tokenizer)

@@ -185,9 +185,9 @@ def _pair_step(part: str, cost: Costs) -> tuple[str, str] | None:
         return None
     # Only what is not ASCII tells the candidates apart, so a part is weighed without its ASCII share.
     lost = _hopeless.findall(part)
-    base = cost(part) - ASCII_BITS * (len(part) - len(seen))
-    best, name = base, None
-    out = part
+    ascii_share = ASCII_BITS * (len(part) - len(seen))
+    base = best = math.inf  # weighed with the first decoding that is valid
+    name, out = None, part
     letters = set(seen)
     for read, meant in PAIRS.items():
         raw = _encode(part, read) if read not in SINGLE or letters <= _to_byte(read).keys() else None
@@ -198,8 +198,11 @@ def _pair_step(part: str, cost: Costs) -> tuple[str, str] | None:
                 new = raw.decode(codec)
             except UnicodeDecodeError:
                 continue
-            ascii_share = ASCII_BITS * (len(part) - len(seen))
-            if new == part or cost.least(new) - ascii_share >= best or len(_hopeless.findall(new)) > len(lost):
+            if new == part:
+                continue
+            if base == math.inf:
+                base = best = cost(part) - ascii_share
+            if cost.least(new) - ascii_share >= best or len(_hopeless.findall(new)) > len(lost):
                 continue
             c = cost(new) - ascii_share
             if c < best and base - c >= max(LEAST_DROP, LEAST_SHARE * base):
@@ -245,10 +248,11 @@ def _round_trips(text: str, cost: Costs) -> tuple[str, list[str]]:
         odd = cost.odd_runs(text)
         if not odd:
             break
-        before, best = cost(text), None
+        before, best = math.inf, None  # weighed with the first step that changes the text
         for codec in SINGLE:  # each valid sequence may be a garbled one
             new = _utf8_step(text, codec)
             if new != text and not (_hopeless.search(new) and not _hopeless.search(text)):
+                before = cost(text) if before == math.inf else before
                 c = cost(new)
                 if before - c >= LEAST_DROP and (best is None or c < best[0]) and cost.odd_runs(new) <= odd:
                     best = (c, new, f"{codec}>utf-8")
@@ -263,6 +267,8 @@ def _round_trips(text: str, cost: Costs) -> tuple[str, list[str]]:
             if got:
                 names.append(got[1])
         whole = _pair_step(text, cost)
+        if before == math.inf and (names or whole):
+            before = cost(text)
         for new, name in (("".join(parts), ",".join(dict.fromkeys(names))) if names else ("", ""), whole or ("", "")):
             if name and (c := cost(new)) < (best[0] if best else before) and cost.odd_runs(new) <= odd:
                 best = (c, new, name)

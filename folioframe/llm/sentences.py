@@ -249,7 +249,8 @@ def sentences(text: str | None, language: str | None = None) -> list[tuple[int,
         return []
     out = []
     at = 0
-    around = word_scores(text) if not language else {}
+    # The one line of a text is all that is around it.
+    around = word_scores(text) if not language and _line.search(text) else {}
     for m in [*_line.finditer(text), None]:
         end = m.start() if m else len(text)
         line = text[at:end]

@@ -257,7 +257,8 @@ def _round_trips(text: str, cost: Costs) -> tuple[str, list[str]]:
                 if before - c >= LEAST_DROP and (best is None or c < best[0]) and cost.odd_runs(new) <= odd:
                     best = (c, new, f"{codec}>utf-8")
         parts, names = [], []
-        for part in _chunk.findall(text):
+        chunks = _chunk.findall(text)
+        for part in chunks:
             # Clean marks or a lost character may stand at the ends of a part.
             before_, core, after_ = _edges.fullmatch(part).groups()
             got = _pair_step(part, cost)
@@ -266,7 +267,7 @@ def _round_trips(text: str, cost: Costs) -> tuple[str, list[str]]:
             parts.append(got[0] if got else part)
             if got:
                 names.append(got[1])
-        whole = _pair_step(text, cost)
+        whole = _pair_step(text, cost) if len(chunks) > 1 else None  # one chunk is the whole
         if before == math.inf and (names or whole):
             before = cost(text)
         for new, name in (("".join(parts), ",".join(dict.fromkeys(names))) if names else ("", ""), whole or ("", "")):

@@ -69,11 +69,17 @@ def constraint_violations(df: DataFrame, table: str, unique: list[list[str]] = (
     return out
 
 
-def chapter_metrics(blocks: DataFrame) -> DataFrame:
-    """Per chapter: blocks, words of paragraphs, valid spans."""
-    words = F.sum(F.when(F.col("block_type") == "paragraph", text.count_words(F.col("text"))).otherwise(0))
+def block_measures(blocks: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Each block as what the metrics need of it, without its text: words of a paragraph, whether the span is valid."""
+    words = F.when(F.col("block_type") == "paragraph", text.count_words(F.col("text"))).otherwise(0)
     ok = spans.is_valid_span(F.col("source_id"), F.col("start_byte"), F.col("end_byte"))
-    return blocks.groupBy("book_id", "chapter_id").agg(F.count("*").alias("n_blocks"), words.cast("long").alias("n_words"), F.count_if(ok).alias("n_valid_spans"))
+    return blocks.select("book_id", "chapter_id", *keep, words.cast("long").alias("words"), ok.alias("valid"))
+
+
+def chapter_metrics(blocks: DataFrame) -> DataFrame:
+    """Per chapter: blocks, words of paragraphs, valid spans. Blocks may be given as their measures."""
+    rows = blocks if "words" in blocks.columns else block_measures(blocks)
+    return rows.groupBy("book_id", "chapter_id").agg(F.count("*").alias("n_blocks"), F.sum("words").alias("n_words"), F.count_if(F.col("valid")).alias("n_valid_spans"))
 
 
 def document_metrics(blocks: DataFrame) -> DataFrame:

@@ -31,12 +31,18 @@ def _sources(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").filter("text IS NOT NULL").select(key.alias("chapter_id"), key.alias("source_id"), F.sha2("text", 256).alias("source_hash"), F.lit(0).cast("long").alias("start_byte"), "text")
 
 
+def _measures(spark: SparkSession, sf: str) -> DataFrame:
+    """Measures of every block once: texts are reduced before redelivered rows are folded, so that none is shuffled."""
+    keys = ("block_index", "ingested_at")
+    return document.latest(document.block_measures(table(spark, sf, "blocks"), keys), ["chapter_id", "block_index"])
+
+
 def document_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    return document.document_metrics(_blocks(spark, sf))
+    return document.document_metrics(_measures(spark, sf))
 
 
 def chapter_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    return document.chapter_metrics(_blocks(spark, sf))
+    return document.chapter_metrics(_measures(spark, sf))
 
 
 def text_measures(spark: SparkSession, sf: str) -> DataFrame:
@@ -229,8 +235,7 @@ _BOOK = "bk AS (SELECT DISTINCT ON (book_id) * FROM books ORDER BY book_id, inge
 _SEG = "sg AS (SELECT DISTINCT ON (segment_id) * FROM segments ORDER BY segment_id, ingested_at)"
 _SRC = "s AS (SELECT CAST(doc_id AS VARCHAR) AS source_id, text AS t FROM documents WHERE text IS NOT NULL)"
 _VALID = "coalesce(trim(source_id) <> '' AND start_byte >= 0 AND start_byte <= end_byte, false)"
-_HEAD_EN = r"(?i)^(?:(?:chapter|book|part)\s+(?:[0-9]+|[ivxlcdm]+|[a-z]+)|prologue|epilogue)(?:\s*[:.\-—]\s*.+)?$"
-_HEAD_ZH = r"^(?:第[零〇一二三四五六七八九十百千万两0-9]+[章节回卷部](?:(?:\s*[:：.\-—]\s*|\s+).+)?|序章|楔子|尾声)$"
+_HEAD_EN, _HEAD_ZH = text.HEADING_EN, text.HEADING_ZH
 _LINES = """parts AS (SELECT doc_id, unnest(string_split_regex(text, '\\r\\n|\\r|\\n')) AS line, generate_subscripts(string_split_regex(text, '\\r\\n|\\r|\\n'), 1) AS i,
     regexp_extract_all(text, '\\r\\n|\\r|\\n') AS ends FROM documents WHERE text IS NOT NULL),
   pos AS (SELECT doc_id, i - 1 AS line_no, line, len(ends) + 1 AS n, i,

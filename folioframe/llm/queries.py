@@ -144,6 +144,16 @@ def _item_limits(spark: SparkSession, sf: str) -> DataFrame:
     return contexts.unionByName(chapters).join(limits, "limit_id").drop("limit_id")
 
 
+def p3_bounded(spark: SparkSession, sf: str) -> DataFrame:
+    """Check of p3_months: whether each percentile is within its bound of the exact one."""
+    counts = percentiles.value_counts(percentiles.run_metrics(table(spark, sf, "llm_runs")), ["model", "day"], ["latency_ms", "total_tokens"])
+    months = counts.groupBy("model", F.date_format("day", "yyyy-MM").alias("month"), "metric", "value").agg(F.sum("n").alias("n"))
+    group = F.to_json(F.struct("model", "month")).alias("g")  # leaves out nulls, so that they meet
+    exact = percentiles.select_ranks(months, ["model", "metric", "month"]).select(group, "metric", "p", F.col("value").alias("exact"))
+    rows = p3_months(spark, sf).withColumn("g", group).join(exact, ["g", "metric", "p"])
+    return rows.select("model", "metric", "month", "p", (F.abs(F.col("value") - F.col("exact")) <= F.col("relative_error") * F.abs("exact") + 1e-9).alias("within"))
+
+
 def p4_covered(spark: SparkSession, sf: str) -> DataFrame:
     """Check of p4_sentences: a hash of each item's sentences put together without white space."""
     rows = p4_sentences(spark, sf).groupBy("item_table", "item_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_char", "sentence"))), lambda x: x["sentence"]), "").alias("t"))
@@ -176,7 +186,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p7_found": p7_found, "p7_stretches": p7_stretches, "p7_books": p7_books,
         "p8_ids": p8_ids, "p8_leaves": p8_leaves, "p9_pack": p9_pack,
         "p10_found": p10_found, "p10_rates": p10_rates,
-        "p2_rebuilt": p2_rebuilt, "p4_covered": p4_covered, "p8_decoded": p8_decoded, "p9_checked": p9_checked,
+        "p2_rebuilt": p2_rebuilt, "p3_bounded": p3_bounded, "p4_covered": p4_covered, "p8_decoded": p8_decoded, "p9_checked": p9_checked,
     }
 
 
@@ -198,6 +208,7 @@ def oracle_sql() -> dict[str, str]:
         "p4_covered": f"""
             SELECT 'segments' AS item_table, CAST(segment_id AS VARCHAR) AS item_id, {squeezed('any_value(text)')} AS hash FROM segments WHERE regexp_replace(text, '[\\s\\p{{Z}}\\x{{85}}\\x{{0B}}]+', '', 'g') <> '' GROUP BY segment_id
             UNION ALL SELECT 'golden_cases', case_id, {squeezed('source_text')} FROM golden_cases WHERE regexp_replace(source_text, '[\\s\\p{{Z}}\\x{{85}}\\x{{0B}}]+', '', 'g') <> ''""",
+        "p3_bounded": f"{_LONG}, m AS (SELECT DISTINCT model, metric, strftime(day, '%Y-%m') AS month FROM v) SELECT model, metric, month, CAST(p AS DOUBLE) AS p, true AS within FROM m, {ps}",
         "p8_decoded": "SELECT doc_id, sha256(coalesce(text, '')) AS hash FROM documents",
         "p9_checked": "SELECT limit_id, 0 AS n_split, (SELECT count(DISTINCT doc_id) FROM documents) AS n_texts, 0 AS n_odd, 0 AS n_over FROM size_limits WHERE unit = 'tokens'",
         "p2_found": """

@@ -146,3 +146,10 @@ def mentions(q: Column, t: Column) -> Column:
     whole = ((utf16_length(t) >= 3) | contains_cjk(t)) & F.contains(q, t)
     part = F.exists(F.split(t, r"[^\p{L}\p{N}_]+"), lambda w: (w != "") & ((utf16_length(w) >= 4) | contains_cjk(w)) & F.contains(q, w))
     return F.coalesce((trimmed(t) != "") & (whole | part), F.lit(False))
+
+
+def mention_terms(t: Column) -> Column:
+    """The strings of which a text must contain one to mention t: t's longer words, which t as a whole holds too, else t itself."""
+    words = F.filter(F.split(t, r"[^\p{L}\p{N}_]+"), lambda w: (w != "") & ((utf16_length(w) >= 4) | contains_cjk(w)))
+    whole = F.when((trimmed(t) != "") & ((utf16_length(t) >= 3) | contains_cjk(t)), F.array(t))
+    return F.coalesce(F.when(F.size(words) > 0, words), whole, F.array().cast("array<string>"))

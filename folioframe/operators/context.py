@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
+from itertools import groupby
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioframe.functions import text
@@ -14,6 +18,9 @@ from folioframe.functions import text
 #: Priorities of relevant and other memory by kind.
 BANDS = {"character": (500_000, 100_000), "event": (400_000, 200_000), "thread": (300_000, 50_000)}
 KINDS = ("character", "event", "thread")
+_ORDER = sorted(((v, k, not i) for k, kind in enumerate(KINDS) for i, v in enumerate(BANDS[kind])), reverse=True)
+#: Contexts that share a copy of their project's memory, and rows of a batch.
+SHARE, ROWS = 256, 20_000
 
 _cjk = "㐀-䶿一-鿿豈-﫿\U00020000-\U0002ebef぀-ヿ가-힯"
 _parts = regex.compile(rf"([{_cjk}])|([\p{{L}}\p{{N}}_']+)|(\s)|(.)", regex.S)
@@ -31,46 +38,156 @@ def estimate(value: str) -> int:
     return n
 
 
-def candidates(characters: DataFrame, threads: DataFrame, queries: DataFrame, events: DataFrame | None = None) -> DataFrame:
-    """(context_id, kind, stable_id, text, priority): a project's memory for each of its queries (context_id, project_id, query).
+def items(characters: DataFrame, threads: DataFrame, events: DataFrame | None = None) -> DataFrame:
+    """(project_id, kind, stable_id, text, recency, terms, character_ids): what a project remembers; kind is an index of KINDS.
 
     events: project_id, event_id, sequence, description, participants (names in order), character_ids, location. An
-    event is relevant where one of its characters is, or where its description or location is mentioned.
+    item is relevant to a query that contains one of its terms, an event also where one of its characters is relevant.
     """
-    # Each text is composed and put in lower case once, not for every pair.
     low = lambda c: F.lower(text.nfc(F.col(c)))
-    q = queries.select("context_id", "project_id", low("query").alias("query"))
+    recency = lambda c: F.greatest(F.lit(0), F.least(F.col(c), F.lit(9999))).cast("int")
+    none = F.array().cast("array<string>")
+
+    def of(df: DataFrame, kind: str, key: str, line: Column, at: str, terms: Column, ids: Column = none) -> DataFrame:
+        return df.select("project_id", F.lit(KINDS.index(kind)).alias("kind"), F.col(key).alias("stable_id"), line.alias("text"), recency(at).alias("recency"), terms.alias("terms"), ids.alias("character_ids"))
+
     characters = characters.withColumn("name_key", low("name")).withColumn("alias_keys", F.transform(text.nfc_each(F.col("aliases")), F.lower))
-    threads = threads.withColumn("thread_key", low("thread"))
-    relevant = text.mentions(F.col("query"), F.col("name_key")) | F.exists("alias_keys", lambda a: text.mentions(F.col("query"), a))
-    recency = lambda c: F.greatest(F.lit(0), F.least(F.col(c), F.lit(9999)))
-    band = lambda kind, cond: F.when(cond, BANDS[kind][0]).otherwise(BANDS[kind][1])
+    named = F.concat(text.mention_terms(F.col("name_key")), F.flatten(F.transform(F.coalesce("alias_keys", none), text.mention_terms)))
     alias = F.when(F.size("aliases") > 0, F.concat(F.lit(" | aliases: "), F.array_join("aliases", ", "))).otherwise("")
     seen = F.concat(F.lit(" | seen in "), F.col("n_chapters").cast("string"), F.lit(" chapter(s), last in chapter "), (F.col("last_sequence") + 1).cast("string"))
-    of = lambda kind, key, line, priority: (F.lit(kind).alias("kind"), F.col(key).alias("stable_id"), line.alias("text"), priority.alias("priority"))
-    people = q.join(characters, "project_id").withColumn("_relevant", relevant)
-    out = people.select("context_id", *of("character", "character_id", F.concat("name", alias, seen), band("character", F.col("_relevant")) + recency("last_sequence")))
+    out = of(characters, "character", "character_id", F.concat("name", alias, seen), "last_sequence", named)
     open_ = F.concat(F.lit("Open since chapter "), (F.col("first_sequence") + 1).cast("string"), F.lit(": "), "thread", F.when(F.col("inferred_only"), " | inferred").otherwise(""))
-    about = text.mentions(F.col("query"), F.col("thread_key"))
-    out = out.unionByName(q.join(threads, "project_id").select("context_id", *of("thread", "thread_id", open_, band("thread", about) + recency("last_sequence"))))
+    out = out.unionByName(of(threads.withColumn("thread_key", low("thread")), "thread", "thread_id", open_, "last_sequence", text.mention_terms(F.col("thread_key"))))
     if events is None:
         return out
-    met = people.filter("_relevant").select("context_id", F.col("character_id").alias("_c"))
-    met = events.select("project_id", "event_id", F.explode("character_ids").alias("_c")).join(met, "_c").select("context_id", "event_id").distinct().withColumn("_met", F.lit(True))
     happened = events.withColumn("description_key", low("description")).withColumn("location_key", low("location"))
-    told = q.join(happened, "project_id").join(met, ["context_id", "event_id"], "left")
-    related = F.coalesce("_met", F.lit(False)) | text.mentions(F.col("query"), F.col("description_key")) | text.mentions(F.col("query"), F.col("location_key"))
     who = F.when(F.size("participants") > 0, F.concat(F.lit(" | participants: "), F.array_join("participants", ", "))).otherwise("")
     where = F.when(F.col("location").isNotNull(), F.concat(F.lit(" | location: "), "location")).otherwise("")
     line = F.concat(F.lit("Chapter "), (F.col("sequence") + 1).cast("string"), F.lit(": "), "description", who, where)
-    return out.unionByName(told.select("context_id", *of("event", "event_id", line, band("event", related) + recency("sequence"))))
-
-
-def rank(rows: DataFrame) -> DataFrame:
-    """Candidates with their place among those of their context: priority, kind, id."""
-    order = F.array_position(F.array(*(F.lit(k) for k in KINDS)), F.col("kind"))
-    w = Window.partitionBy("context_id").orderBy(F.desc("priority"), order, "stable_id")
-    return rows.withColumn("place", F.row_number().over(w))
+    told = F.concat(text.mention_terms(F.col("description_key")), text.mention_terms(F.col("location_key")))
+    return out.unionByName(of(happened, "event", "event_id", line, "sequence", told, F.coalesce("character_ids", none)))
+
+
+class Memory:
+    """What a project remembers, in the order of kind, recency and id, with an index of its terms."""
+
+    def __init__(self, parts: list[pa.RecordBatch]) -> None:
+        t = pa.Table.from_batches(parts) if parts else pa.table({"kind": pa.array([], pa.int32()), "recency": pa.array([], pa.int32()), **{c: pa.array([], pa.string()) for c in ("stable_id", "text")}, **{c: pa.array([], pa.list_(pa.string())) for c in ("terms", "character_ids")}})
+        one = lambda c: pa.concat_arrays(t[c].chunks) if t[c].num_chunks else pa.array([], t[c].type)
+        self.stable_id, self.text = one("stable_id"), one("text")
+        self.kind, self.recency = t["kind"].to_numpy(), t["recency"].to_numpy()
+        self.ends = np.searchsorted(self.kind, range(len(KINDS) + 1))
+        row, values = self._pairs(one("terms"))
+        coded = values.dictionary_encode()
+        self.terms, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        by = np.argsort(code, kind="stable")
+        self.rows, self.starts = row[by], np.searchsorted(code[by], range(len(self.terms) + 1))
+        self.heads: dict[str, list[int]] = {}
+        for k, term in enumerate(self.terms):
+            self.heads.setdefault(term[:4], []).append(k)
+        self.head_lengths = {len(h) for h in self.heads}
+        people = {x: i for i, x in enumerate(self.stable_id[: self.ends[1]].to_pylist())}
+        row, values = self._pairs(one("character_ids"))
+        there = np.array([people.get(x, -1) for x in values.to_pylist()], dtype=np.int64)
+        self.takes_part, self.person = row[there >= 0], there[there >= 0]
+
+    @staticmethod
+    def _pairs(lists: pa.ListArray) -> tuple[np.ndarray, pa.Array]:
+        return np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy()), lists.flatten()
+
+    def _found(self, query: str) -> list[int]:
+        """Terms that a query contains: only those whose beginning is among the query's n-grams are looked for."""
+        if 8 * len(self.terms) < len(query):
+            return [k for k, t in enumerate(self.terms) if t in query]
+        grams = {query[i : i + n] for n in self.head_lengths for i in range(len(query) - n + 1)}
+        return [k for g in grams & self.heads.keys() for k in self.heads[g] if self.terms[k] in query]
+
+    def ranked(self, query: str) -> tuple[np.ndarray, np.ndarray]:
+        """Rows in the order of priority, kind and id, and their priorities."""
+        relevant = np.zeros(len(self.kind), dtype=bool)
+        for k in self._found(query):
+            relevant[self.rows[self.starts[k] : self.starts[k + 1]]] = True
+        relevant[self.takes_part[relevant[self.person]]] = True
+        # Bands are further apart than recency goes, so that each is in order as it stands.
+        order, priority = [], []
+        for value, kind, is_relevant in _ORDER:
+            rows = self.ends[kind] + np.flatnonzero(relevant[self.ends[kind] : self.ends[kind + 1]] == is_relevant)
+            order.append(rows)
+            priority.append(value + self.recency[rows])
+        return np.concatenate(order), np.concatenate(priority)
+
+    @cached_property
+    def cost(self) -> np.ndarray:
+        """The token estimate of each line."""
+        return np.array([estimate(f"- {t}") for t in self.text.to_pylist()], dtype=np.int64)
+
+
+def _shares(contexts: DataFrame, memory: DataFrame) -> DataFrame:
+    """Contexts (context_id, project_id, query and more) and items of their projects in one frame, for ``_met``.
+
+    Contexts of a project meet its items within one task, at most about SHARE of them, so that neither a query nor an
+    item is written out for every pair; only items of projects with more contexts are repeated.
+    """
+    n = contexts.filter("project_id IS NOT NULL").groupBy("project_id").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("_n"))
+    n = F.broadcast(n.filter("_n > 1"))  # one row for SHARE contexts at most
+    # Contexts without a project have no memory and may be anywhere.
+    share = F.pmod(F.xxhash64("context_id"), F.coalesce("_n", F.when(F.col("project_id").isNull(), SHARE), F.lit(1))).cast("int")
+    q = contexts.join(n, "project_id", "left").withColumn("_share", share).drop("_n")
+    q = q.withColumn("query", F.lower(text.nfc(F.col("query")))).withColumn("_context", F.lit(True))
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce("_n", F.lit(1)) - 1))
+    m = memory.filter("project_id IS NOT NULL").join(n, "project_id", "left").withColumn("_share", copies).drop("_n").withColumn("_context", F.lit(False))
+    return m.unionByName(q, allowMissingColumns=True).repartition("project_id", "_share").sortWithinPartitions("project_id", "_share", "_context", "kind", F.desc("recency"), "stable_id")
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Memory, pa.RecordBatch]]:
+    """Runs of contexts with the memory of their project."""
+    at, parts, memory = None, [], None
+    for b in batches:
+        keys = list(zip(*(b.column(c).to_pylist() for c in ("project_id", "_share", "_context")), strict=True))
+        a = 0
+        for key, run in groupby(keys):
+            rows = b.slice(a, n := len(list(run)))
+            a += n
+            if key[:2] != at:
+                at, parts, memory = key[:2], [], None
+            if not key[2]:
+                parts.append(rows.select(["kind", "recency", "stable_id", "text", "terms", "character_ids"]))
+                continue
+            if memory is None:
+                memory, parts = Memory(parts), []
+            yield memory, rows
+
+
+_RANKED = "context_id string, place int, kind string, stable_id string, text string, priority int"
+
+
+def ranked(queries: DataFrame, memory: DataFrame) -> DataFrame:
+    """``items`` of its project for each of the queries (context_id, project_id, query), with their place: priority, kind, id."""
+    names = pa.array(KINDS)
+
+    def rows(m: Memory, got: list[tuple[str, int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        order = np.concatenate([x[2] for x in got])
+        of = pa.array([x[0] for x in got], pa.string()).take(pa.array(np.repeat(np.arange(len(got)), [len(x[2]) for x in got])))
+        place = np.concatenate([np.arange(x[1], x[1] + len(x[2])) for x in got]).astype(np.int32)
+        priority = np.concatenate([x[3] for x in got]).astype(np.int32)
+        at = pa.array(order)
+        return pa.RecordBatch.from_arrays([of, pa.array(place), names.take(pa.array(m.kind[order])), m.stable_id.take(at), m.text.take(at), pa.array(priority)], names=[c.split()[0] for c in _RANKED.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for m, part in _met(batches):
+            got, n = [], 0
+            for context_id, query in zip(part.column("context_id").to_pylist(), part.column("query").to_pylist(), strict=True):
+                order, priority = m.ranked(query)
+                for a in range(0, len(order), ROWS):
+                    got.append((context_id, a + 1, order[a : a + ROWS], priority[a : a + ROWS]))
+                    n += len(got[-1][2])
+                    if n >= ROWS:
+                        yield rows(m, got)
+                        got, n = [], 0
+            if got:
+                yield rows(m, got)
+
+    return _shares(queries.select("context_id", "project_id", "query"), memory).mapInArrow(run, _RANKED)
 
 
 def _listed(values: list[str]) -> str:

@@ -366,3 +366,23 @@ def test_a_metric_of_one_side_is_missing(spark):
     c = spark.createDataFrame([("c", "m", 0.5), ("c", "new", 0.5)], "case_id string, metric string, value double")
     limits = spark.createDataFrame([("m", 0.1, None, None)], "metric string, minimum double, maximum double, max_ratio double")
     assert {(r["metric"], r["issue"]) for r in evaluate.compare_runs(b, c, limits).collect()} == {("gone", "MissingMetric"), ("new", "MissingMetric")}
+
+
+def test_memory_ranked_streams_a_copy_of_the_memory(spark, monkeypatch):
+    """Relevance as by ``mentions``; no frame of pairs of query and item is written out, and no pair is sorted."""
+    monkeypatch.setattr(context, "SHARE", 2)
+    people = spark.createDataFrame([("p", "c1", "Ann", ["he"], 1, 0), ("p", "c2", "Bo", ["the old baker"], 1, 3), ("p", "c3", "林", [None], 1, 3), ("q", "c4", "Zed", [], 1, 1)], "project_id string, character_id string, name string, aliases array<string>, n_chapters int, last_sequence int")
+    threads = spark.createDataFrame([("p", "t1", "a-b", 0, 20000, True), ("p", "t2", "The Lost Map", 0, 1, False)], "project_id string, thread_id string, thread string, first_sequence int, last_sequence int, inferred_only boolean")
+    events = spark.createDataFrame([("p", "e1", 2, "Rain", ["Bo"], ["c2"], None), ("p", "e2", 2, "Snow", [], [], "Harbour")], "project_id string, event_id string, sequence int, description string, participants array<string>, character_ids array<string>, location string")
+    asked = [(f"x{i}", "p", t) for i, t in enumerate(["Ann met A-B.", "bakers", "林先生", "nothing", "maps at the HARBOUR", ""])]
+    queries = spark.createDataFrame([*asked, ("y", "q", "zed"), ("z", None, "Ann"), ("w", "none", "Ann")], "context_id string, project_id string, query string")
+    df = context.ranked(queries, context.items(people, threads, events))
+    got = {}
+    for r in sorted(df.collect(), key=lambda r: (r["context_id"], r["place"])):
+        got.setdefault(r["context_id"], []).append((r["stable_id"], r["priority"]))
+    rest = {"c1": 100_000, "c2": 100_003, "c3": 100_003, "t1": 59_999, "t2": 50_001, "e1": 200_002, "e2": 200_002}
+    found = {"x0": {"c1": 500_000, "t1": 309_999}, "x1": {"c2": 500_003, "e1": 400_002}, "x2": {"c3": 500_003}, "x3": {}, "x4": {"e2": 400_002}, "x5": {}}
+    kinds = "cet"
+    assert got == {x: sorted((rest | f).items(), key=lambda kv: (-kv[1], kinds.index(kv[0][0]), kv[0])) for x, f in found.items()} | {"y": [("c4", 500_001)]}
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "event_id" not in "".join(x for x in plan.splitlines() if "Join" in x)

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cached_property
 from itertools import groupby
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -19,8 +18,8 @@ from folioframe.functions import text
 BANDS = {"character": (500_000, 100_000), "event": (400_000, 200_000), "thread": (300_000, 50_000)}
 KINDS = ("character", "event", "thread")
 _ORDER = sorted(((v, k, not i) for k, kind in enumerate(KINDS) for i, v in enumerate(BANDS[kind])), reverse=True)
-#: Contexts that share a copy of their project's memory, and rows of a batch.
-SHARE, ROWS = 256, 20_000
+#: Contexts that share a copy of their project's memory; rows and prompts of a batch; lines that are looked through at once.
+SHARE, ROWS, PROMPTS, SKIP = 256, 20_000, 100, 1024
 
 _cjk = "㐀-䶿一-鿿豈-﫿\U00020000-\U0002ebef぀-ヿ가-힯"
 _parts = regex.compile(rf"([{_cjk}])|([\p{{L}}\p{{N}}_']+)|(\s)|(.)", regex.S)
@@ -204,6 +203,46 @@ def render(base: dict, memory: dict[str, list[str]]) -> str:
     return f"SYSTEM:\n{base['system_rules'] or ''}\n\nUSER:\n" + "\n\n".join(f"[{h}]\n{b}" for h, b in sections)
 
 
+def _admitted(kind: np.ndarray, cost: np.ndarray, left: int) -> list[int]:
+    """Positions of the memory that fits, in order: what doesn't fit is skipped, not the end.
+
+    cost: of each line; the first of a kind takes the place of the line that says there is none.
+    """
+    saved = np.full(len(KINDS), estimate("(none)"))
+    out, p = [], 0
+    while p < len(kind):
+        fits = cost[p : p + SKIP] - saved[kind[p : p + SKIP]] <= left
+        if not fits.any():
+            p += SKIP
+            continue
+        p += int(fits.argmax())
+        # As long as nothing is skipped, one at a time.
+        while p < len(kind) and (c := int(cost[p] - saved[kind[p]])) <= left:
+            out.append(p)
+            left -= c
+            saved[kind[p]] = 0
+            p += 1
+    return out
+
+
+def _prompt(r: dict, memory: Callable[[], tuple[np.ndarray, np.ndarray, Callable[[list[int]], list[str]]]]) -> tuple:
+    """The row of a context's prompt. memory: kinds and costs of its memory in order of place, and the texts at some positions."""
+    base = {k: r[k] for k in _BASE[1:7]} | {"terminology": list(r["terminology"]) if r["terminology"] is not None else []}
+    limit = int(r["maximum_tokens"] or 0) - int(r["reserved_completion_tokens"] or 0)
+    chosen: dict[str, list[str]] = {k: [] for k in KINDS}
+    used = estimate(render(base, chosen))
+    if used > limit:
+        return r["context_id"], None, used, limit, 0, 0, 0, 0, 0, 0, "MandatoryContentExceedsBudget"
+    kind, cost, texts = memory()
+    at = _admitted(kind, cost, limit - used)
+    for p, t in zip(at, texts(at), strict=True):
+        chosen[KINDS[kind[p]]].append(t)
+    used += int(cost[at].sum()) - estimate("(none)") * sum(map(bool, chosen.values()))
+    every = np.bincount(kind, minlength=len(KINDS))
+    return r["context_id"], render(base, chosen), used, limit, *(len(chosen[k]) for k in KINDS), *(int(n) - len(chosen[k]) for n, k in zip(every, KINDS, strict=True)), None
+
+
+_BASE = ["context_id", "system_rules", "background", "terminology", "recent_summary", "current_chapter", "task", "maximum_tokens", "reserved_completion_tokens"]
 _PROMPT = "context_id string, prompt string, estimated_tokens int, token_limit int, n_characters int, n_events int, n_threads int, omitted_characters int, omitted_events int, omitted_threads int, error string"
 
 
@@ -211,34 +250,39 @@ def build(contexts: DataFrame, ranked: DataFrame) -> DataFrame:
     """One prompt per context: ranked memory is admitted while it fits the limit; what doesn't fit is skipped, not the end.
 
     Estimates add up over lines, so a candidate costs its own line and is not rendered anew. A context whose fixed
-    parts exceed the limit comes out with an error and no prompt.
+    parts exceed the limit comes out with an error and no prompt. ``prompts`` does without the ranked rows.
     """
     memory = ranked.groupBy("context_id").agg(F.array_sort(F.collect_list(F.struct("place", "kind", "text"))).alias("memory"))
-    cols = ["context_id", "system_rules", "background", "terminology", "recent_summary", "current_chapter", "task", "maximum_tokens", "reserved_completion_tokens"]
-    rows = contexts.select(*cols).join(memory, "context_id", "left")
+    rows = contexts.select(*_BASE).join(memory, "context_id", "left")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for r in b.to_dict("records"):
-                base = {k: r[k] for k in cols[1:7]}
-                base["terminology"] = list(r["terminology"]) if r["terminology"] is not None else []
-                limit = int(r["maximum_tokens"] or 0) - int(r["reserved_completion_tokens"] or 0)
-                chosen: dict[str, list[str]] = {k: [] for k in KINDS}
-                used = estimate(render(base, chosen))
-                if used > limit:
-                    out.append((r["context_id"], None, used, limit, 0, 0, 0, 0, 0, 0, "MandatoryContentExceedsBudget"))
-                    continue
-                omitted = dict.fromkeys(KINDS, 0)
-                none = estimate("(none)")
-                for m in r["memory"] if r["memory"] is not None else []:
-                    cost = estimate(f"- {m['text']}") - (0 if chosen[m["kind"]] else none)
-                    if used + cost <= limit:
-                        chosen[m["kind"]].append(m["text"])
-                        used += cost
-                    else:
-                        omitted[m["kind"]] += 1
-                out.append((r["context_id"], render(base, chosen), used, limit, *(len(chosen[k]) for k in KINDS), *omitted.values(), None))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in _PROMPT.split(", ")])
-
-    return rows.mapInPandas(run, _PROMPT)
+            for r in b.to_pylist():
+                m = r["memory"] or []
+                kind, cost = np.array([KINDS.index(x["kind"]) for x in m], dtype=np.int64), np.array([estimate(f"- {x['text']}") for x in m], dtype=np.int64)
+                out.append(_prompt(r, lambda m=m, kind=kind, cost=cost: (kind, cost, lambda at: [m[p]["text"] for p in at])))
+            yield _rows(out)
+
+    return rows.mapInArrow(run, _PROMPT)
+
+
+def prompts(contexts: DataFrame, memory: DataFrame) -> DataFrame:
+    """As ``build`` with ``ranked``, for contexts with project_id and query and the ``items`` of all projects."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for m, part in _met(batches):
+
+            def remembered(query: str, m: Memory = m) -> tuple:
+                order, _ = m.ranked(query)
+                return m.kind[order], m.cost[order], lambda at: m.text.take(pa.array(order[at])).to_pylist()
+
+            for a in range(0, part.num_rows, PROMPTS):
+                yield _rows([_prompt(r, lambda r=r: remembered(r["query"])) for r in part.slice(a, PROMPTS).to_pylist()])
+
+    return _shares(contexts.select(*_BASE, "project_id", "query"), memory).mapInArrow(run, _PROMPT)
+
+
+def _rows(prompts: list[tuple]) -> pa.RecordBatch:
+    fields = [c.split() for c in _PROMPT.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in prompts], pa.string() if kind == "string" else pa.int32()) for i, (_, kind) in enumerate(fields)], names=[name for name, _ in fields])

@@ -386,3 +386,19 @@ def test_memory_ranked_streams_a_copy_of_the_memory(spark, monkeypatch):
     assert got == {x: sorted((rest | f).items(), key=lambda kv: (-kv[1], kinds.index(kv[0][0]), kv[0])) for x, f in found.items()} | {"y": [("c4", 500_001)]}
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and "event_id" not in "".join(x for x in plan.splitlines() if "Join" in x)
+
+
+def test_prompts_need_no_ranked_rows(spark):
+    """The same prompts as from ranked rows, without a row for every pair of context and item."""
+    people = spark.createDataFrame([("p", f"c{i}", f"Name{i} " + "long " * (i % 7), [], 1, i) for i in range(60)], "project_id string, character_id string, name string, aliases array<string>, n_chapters int, last_sequence int")
+    threads = spark.createDataFrame([("p", f"t{i}", f"Thread {i}", 0, i, False) for i in range(60)], "project_id string, thread_id string, thread string, first_sequence int, last_sequence int, inferred_only boolean")
+    memory = context.items(people, threads)
+    made = [("a", "p", 300), ("b", "p", 64), ("c", "p", 1), ("d", None, 300), ("e", "other", None), ("f", "p", 5000)]
+    cols = "context_id string, project_id string, query string, system_rules string, background string, terminology array<string>, recent_summary string, current_chapter string, task string, maximum_tokens int, reserved_completion_tokens int"
+    contexts = spark.createDataFrame([(c, p, "name7 met name9 on thread 3", "r", None, ["w"], "", "chapter", None, n, 0) for c, p, n in made], cols)
+    df = context.prompts(contexts, memory)
+    got = rows(df.na.fill("-"))
+    assert got == rows(context.build(contexts, context.ranked(contexts, memory)).na.fill("-")) and len(got) == 6
+    assert {r[0]: (r[-1], sum(r[4:7]), sum(r[4:10])) for r in got if r[0] in "cf"} == {"c": ("MandatoryContentExceedsBudget", 0, 0), "f": ("-", 120, 120)}
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "place#" not in plan

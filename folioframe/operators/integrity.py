@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from folioframe.operators.memory import name_key
 from folioframe.operators.proofread import maybe_broadcast
 
+#: Ticks of the clock within which names are counted together.
+STRETCH = 1440
+
 
 def _moment(tick: str, order: str) -> Column:
     return F.struct(F.col(tick).alias("t"), F.col(order).alias("o"))
@@ -42,7 +45,8 @@ def appearance_before_existence(events: DataFrame, characters: DataFrame) -> Dat
 def speech_after_death(events: DataFrame) -> DataFrame:
     """Speech whose last life event before it is a death; only a revival backed by evidence clears one."""
     change = F.when((F.col("kind") == "death") | ((F.col("kind") == "revival") & F.col("grounded")), F.struct("kind", "event_id", "confidence"))
-    rows = events.withColumn("last", F.last(change, ignorenulls=True).over(_by_moment().rowsBetween(Window.unboundedPreceding, -1)))
+    lives = events.filter("kind IN ('speech', 'death', 'revival')")
+    rows = lives.withColumn("last", F.last(change, ignorenulls=True).over(_by_moment().rowsBetween(Window.unboundedPreceding, -1)))
     rows = rows.filter("kind = 'speech' AND last.kind = 'death'").withColumn("confidence", F.least("confidence", "last.confidence"))
     return _found(rows, "SPEECH_AFTER_DEATH", "warning")
 
@@ -72,6 +76,30 @@ def knowledge(events: DataFrame, information: DataFrame, revelations: DataFrame)
     return a.unionByName(b).unionByName(c)
 
 
+def _owners_at(rows: DataFrame, names: DataFrame, by: list[str]) -> DataFrame:
+    """rows (by, m and others) with the number of existing owners of the name at their moment.
+
+    A running sum over the beginnings and ends of what each owner's times add up to, within stretches of the clock that
+    start from the sum before them, so that neither pairs of rows and owners arise nor a frequent name is one task.
+    """
+    t = names.withColumn("a", F.when(F.col("canonical"), F.col("owner_from")).otherwise(F.greatest("a", "owner_from"))).filter("b IS NULL OR a < b")
+    w = Window.partitionBy(*by, "owner").orderBy("a")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    t = t.withColumn("_new", ~F.coalesce(F.max(F.col("b").isNull()).over(before) | (F.col("a") <= F.max("b").over(before)), F.lit(False)))
+    t = t.withColumn("_n", F.sum(F.col("_new").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    t = t.groupBy(*by, "owner", "_n").agg(F.min("a").alias("a"), F.when(~F.max(F.col("b").isNull()), F.max("b")).alias("b"))
+    bounds = t.select(*by, F.explode(F.array(F.struct(F.col("a").alias("m"), F.lit(1).alias("d")), F.struct(F.col("b").alias("m"), F.lit(-1).alias("d")))).alias("x")).select(*by, "x.*").filter("m IS NOT NULL")
+    bounds = bounds.groupBy(*by, "m").agg(F.sum("d").alias("d"))
+    stretch = F.floor(F.col("m.t") / STRETCH).alias("_s")
+    sums = bounds.select(*by, stretch, "d").unionByName(rows.select(*by, stretch, F.lit(0).cast("long").alias("d"))).groupBy(*by, "_s").agg(F.sum("d").alias("d"))
+    start = F.sum("d").over(Window.partitionBy(*by).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1))
+    points = sums.select(*by, "_s", F.coalesce(start, F.lit(0)).alias("d"), F.lit(0).alias("_o")).unionByName(bounds.select(*by, stretch, "d", "m", F.lit(1).alias("_o")), allowMissingColumns=True)
+    every = rows.withColumn("_s", stretch).withColumn("_o", F.lit(2)).unionByName(points, allowMissingColumns=True)
+    # Null, the moment of a start, comes first; a bound comes before the rows of its moment.
+    w = Window.partitionBy(*by, "_s").orderBy("m", "_o").rowsBetween(Window.unboundedPreceding, 0)
+    return every.withColumn("owners", F.sum("d").over(w)).filter("_o = 2").drop("_s", "_o", "d")
+
+
 def name_use(events: DataFrame, characters: DataFrame, variants: DataFrame) -> DataFrame:
     """Names that aren't valid at their moment, and names that then denote another character too.
 
@@ -79,18 +107,22 @@ def name_use(events: DataFrame, characters: DataFrame, variants: DataFrame) -> D
     Where all three have a project_id, names are those of their project.
     """
     scope = ["project_id"] if all("project_id" in d.columns for d in (events, characters, variants)) else []
-    used = events.filter("used_name IS NOT NULL").withColumn("key", name_key(F.col("used_name")))
+    used = events.filter("used_name IS NOT NULL")
     canon = characters.select(*scope, "character_id", name_key(F.col("name")).alias("key"), "from_tick", "from_ord", F.lit(None).cast("long").alias("until_tick"), F.lit(None).cast("long").alias("until_ord"), F.lit(True).alias("canonical"))
     var = variants.select(*scope, "character_id", name_key(F.col("name")).alias("key"), "from_tick", "from_ord", "until_tick", "until_ord", F.lit(False).alias("canonical"))
-    names = canon.unionByName(var).withColumnRenamed("character_id", "owner")
-    exists = characters.select(F.col("character_id").alias("owner"), _moment("from_tick", "from_ord").alias("owner_from"))
-    hits = used.join(names, ["key", *scope]).join(exists, "owner")
+    exists = characters.groupBy(F.col("character_id").alias("owner")).agg(F.min(_moment("from_tick", "from_ord")).alias("owner_from"))
+    names = canon.unionByName(var).withColumnRenamed("character_id", "owner").join(exists, "owner")
+    names = names.select("key", *scope, "owner", "owner_from", "canonical", _moment("from_tick", "from_ord").alias("a"), F.when(F.col("until_tick").isNotNull(), _moment("until_tick", "until_ord")).alias("b"))
     m = _moment("tick", "ord")
-    active = F.col("canonical") | ((m >= _moment("from_tick", "from_ord")) & (F.col("until_tick").isNull() | (m < _moment("until_tick", "until_ord"))))
-    own = F.max(F.when((F.col("owner") == F.col("character_id")) & active, 1).otherwise(0))
-    other = F.max(F.when((F.col("owner") != F.col("character_id")) & active & (m >= F.col("owner_from")), 1).otherwise(0))
-    per = hits.groupBy("event_id").agg(own.alias("own"), other.alias("other"))
-    rows = used.join(per, "event_id", "left")
+    # Joined by the character alone, by which the events already lie, and before keys are made, as Python forgets how they lie.
+    mine = names.groupBy(F.col("owner").alias("character_id")).agg(F.first("owner_from").alias("owner_from"), F.collect_set(F.struct("key", *scope, "canonical", "a", "b")).alias("names"))
+    same = lambda x: (x["key"] == F.col("key")) & (x["project_id"] == F.col("project_id")) if scope else x["key"] == F.col("key")
+    valid = F.exists("names", lambda x: same(x) & (x["canonical"] | ((m >= x["a"]) & (x["b"].isNull() | (m < x["b"])))))
+    rows = used.join(mine, "character_id", "left").withColumn("key", name_key(F.col("used_name"))).withColumn("own", F.coalesce(valid, F.lit(False)))
+    rows = rows.select("event_id", "character_id", "confidence", "key", *scope, m.alias("m"), "own", (F.col("own") & (m >= F.col("owner_from"))).alias("counted"))
+    rows = rows.transform(lambda d: _owners_at(d, names, ["key", *scope])).withColumn("other", F.col("owners") > F.coalesce(F.col("counted"), F.lit(False)).cast("int"))
+    by_event = Window.partitionBy("event_id")
+    rows = rows.select("event_id", "character_id", "confidence", F.max(F.col("own").cast("int")).over(by_event).alias("own"), F.max(F.col("other").cast("int")).over(by_event).alias("other"))
     invalid = _found(rows.filter("coalesce(own, 0) = 0"), "INVALID_NAME_VARIANT", "warning")
     return invalid.unionByName(_found(rows.filter("own = 1 AND other = 1"), "AMBIGUOUS_NAME_VARIANT", "notice"))
 

@@ -402,3 +402,29 @@ def test_prompts_need_no_ranked_rows(spark):
     assert {r[0]: (r[-1], sum(r[4:7]), sum(r[4:10])) for r in got if r[0] in "cf"} == {"c": ("MandatoryContentExceedsBudget", 0, 0), "f": ("-", 120, 120)}
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "place#" not in plan
+
+
+def test_name_use_makes_no_pairs_of_events_and_owners(spark):
+    """As by trying every owner of a name; overlapping, open and ended times, owners that don't exist yet, shared event ids."""
+    import random
+
+    rnd = random.Random(7)
+    n = ["a", "b", "c"]
+    chars = [(i, rnd.choice(n), rnd.randrange(6000), 0, i % 2) for i in range(12)]
+    variants = [(rnd.randrange(14), rnd.choice(n).upper(), f := rnd.randrange(6000), 1, rnd.choice([None, f, f + rnd.randrange(3000)]), 1) for _ in range(40)]
+    variants = [(*v, v[0] % 2) for v in variants]
+    events = [(i // 2 if i < 40 else i, c := rnd.randrange(14), rnd.choice([*n, "z", None]), rnd.randrange(9000), i % 3, 1.0, c % 2) for i in range(400)]
+    ev = spark.createDataFrame(events, "event_id long, character_id long, used_name string, tick long, ord long, confidence double, project_id long")
+    ch = spark.createDataFrame(chars, "character_id long, name string, from_tick long, from_ord long, project_id long")
+    va = spark.createDataFrame(variants, "character_id long, name string, from_tick long, from_ord long, until_tick long, until_ord long, project_id long")
+    exists = {c[0]: c[2:4] for c in chars}
+    own, other = {}, {}
+    for e, c, u, t, o, _, p in events:
+        for w, name, a, b in [*((x[0], x[1], None, None) for x in chars), *((x[0], x[1].lower(), x[2:4], x[4:6] if x[4] is not None else None) for x in variants)]:
+            if name == u and w % 2 == p and w in exists and (a is None or a <= (t, o)) and (b is None or (t, o) < b):
+                (own if w == c else other if (t, o) >= exists[w] else {})[e] = True
+    want = [(e, c, "AMBIGUOUS_NAME_VARIANT" if e in own else "INVALID_NAME_VARIANT") for e, c, u, *_ in events if u and (e not in own or e in other)]
+    df = integrity.name_use(ev, ch, va)
+    assert rows(df.select("event_id", "character_id", "rule")) == sorted(want) and len({x[2] for x in want}) == 2
+    joins = [x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x]
+    assert joins and not any("key#" in x for x in joins)

@@ -428,3 +428,10 @@ def test_name_use_makes_no_pairs_of_events_and_owners(spark):
     assert rows(df.select("event_id", "character_id", "rule")) == sorted(want) and len({x[2] for x in want}) == 2
     joins = [x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x]
     assert joins and not any("key#" in x for x in joins)
+
+
+def test_explained_findings_join_no_names(spark):
+    from folioframe.plans import story
+
+    plan = story.explained_findings(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("key#" in x for x in plan.splitlines() if "Join" in x)
